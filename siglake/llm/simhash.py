@@ -33,6 +33,7 @@ BUCKET = 1500
 #: Levels of masks: 64, about 32, 16 and 8 free bits.
 LEVELS = 3
 _ROWS = 50_000
+_ALL = (1 << 64) - 1
 
 
 def masks(bits: int, level: int = 0) -> list[int]:
@@ -142,17 +143,20 @@ def links(fps: DataFrame, levels: int = LEVELS) -> DataFrame:
     Level by level: rows (fp, free) are keyed by the masks of the bits that are still free; the bucket is all but those.
     """
     spark = fps.sparkSession
-    todo, found = fps.select("fp", F.lit(-1).cast("long").alias("free"), F.lit(0).cast("long").alias("bucket")), None
-    frees = {(1 << 64) - 1}
+    todo, found = fps.select("fp"), None
+    frees = {_ALL}
     for level in range(levels):
-        table = [(_signed(f), _signed(f & ~m)) for f in frees for m in masks(f, level)]
-        by_free = spark.createDataFrame(table, "free long, left long")  # 15, 225 or 3375 rows
-        dealt = todo.join(F.broadcast(by_free), "free").select("fp", F.col("left").alias("free"), F.xxhash64("free", "bucket", F.col("fp").bitwiseAND(F.bitwise_not("left"))).alias("bucket"))
+        if level == 0:
+            lefts = todo.select("fp", F.explode(F.array(*[F.lit(_signed(~m & _ALL)) for m in masks(_ALL)])).alias("left"))
+        else:  # 225 or 3375 rows
+            table = [(_signed(f), _signed(f & ~m)) for f in frees for m in masks(f, level)]
+            lefts = todo.join(F.broadcast(spark.createDataFrame(table, "free long, left long")), "free").select("fp", "left")
+        dealt = lefts.select("fp", F.col("left").alias("free"), F.xxhash64("left", F.col("fp").bitwiseAND(F.bitwise_not("left"))).alias("bucket"))
         dealt = dealt.repartition("free", "bucket").sortWithinPartitions("free", "bucket", "fp")
         out = checkpointed(dealt.mapInArrow(_bucket_links(level == levels - 1), "a long, b long, free long"))
         own = out.where("free = 0").select("a", "b")
         found = own if found is None else found.unionByName(own)
-        todo = out.where("free != 0").select(F.col("a").alias("fp"), "free", F.lit(0).cast("long").alias("bucket"))
+        todo = out.where("free != 0").select(F.col("a").alias("fp"), "free")
         if not todo.take(1):
             break
         frees = {f & ~m for f in frees for m in masks(f, level)}
