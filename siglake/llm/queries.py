@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siglake.llm import langid, packing, quality, secret_scan, simhash, token_counts
+from siglake.llm import langid, packing, quality, secret_scan, simhash, token_counts, url_filter
 from siglake.llm.common import shared_dir, table
 
 
@@ -42,13 +42,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents")).drop("used", "gap")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "anomaly")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_token_counts, op5_simhash, op6_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_token_counts, op5_simhash, op6_best_fit_packing, op7_url_filter, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
