@@ -9,7 +9,7 @@
    words, or `LIKE` of them and the passage's answer, its last sentence, is there as well (a paraphrase).
 
 Null and empty texts and items give nothing. Ties: a document and item give one row, of the best passage, and of equal ones
-the earliest. Repeated rows of a doc_id: one row. Rows of null doc_id are not reported. Empty tables give no rows. Other
+the nearest, then the earliest. Repeated rows of a doc_id: one row. Rows of null doc_id are not reported. Empty tables give no rows. Other
 columns are not read; the benchmark needs item_id and text.
 """
 
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from siglake.llm.common import small_batches, written
 
 PASSAGE, STEP, RANK, OVERSAMPLE, SEED = 64, 32, 160, 16, 42
-COSINE, SAME, LIKE, ANSWER = 0.3, 0.8, 0.6, 0.5
+#: Documents are summed up in stretches of HOP words; windows of 2 and 4 of them meet passages up to and over SMALL words.
+HOP, SMALL = 16, 24
+COSINE, SAME, LIKE, ANSWER = 0.6, 0.8, 0.6, 0.5
 #: Items whose words, vectors and texts are held by a worker at once.
 BLOCK = 2000
 #: Passages of fewer words match only word for word.
@@ -97,7 +99,9 @@ class Block:
         """basis: a row for each word."""
         self.by_word = (basis * self.idf[:, None]).astype(np.float32)
         own = np.array([self.by_word[self.index(words)].sum(axis=0) for _, words, _ in self.passages])
-        self.by_passage = (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        own = (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        small = np.array([len(words) <= SMALL for _, words, _ in self.passages])
+        self.sizes = [(hops, np.flatnonzero(which), own[which]) for hops, which in ((2, small), (4, ~small)) if which.any()]
 
 
 def document_frequencies(docs: DataFrame, block: Block) -> tuple[np.ndarray, int]:
@@ -158,22 +162,29 @@ def fitted(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> B
     return block
 
 
+def candidates(parts: np.ndarray, block: Block) -> Iterator[tuple[int, int, float]]:
+    """(first stretch, passage, cosine) of every window of a document that is near a passage."""
+    for hops, own, vectors in block.sizes:
+        windows = parts.copy()
+        for k in range(1, min(hops, len(parts))):
+            windows[:-k] += parts[k:]
+        windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-6)
+        near = windows @ vectors.T
+        for i, j in zip(*np.nonzero(near >= COSINE), strict=True):
+            yield int(i), int(own[j]), float(near[i, j])
+
+
 def leaks_of(text: str | None, block: Block) -> dict[int, tuple[float, float, float, int]]:
     """item -> (lcs, answer, cosine, first word) of a whole text."""
     words, best = words_of(text), {}
     if not words:
         return best
-    index = block.index(words)
-    starts = np.arange(0, len(words), STEP)
-    parts = np.add.reduceat(block.by_word[index], starts, axis=0)
-    windows = parts.copy()
-    windows[:-1] += parts[1:]
-    windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-6)
-    near = windows @ block.by_passage.T
-    for i, j in zip(*np.nonzero(near >= COSINE), strict=True):
+    starts = np.arange(0, len(words), HOP)
+    parts = np.add.reduceat(block.by_word[block.index(words)], starts, axis=0)
+    for i, j, cosine in candidates(parts, block):
         item, pattern, answer = block.passages[j]
-        lo = max(0, int(starts[i]) - STEP)
-        region = words[lo : lo + PASSAGE + 3 * STEP]
+        lo = max(0, HOP * i - len(pattern))
+        region = words[lo : HOP * i + PASSAGE + len(pattern)]
         if len(set(pattern) & set(region)) < LIKE * len(set(pattern)):
             continue  # a common subsequence can't be longer
         common, at = best_stretch(pattern, region)
@@ -182,8 +193,8 @@ def leaks_of(text: str | None, block: Block) -> dict[int, tuple[float, float, fl
         told = sum(w in stretch for w in answer) / len(answer) if answer else 0.0
         if share < (1.0 if len(pattern) < SHORT else SAME) and (share < LIKE or len(pattern) < SHORT or told < ANSWER):
             continue
-        found = (share, told, float(near[i, j]), lo + at)
-        if item not in best or (found[0], -found[3]) > (best[item][0], -best[item][3]):
+        found = (share, told, cosine, lo + at)
+        if item not in best or (found[0], found[2], -found[3]) > (best[item][0], best[item][2], -best[item][3]):
             best[item] = found
     return best
 
@@ -210,7 +221,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_items:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in MATCHES.split(", ")])
 
         out = out.unionByName(docs.where("doc_id is not null").mapInArrow(search, MATCHES))
-    best = F.max_by(F.struct("cosine", "lcs", "answer", "at"), F.struct("lcs", -F.col("at"), "answer", "cosine"))
+    best = F.max_by(F.struct("cosine", "lcs", "answer", "at"), F.struct("lcs", "cosine", -F.col("at"), "answer"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
