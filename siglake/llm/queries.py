@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siglake.llm import decontamination, langid, packing, quality, secret_scan, simhash, token_counts, url_filter
+from siglake.llm import decontamination, langid, packing, quality, secret_scan, simhash, suffix_dedup, token_counts, url_filter
 from siglake.llm.common import shared_dir, table
 
 
@@ -46,6 +46,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_token_counts, op5_simhash, op6_best_fit_packing, op7_url_filter, op9_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_token_counts, op5_simhash, op6_best_fit_packing, op7_url_filter, op8_suffix_dedup, op9_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
