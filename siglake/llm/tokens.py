@@ -1,19 +1,32 @@
-"""Exact token ids of the public word tokenizer, memoised by white-space separated chunk.
-
-The tokenizer collapses white space before it splits, so no token, special string, composed character or case
-mapping spans an ASCII white-space byte: the ids of a text are the ids of its chunks, one after the other. Chunks
-repeat, hence a bounded memo of chunk -> packed ids does most of the work and the library encodes only the misses.
+"""Exact token ids of the public word tokenizer, memoised by word.
+
+The tokenizer lower-cases, splits a text into words by a fixed pattern, and encodes each word by itself, so the ids of a
+text are the ids of its words, one after the other. Words repeat, hence a bounded memo of word -> packed ids does most of
+the work and the library encodes only the misses. Texts within Latin-1, where composing and lower-casing go character by
+character, are split here, as bytes; other texts are split at ASCII white space alone, which no word, special string or
+composed character spans, and the library does the rest. Texts with `<|`, with which special strings begin, go to the
+library whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
+import sys
+from array import array
+
+import numpy as np
 
-#: Entries of the memo; it is emptied when full, so a worker's memory is bounded.
+#: Entries of each of the memo's two generations; a full young one takes the old one's place, so a worker's memory is
+#: bounded and words that recur stay.
 MEMO_ENTRIES = 250_000
-#: Chunks longer than this are encoded but not kept.
-MEMO_CHUNK_BYTES = 64
+#: Words longer than this are encoded but not kept.
+MEMO_BYTES = 48
+# Fixed values of the tokenizer: its split pattern, for lower-case Latin-1.
+LETTERS, NUMBERS, SPACES = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe", rb"\x09-\x0d\x20\x85\xa0"
+_split = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + LETTERS + rb"]+|[" + NUMBERS + rb"]|[^" + SPACES + LETTERS + NUMBERS + rb"]+").findall
+_lower = bytes(ord(c) if len(c := chr(i).lower()) == 1 and ord(c) < 256 else i for i in range(256))
 
 
 def default_tokenizer_path() -> str:
@@ -35,30 +48,47 @@ class ChunkEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        assert sys.byteorder == "little" and array("I").itemsize == 4
         self.library = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
+        ends = [i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]
+        self.ends = np.zeros(max(self.library.get_vocab().values()) + 1, dtype=bool)
+        self.ends[ends] = True  # tokens that end a word
+        self.memos: dict[str, list[dict[bytes, bytes]]] = {"latin-1": [{}, {}], "utf-8": [{}, {}]}  # young, old
 
     def packed(self, text: str | None) -> bytes:
         """Ids of a text, four bytes each; a null text has none."""
         if not text:
             return b""
-        chunks = text.encode("utf-8", "replace").split()
-        memo = self.memo
+        if "<|" in text:
+            return self._encoded([text])[0]
         try:
-            return b"".join(map(memo.__getitem__, chunks))
-        except KeyError:
-            pass
-        import numpy as np
-
-        missing = [c for c in set(chunks) if c not in memo]
-        if len(memo) + len(missing) > MEMO_ENTRIES:
-            memo.clear()
-            missing = list(set(chunks))
-        encoded = self.library.encode_batch_fast([c.decode("utf-8") for c in missing], add_special_tokens=False)
-        fresh = {c: np.asarray(e.ids, dtype="<u4").tobytes() for c, e in zip(missing, encoded, strict=True)}
-        out = b"".join([memo[c] if c in memo else fresh[c] for c in chunks])
-        memo.update((c, ids) for c, ids in fresh.items() if len(c) <= MEMO_CHUNK_BYTES)
-        return out
+            kind, words = "latin-1", _split(text.encode("latin-1").translate(_lower))
+        except UnicodeEncodeError:
+            kind, words = "utf-8", text.encode("utf-8", "replace").split()
+        memo, old = self.memos[kind]
+        found = list(map(memo.get, words))
+        if None not in found:
+            return b"".join(found)
+        fresh = {w: old.get(w) for w, x in zip(words, found, strict=True) if x is None}
+        if missing := [w for w, x in fresh.items() if x is None]:
+            fresh.update(zip(missing, self._words(missing) if kind == "latin-1" else self._encoded([w.decode(kind) for w in missing]), strict=True))
+        if len(memo) + len(fresh) > MEMO_ENTRIES:
+            self.memos[kind] = [memo := {}, self.memos[kind][0]]
+        memo.update(fresh if max(map(len, fresh)) <= MEMO_BYTES else {w: x for w, x in fresh.items() if len(w) <= MEMO_BYTES})
+        return b"".join([fresh[w] if x is None else x for w, x in zip(words, found, strict=True)])
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of single words, by one call: each word's last token says that it ends one."""
+        ids = np.array(self.library.encode_batch_fast([b" ".join(words).decode("latin-1")], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(words):
+            return self._encoded([w.decode("latin-1") for w in words])
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        encoded = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in encoded]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
