@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siglake.llm import decontamination, langid, packing, quality, secret_scan, simhash, suffix_dedup, token_counts, url_filter
+from siglake.llm import decontamination, langid, license_scan, packing, quality, secret_scan, simhash, suffix_dedup, token_counts, url_filter
 from siglake.llm.common import shared_dir, table
 
 
@@ -27,6 +27,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_matches(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store of its own for each call, so that a run always encodes all distinct texts."""
     store = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
@@ -60,7 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_token_counts, op5_simhash, op6_best_fit_packing, op7_url_filter, op8_suffix_dedup, op9_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_license_scan, op4_token_counts, op5_simhash, op6_best_fit_packing, op7_url_filter, op8_suffix_dedup, op9_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
