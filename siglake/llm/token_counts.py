@@ -2,9 +2,9 @@
 
 Each text is reduced to the digest of its normalised content; counts are stored by that digest and the digest of the
 tokenizer's file. A run joins its digests to the store, encodes one text of each distinct miss, appends the counts to the
-store, and joins again. Normalising must not change a count: it lower-cases A-Z and shrinks runs of ASCII white space, both
-of which the tokenizer does itself, and leaves texts alone that hold `<|` (special strings are case-sensitive) or combining
-marks (with which a lower-case letter may compose where its capital does not).
+store, and joins again. Normalising must not change a count: it lower-cases ASCII texts, as the tokenizer does itself, unless they hold `<|` (special
+strings are case-sensitive); other texts stay as they are, for a capital may compose with a mark where its small letter
+does not.
 
 Null text: empty, zero bytes and tokens. Repeated rows and copies: one encoding, a row each. Empty tables give no rows.
 Null doc_id: kept. Other columns are not read.
@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siglake.llm.common import ascii_lower, small_batches, written
+from siglake.llm.common import small_batches, written
 from siglake.llm.tokens import default_tokenizer_path, encoder, file_digest
 
 LIMIT = 2048
@@ -28,9 +28,8 @@ STORE = "content string, tokenizer string, n_tokens long"
 
 def content_digest(text: Column) -> Column:
     """SHA-256 of what decides the count."""
-    plain = F.regexp_replace(ascii_lower(text), r"[ \t\n\r\x0B\f]+", " ")
-    raw = text.contains("<|") | text.rlike("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]")
-    return F.sha2(F.when(raw, F.concat(F.lit("raw:"), text)).otherwise(plain).cast("binary"), 256)
+    plain = (F.octet_length(text) == F.length(text)) & ~text.contains("<|")
+    return F.sha2(F.when(plain, F.lower(text)).otherwise(text).cast("binary"), 256)
 
 
 def stored(docs: DataFrame, store: str) -> DataFrame:
@@ -51,12 +50,11 @@ def token_counts(docs: DataFrame, store: str, tokenizer: str | None = None, limi
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-    keyed = written(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("content")), "token-keys")
+    keyed = written(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("content"), F.xxhash64("text").alias("hash")), "token-keys")
     known = stored(docs, store).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    missed = keyed.groupBy("content").agg(F.min("doc_id").alias("first")).join(known, "content", "left_anti")
-    texts = docs.withColumn("content", content_digest(F.col("text"))).join(
-        missed.select("first", F.col("content").alias("missed")).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("content") == F.col("missed"))
-    )
+    missed = keyed.groupBy("content").agg(F.min(F.struct("doc_id", "hash")).alias("first")).join(known, "content", "left_anti")
+    wanted = missed.select(F.col("first.doc_id").alias("first"), F.col("first.hash").alias("hash"), "content").hint("shuffle_hash")
+    texts = docs.withColumn("own", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("own") == F.col("hash")))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
