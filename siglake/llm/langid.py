@@ -68,7 +68,7 @@ class Model:
 
     @staticmethod
     def _logs(counts: dict[str, np.ndarray], n_langs: int) -> np.ndarray:
-        m = np.array(list(counts.values())).reshape(-1, n_langs)
+        m = np.array(list(counts.values())).reshape(len(counts), n_langs)
         return np.log((m + 0.5) / (m.sum(0) + 0.5 * max(1, len(m))))
 
     def word(self, word: str) -> np.ndarray:
