@@ -1 +1,13 @@
+"""All registered queries."""
 
+from __future__ import annotations
+
+import importlib
+import pkgutil
+
+
+def load() -> None:
+    """Imports every module of queries."""
+    for m in pkgutil.iter_modules(__path__):
+        if m.name.startswith("q_"):
+            importlib.import_module(f"{__name__}.{m.name}")
