@@ -68,7 +68,7 @@ SQL = {
     "sig_grid": "SELECT vec_id, (i // 8)::INT AS ap, (i % 8)::INT AS ml, x FROM sig_flat",
     "sig_64": "SELECT vec_id, i, x FROM sig_flat",
     "hourly": "SELECT event_type, floor(t / 3600)::BIGINT AS h, avg(x) AS x FROM ev GROUP BY ALL",
-    "sig_hr": "SELECT event_type, h - h0 AS i, coalesce(x, 0) AS x FROM (SELECT DISTINCT event_type FROM hourly), (SELECT min(h) AS h0, unnest(range(min(h), max(h) + 1)) AS h FROM hourly) LEFT JOIN hourly USING (event_type, h)",
+    "sig_hr": "SELECT event_type, h - h0 AS i, coalesce(x, 0) AS x FROM (SELECT DISTINCT event_type FROM hourly) CROSS JOIN (SELECT min(h) AS h0, unnest(range(min(h), max(h) + 1)) AS h FROM hourly) LEFT JOIN hourly USING (event_type, h)",
     "points": "SELECT event_type, event_id, t, x FROM ev",
     "intervals": """SELECT user_id, state, row_number() OVER (PARTITION BY user_id, state ORDER BY t0, event_id) - 1 AS iseg, t0, t1 FROM (
       SELECT user_id, event_type AS state, t AS t0, coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id), last_t) AS t1, event_id FROM (
