@@ -3,6 +3,8 @@
 1. Every whole text is scanned once. Each window of LENGTH bytes picks an anchor, the GRAM-byte string in it of least hash
    (the leftmost of equals). The choice depends on the window's bytes alone, so equal windows have equal anchors, at equal
    places in them. Consecutive windows that pick one anchor form its context.
+   A task that finds contexts of equal content itself notes them as repeated and passes on one of them, so that what is
+   very common isn't gathered anywhere.
 2. Contexts are sorted by (anchor, content). An anchor found once has no repeated window. Contexts with equal content are
    repeated as a whole. What is left are the rims of repeated passages: contexts that share an anchor but not their content.
 3. The rims are dealt by anchor into shards of some `SHARD_BYTES`, and each shard's suffixes are sorted by external induced
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +98,8 @@ def _contexts(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
 
 
 ROW = ["anchor", "content", "doc_id", "text_hash", "first", "last"]
+#: more: a further context of this content, which needs no more than a span; many: the one of them that is passed on.
+SCANNED = "anchor long, content long, doc_id long, text_hash long, first int, last int, more boolean, many boolean"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +107,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, content, first, last = (np.concatenate([p[0][i] for p in parts]) for i in range(4))
         at = np.repeat(np.arange(len(parts)), [len(p[0][0]) for p in parts])
         doc, own = pa.array([p[1] for p in parts], pa.int64()), pa.array([p[2] for p in parts], pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), doc.take(pa.array(at)), own.take(pa.array(at)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ROW)
+        order = np.lexsort((content, anchor))
+        same = (anchor[order][1:] == anchor[order][:-1]) & (content[order][1:] == content[order][:-1])
+        more, many = np.zeros(len(anchor), dtype=bool), np.zeros(len(anchor), dtype=bool)
+        more[order[1:]] = same
+        many[order[:-1]] = same
+        many &= ~more
+        cols = [anchor.view(np.int64), content.view(np.int64), None, None, first.astype(np.int32), last.astype(np.int32), more, many]
+        cols = [pa.array(x) if x is not None else None for x in cols]
+        cols[2:4] = [doc.take(pa.array(at)), own.take(pa.array(at))]
+        return pa.RecordBatch.from_arrays(cols, [*ROW, "more", "many"])
 
     for b in batches:
         parts, size = [], 0
@@ -112,7 +126,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             parts.append((contexts(raw), doc, own))
             size += len(parts[-1][0][0])
-            if size > 50_000:
+            if size > 100_000:
                 yield out(parts)
                 parts, size = [], 0
         if parts:
@@ -144,7 +158,8 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not after:
             same_anchor[-1] = same[-1] = False
         whole, opens = same[:-1] | same[1:], ~same[:-1]  # opens: first row of its content
-        many = same[1:]
+        own_many = t["many"].to_numpy()
+        whole, many = whole | own_many, same[1:] | own_many
         starts = np.maximum.accumulate(np.where(~same_anchor[:-1], np.arange(n), -1))  # first row of the anchor, -1: before this batch
         later = opens & same_anchor[:-1]  # first row of a further content
         rim = later.copy()
@@ -152,7 +167,7 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extra = opening if opening is not None and (later & (starts == -1)).any() else None
         if starts[-1] >= 0:  # the last anchor began here
             k = int(starts[-1])
-            opening = None if rim[k] else pa.table([*t.slice(k, 1).columns, pa.array([False]), pa.array([True]), pa.array([bool(many[k])])], FOUND)
+            opening = None if rim[k] else pa.table([*t.slice(k, 1).columns[:6], pa.array([False]), pa.array([True]), pa.array([bool(many[k])])], FOUND)
         elif extra is not None:
             opening = None
         before = (anchor[-1], content[-1])
@@ -160,13 +175,18 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from extra.to_batches()
         kept = whole | rim
         if kept.any():
-            full = pa.table([*t.columns, pa.array(whole), pa.array(rim), pa.array(many)], FOUND)
+            full = pa.table([*t.columns[:6], pa.array(whole), pa.array(rim), pa.array(many)], FOUND)
             yield from full.filter(pa.array(kept)).combine_chunks().to_batches()
 
     for b in batches:
-        if not b.num_rows:
+        more = b.column("more")
+        t = pa.Table.from_batches([b.filter(more)])
+        if t.num_rows:
+            full, no = pa.array([True] * t.num_rows), pa.array([False] * t.num_rows)
+            yield from pa.table([*t.columns[:6], full, no, no], FOUND).combine_chunks().to_batches()
+        t = pa.Table.from_batches([b.filter(pc.invert(more))])
+        if not t.num_rows:
             continue
-        t = pa.Table.from_batches([b])
         t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
         held = t.slice(t.num_rows - 1)
         if t.num_rows > 1:
@@ -283,8 +303,8 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, start, end: byte spans that cover all repeated strings; docs as from `keyed`."""
-    rows = docs.select("doc_id", "text_hash", "text").mapInArrow(_scan, "anchor long, content long, doc_id long, text_hash long, first int, last int")
-    rows = rows.repartition("anchor").sortWithinPartitions("anchor", "content")
+    rows = docs.select("doc_id", "text_hash", "text").mapInArrow(_scan, SCANNED)
+    rows = rows.repartition(F.when(F.col("more"), F.xxhash64("text_hash", "first")).otherwise(F.col("anchor"))).sortWithinPartitions("anchor", "content")
     found = written(rows.mapInArrow(_classify, "anchor long, content long, doc_id long, text_hash long, first int, last int, whole boolean, rim boolean, many boolean"), "suffix-contexts")
     spans = found.where("whole").select("doc_id", "text_hash", F.col("first").alias("start"), (F.col("last") + LENGTH).cast("int").alias("end"))
 
