@@ -63,5 +63,6 @@ def token_counts(docs: DataFrame, store: str, tokenizer: str | None = None, limi
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["content", "tokenizer", "n_tokens"])
 
     texts.select("content", "text").mapInArrow(encode, STORE).dropDuplicates(["content"]).write.mode("append").parquet(store)
-    counts = stored(docs, store).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written first, so that the join below has exchanges of its own on both sides: then many copies of one text can be split.
+    counts = written(stored(docs, store).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return keyed.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
