@@ -34,7 +34,7 @@ from siglake.llm.suffix_sort import suffix_array
 LENGTH, GRAM = 200, 96
 #: Windows of a text that are dealt with at once, and the low bits of a hash that hold a place among them.
 CHUNK, PLACE = 1 << 20, np.uint64(21)
-SHARD_BYTES, GROUP = 6_000_000, 15_000
+SHARD_BYTES, GROUP = 3_000_000, 1000
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _BYTE = np.random.default_rng(200).integers(1, 1 << 64, 256, dtype=np.uint64)  # a random number for each byte value

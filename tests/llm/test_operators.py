@@ -263,7 +263,7 @@ def test_suffix_array_and_prefixes(monkeypatch):
                 assert n == next((i for i in range(7) if own[a + i : a + i + 1] != own[b + i : b + i + 1] or not own[b + i : b + i + 1]), 7)
 
 
-@pytest.mark.parametrize(("group", "chunk"), [(15_000, 1 << 20), (2, 150)])
+@pytest.mark.parametrize(("group", "chunk"), [(1000, 1 << 20), (2, 150)])
 def test_suffix_dedup(spark, monkeypatch, group, chunk):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
     r = random.Random(8)
