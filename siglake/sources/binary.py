@@ -1,7 +1,7 @@
 """Flat binary recordings: frames of n_channels samples one after the other, read and written in parallel.
 
-`spark.read.format("flat_binary")` after `register(spark)`; options: path, channels, dtype (int16), fs, and for grids rows
-and cols. A task reads its own range of frames, through pyarrow's file systems where the path is a URI.
+`spark.read.format("flat_binary")` after `register(spark)`; options: path, channels, dtype (int16), fs, task_samples, and for
+grids rows and cols. A task reads its own range of frames, through pyarrow's file systems where the path is a URI.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ class Frames(InputPartition):
 class FlatBinaryReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.dtype, self.fs = options["path"], np.dtype(options.get("dtype", "int16")), float(options.get("fs", 1.0))
+        self.task_samples = int(options.get("task_samples", TASK_SAMPLES))
         self.rows, self.cols = int(options.get("rows", 0)), int(options.get("cols", 0))
         self.channels = int(options.get("channels", 0)) or self.rows * self.cols
         if self.channels <= 0:
@@ -48,7 +49,7 @@ class FlatBinaryReader(DataSourceReader):
         size, frame = store.get_file_info(inner).size, self.channels * self.dtype.itemsize
         if size % frame:
             raise ValueError(f"{self.path} has {size} bytes, which are no whole frames of {frame}")
-        n, step = size // frame, max(1, TASK_SAMPLES // self.channels)
+        n, step = size // frame, max(1, self.task_samples // self.channels)
         return [Frames(a, min(n, a + step)) for a in range(0, n, step)] or [Frames(0, 0)]
 
     def read(self, partition: Frames) -> Iterator[pa.RecordBatch]:
