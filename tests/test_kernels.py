@@ -178,3 +178,50 @@ def test_generators(spark):
     assert a == b
     z = spark.range(20_000).select(gen.normal(3, "id").alias("z")).agg(F.avg("z"), F.stddev("z")).first()
     assert abs(z[0]) < 0.03 and abs(z[1] - 1) < 0.03
+
+
+def test_triangle_weights_reproduce_a_plane():
+    from siglake.functions import extra
+
+    r = np.random.default_rng(7)
+    xy = np.array([(m, a) for a in range(6) for m in range(6)], dtype=float) + 0.2 * r.uniform(-1, 1, (36, 2))
+    bad = np.zeros(36, dtype=bool)
+    bad[[14, 15, 21, 0]] = True
+    got = {}
+    for b, g, w in extra.linear_weights(xy, bad):
+        got.setdefault(b, []).append((g, w))
+    plane = xy @ [2, 3]
+    for b in (14, 15, 21):
+        assert abs(sum(w * plane[g] for g, w in got[b]) - plane[b]) < 1e-6
+    assert len(got[0]) == 1 and got[0][0][1] == 1.0
+
+
+def test_waves():
+    from siglake.functions import extra
+
+    t, y, x = np.meshgrid(np.arange(64) / 100, np.arange(8), np.arange(8), indexing="ij")
+    wave = np.cos(2 * np.pi * (12.5 * t - 0.25 * x))
+    for tapers in (None, (2.0, 1.0)):
+        f, ky, kx, s = extra.kw_spectrum(wave, 100.0, tapers)
+        a, b, c = np.unravel_index(s.argmax(), s.shape)
+        assert abs(f[a] - 12.5) < 3.2 and abs(abs(kx[c]) - 0.25) < 0.13 and abs(ky[b]) < 0.13
+    noisy = wave + 0.1 * np.random.default_rng(8).standard_normal(wave.shape)
+    beams = extra.capon(noisy, 100.0, 12.5, np.arange(-4, 5) / 100)
+    sx, sy, _ = max(beams, key=lambda v: v[2])
+    assert abs(abs(sx) - 0.02) < 1e-9 and abs(sy) < 1e-9
+    blob = lambda cx: np.exp(-((x[0] - cx) ** 2 + (y[0] - 3.5) ** 2) / 4)
+    u, v = extra.lucas_kanade(np.array([blob(3.0), blob(3.3)]))
+    assert abs(u[0, 3:5, 2:5].mean() - 0.3) < 0.1 and abs(v[0, 3:5, 2:5].mean()) < 0.05
+    rows = extra.log_blobs(blob(4.0), (0.8, 1.4))
+    assert any((a, b) in {(3, 4), (4, 4)} for a, b, _, _ in rows)
+
+
+def test_line_removal_and_shoulder():
+    from siglake.functions import extra
+
+    x = 0.1 * np.random.default_rng(9).standard_normal(1024)
+    line = np.sin(2 * np.pi * 125 * np.arange(1024) / FS)
+    got, found = extra.without_line(x + line, FS, 125.0)
+    assert found and np.abs(got - x).max() < 0.05 and not extra.without_line(x, FS, 125.0, p=1e-6)[1]
+    y = extra.shoulder_bandpass(np.sin(2 * np.pi * 400 * T) + np.sin(2 * np.pi * 20 * T), FS, 300, 450)
+    assert np.abs(y - np.sin(2 * np.pi * 400 * T))[500:-500].max() < 0.02
