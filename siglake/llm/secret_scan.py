@@ -128,8 +128,8 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
     rest = lambda state: F.concat(F.concat_ws("", state["out"]), F.substring(text, state["at"] + 1, F.length(text)))
-    spans = F.col("__spans")
-    out = docs.withColumn("__spans", secret_spans(text))
+    own = "_".join(["spans", *docs.columns])  # a name that no column has
+    spans, out = F.col(own), docs.withColumn(own, secret_spans(text))
     out = out.withColumn("text", F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -209,4 +209,4 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     Rows of null doc_id go unless their component has no other id. Of rows that repeat a doc_id, all with the kept id stay.
     """
     found = simhash_components(docs).where("doc_id <=> component_id").select("doc_id").distinct().hint("shuffle_hash")
-    return docs.join(found.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
