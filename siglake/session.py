@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from siglake.shipping import ship
+
 
 def session(cores: int | None = None, memory: str = "16g") -> SparkSession:
     """A local session: UTC, AQE, one shuffle partition for each core."""
@@ -21,4 +23,5 @@ def session(cores: int | None = None, memory: str = "16g") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
