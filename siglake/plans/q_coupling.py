@@ -50,12 +50,12 @@ def preferred_phase(spark, sf_dir):
 
 
 @query(
-    f"""{PAIR}, s AS (SELECT a.vec_id, sh AS shift, a.phase, b.amp FROM pa a, (SELECT unnest([7, 19, 31]) AS sh) JOIN pa b ON b.vec_id = a.vec_id AND b.i = (a.i + sh) % 62 WHERE a.g = 0)
+    f"""{PAIR}, s AS (SELECT a.vec_id, sh AS shift, a.phase, b.amp FROM pa a, (SELECT unnest([7, 19, 31]) AS sh) JOIN pa b ON b.vec_id = a.vec_id AND b.i = (a.i + sh) % 62)
   SELECT vec_id, shift, round({RESULTANT}, 7) AS mi FROM s GROUP BY ALL"""
 )
 def surrogate_pac(spark, sf_dir):
     """Indices of circularly shifted surrogates."""
-    moved = coupling.circular_surrogates(_pairs(spark, sf_dir).where("g = 0"), ["vec_id"], [7, 19, 31])
+    moved = coupling.circular_surrogates(_pairs(spark, sf_dir), ["vec_id"], [7, 19, 31])
     return moved.groupBy("vec_id", "shift").agg(F.round(coupling.canolty(), 7).alias("mi"))
 
 
@@ -74,14 +74,13 @@ def spectral_power_xcorr(spark, sf_dir):
     return got.select("lag", F.round("r", 8).alias("r"))
 
 
-XC = """a AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY vec_id) AS va FROM sig_64), p AS (SELECT a.vec_id, a.i, a.va, b.va AS vb FROM a JOIN a b ON b.vec_id = a.vec_id + 1 AND b.i = a.i WHERE a.vec_id % 10 = 0),
+XC = """a AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY vec_id) AS va FROM sig_64), p AS (SELECT a.vec_id, a.i, a.va, b.va AS vb FROM a JOIN a b ON b.vec_id = a.vec_id + 1 AND b.i = a.i),
   l AS (SELECT unnest(range(-20, 21)) AS lag), c AS (SELECT p.vec_id, lag, sum(p.va * q.vb) AS s FROM p, l JOIN p q ON q.vec_id = p.vec_id AND q.i = p.i + lag GROUP BY ALL), n AS (SELECT vec_id, sqrt(var_pop(va) * var_pop(vb)) AS n FROM p GROUP BY vec_id)"""
 
 
 def _xc(spark, sf_dir):
     s = views.sig_64(spark, sf_dir)
-    a = s.where("vec_id % 10 = 0")
-    return coupling.power_xcorr(a, s.withColumn("vec_id", F.col("vec_id") - 1), ["vec_id"], 20, False, False), a
+    return coupling.power_xcorr(s, s.withColumn("vec_id", F.col("vec_id") - 1), ["vec_id"], 20, False, False), s
 
 
 @query(f"{XC} SELECT vec_id, round(max(abs(s)) / any_value(n), 6) AS peak FROM c JOIN n USING (vec_id) GROUP BY vec_id")

@@ -106,25 +106,25 @@ def score_spikes(spark, sf_dir):
 
 @query(
     """d AS (SELECT vec_id, i, log10(CASE WHEN x = 0 THEN 1e-10 ELSE abs(x) END) AS x FROM sig_64)
-  SELECT vec_id, string_agg(round(x, 3)::VARCHAR, ',' ORDER BY i) AS row FROM d WHERE i < 4 GROUP BY vec_id"""
+  SELECT vec_id, string_agg(round(x, 3)::VARCHAR, ',' ORDER BY i) AS row FROM d GROUP BY vec_id"""
 )
 def design_matrix(spark, sf_dir):
     """Variables of a row side by side, in logarithms; zeros count as 1e-10."""
     x = F.log10(F.when(F.col("x") == 0, 1e-10).otherwise(F.abs("x")))
-    d = views.sig_64(spark, sf_dir).where("i < 4").select("vec_id", F.struct("i", F.format_string("%.3f", F.round(x, 3)).alias("s")).alias("p"))
+    d = views.sig_64(spark, sf_dir).select("vec_id", F.struct("i", F.format_string("%.3f", F.round(x, 3)).alias("s")).alias("p"))
     got = d.groupBy("vec_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
     return got.select("vec_id", F.array_join(F.transform("p", lambda p: F.regexp_replace(F.regexp_replace(p["s"], r"(\.\d*?)0+$", "$1"), r"\.$", ".0")), ",").alias("row"))
 
 
-@query(f"{LOAD} SELECT e.vec_id, round(sum(x * v), 6) AS s FROM sig_64 e JOIN l USING (i) WHERE f = 0 GROUP BY e.vec_id")
+@query(f"{LOAD} SELECT e.vec_id, f, round(sum(x * v), 6) AS s FROM sig_64 e JOIN l USING (i) GROUP BY e.vec_id, f")
 def project_to_loadings(spark, sf_dir):
-    own = _loads(spark, sf_dir).where("f = 0").select("i", "v")
-    return views.sig_64(spark, sf_dir).join(F.broadcast(own), "i").groupBy("vec_id").agg(F.round(F.sum(F.col("x") * F.col("v")), 6).alias("s"))
+    own = _loads(spark, sf_dir).select("f", "i", "v")
+    return views.sig_64(spark, sf_dir).join(F.broadcast(own), "i").groupBy("vec_id", "f").agg(F.round(F.sum(F.col("x") * F.col("v")), 6).alias("s"))
 
 
-@query(f"{LOAD}, p AS (SELECT e.vec_id, f, sum(x * v) AS s FROM sig_64 e JOIN l USING (i) WHERE f < 3 GROUP BY ALL) SELECT vec_id, i, round(sum(s * v), 6) AS x FROM p JOIN l USING (f) WHERE vec_id < 50 GROUP BY vec_id, i")
+@query(f"{LOAD}, p AS (SELECT e.vec_id, f, sum(x * v) AS s FROM sig_64 e JOIN l USING (i) GROUP BY ALL) SELECT vec_id, i, round(sum(s * v), 6) AS x FROM p JOIN l USING (f) GROUP BY vec_id, i")
 def reconstruct(spark, sf_dir):
     """Loadings times scores."""
-    own = _loads(spark, sf_dir).where("f < 3").select("f", "i", "v")
-    s = views.sig_64(spark, sf_dir).where("vec_id < 50").join(F.broadcast(own), "i").groupBy("vec_id", "f").agg(F.sum(F.col("x") * F.col("v")).alias("s"))
+    own = _loads(spark, sf_dir).select("f", "i", "v")
+    s = views.sig_64(spark, sf_dir).join(F.broadcast(own), "i").groupBy("vec_id", "f").agg(F.sum(F.col("x") * F.col("v")).alias("s"))
     return s.join(F.broadcast(own), "f").groupBy("vec_id", "i").agg(F.round(F.sum(F.col("s") * F.col("v")), 6).alias("x"))

@@ -224,13 +224,13 @@ def comodulogram(spark, sf_dir):
                 rows.append((fp, fa, round(float(np.abs((amp * np.exp(1j * phase)).mean())), 6)))
         return pd.DataFrame(rows, columns=["f_phase", "f_amp", "mi"])
 
-    return kernels.expanded(_series(spark, sf_dir).where("vec_id < 100"), K, run, "f_phase double, f_amp double, mi double")
+    return kernels.expanded(_series(spark, sf_dir), K, run, "f_phase double, f_amp double, mi double")
 
 
 @query()
 def spatial_coherence_profile(spark, sf_dir):
     """Rows of a grid as channels of 8 samples: mean coherence by distance, vectors taken as segments."""
-    own = views.sig_grid(spark, sf_dir).where("vec_id < 100").withColumn("g", F.floor(F.col("vec_id") / 20))
+    own = views.sig_grid(spark, sf_dir).withColumn("g", F.floor(F.col("vec_id") / 20))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         x = p.sort_values(["vec_id", "ap", "ml"])["x"].to_numpy().reshape(-1, 8, 8)
@@ -263,7 +263,7 @@ def phase_randomize(spark, sf_dir):
 def spectral_granger(spark, sf_dir):
     """Granger influence each way between neighbouring vectors by autoregressions of order 2: log ratio of residual variances."""
     s = _series(spark, sf_dir)
-    both = s.where("vec_id % 2 = 0").join(s.select((F.col("vec_id") - 1).alias("vec_id"), "i", F.col("x").alias("y")), ["vec_id", "i"])
+    both = s.join(s.select((F.col("vec_id") - 1).alias("vec_id"), "i", F.col("x").alias("y")), ["vec_id", "i"])
 
     def f(x, y):
         def rest(target, *sources):
@@ -280,7 +280,7 @@ def spectral_granger(spark, sf_dir):
 @query()
 def line_noise_ica(spark, sf_dir):
     """Groups of ten vectors as channels: components with an outstanding share of power at 25 Hz are taken out."""
-    own = _series(spark, sf_dir).where("vec_id < 100").withColumn("g", F.floor(F.col("vec_id") / 10))
+    own = _series(spark, sf_dir).withColumn("g", F.floor(F.col("vec_id") / 10))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["vec_id", "i"])

@@ -84,23 +84,23 @@ def example_grid_signal(spark, sf_dir):
 
 @query(
     """im AS (SELECT user_id, i, x AS a FROM sig_ev WHERE x > 45), kn AS (SELECT k, exp(-k / 2.0::DOUBLE) AS v FROM range(5) r(k))
-  SELECT user_id, i + k AS i, round(sum(a * v), 5) AS x FROM im, kn WHERE i + k < 60 GROUP BY ALL"""
+  SELECT user_id, i + k AS i, round(sum(a * v), 5) AS x FROM im, kn GROUP BY ALL"""
 )
 def convolve_impulses(spark, sf_dir):
     im = views.sig_ev(spark, sf_dir).where("x > 45").select("user_id", "i", F.col("x").alias("a"))
     kernel = spark.range(5).select(F.col("id").alias("k"), F.exp(-F.col("id") / 2.0).alias("v"))
-    return gen.convolved(im, kernel, ["user_id"], 60).withColumn("x", F.round("x", 5))
+    return gen.convolved(im, kernel, ["user_id"]).withColumn("x", F.round("x", 5))
 
 
 SLOW = """sl AS (SELECT sx / 10.0::DOUBLE AS sx, sy / 10.0::DOUBLE AS sy FROM range(-3, 4) a(sx), range(-3, 4) b(sy)),
-  bf AS (SELECT vec_id, sx, sy, power(sum(x * cos(2 * pi() * 4 * (sx * ml + sy * ap) / 8)), 2) + power(sum(x * sin(2 * pi() * 4 * (sx * ml + sy * ap) / 8)), 2) AS p FROM sig_grid, sl WHERE vec_id < 50 GROUP BY ALL)"""
+  bf AS (SELECT vec_id, sx, sy, power(sum(x * cos(2 * pi() * 4 * (sx * ml + sy * ap) / 8)), 2) + power(sum(x * sin(2 * pi() * 4 * (sx * ml + sy * ap) / 8)), 2) AS p FROM sig_grid, sl GROUP BY ALL)"""
 
 
 @query(f"{SLOW} SELECT vec_id, sx, sy, round(p / 4096, 8) AS p FROM bf")
 def fk_spectrum(spark, sf_dir):
     """Beam power over a slowness grid."""
     axis = F.array(*[F.lit(k / 10.0) for k in range(-3, 4)])
-    g = views.sig_grid(spark, sf_dir).where("vec_id < 50").withColumn("sx", F.explode(axis)).withColumn("sy", F.explode(axis))
+    g = views.sig_grid(spark, sf_dir).withColumn("sx", F.explode(axis)).withColumn("sy", F.explode(axis))
     phase = 2 * math.pi * 4 * (F.col("sx") * F.col("ml") + F.col("sy") * F.col("ap")) / 8
     c, s = F.sum(F.col("x") * F.cos(phase)), F.sum(F.col("x") * F.sin(phase))
     return g.groupBy("vec_id", "sx", "sy").agg(F.round((c * c + s * s) / 4096, 8).alias("p"))
@@ -110,7 +110,7 @@ def fk_spectrum(spark, sf_dir):
 def kw_peaks(spark, sf_dir):
     """The two strongest bins but the one at 0, with their share of the rest."""
     axis = F.array(*[F.lit(k / 10.0) for k in range(-3, 4)])
-    g = views.sig_grid(spark, sf_dir).where("vec_id < 50").withColumn("sx", F.explode(axis)).withColumn("sy", F.explode(axis))
+    g = views.sig_grid(spark, sf_dir).withColumn("sx", F.explode(axis)).withColumn("sy", F.explode(axis))
     phase = 2 * math.pi * 4 * (F.col("sx") * F.col("ml") + F.col("sy") * F.col("ap")) / 8
     c, s = F.sum(F.col("x") * F.cos(phase)), F.sum(F.col("x") * F.sin(phase))
     p = g.groupBy("vec_id", "sx", "sy").agg((c * c + s * s).alias("p")).where("sx <> 0 or sy <> 0")
@@ -188,24 +188,24 @@ def top_n_correlation(spark, sf_dir):
 
 
 @query(
-    """c AS (SELECT vec_id AS ch, vec_id % 7 * 150.0::DOUBLE AS ap, vec_id % 5 * 170.0::DOUBLE AS ml, vec_id % 3 * 90.0::DOUBLE AS dv FROM embeddings WHERE vec_id < 80)
-  SELECT a.ch AS ch_i, b.ch AS ch_j, round(sqrt(power(a.ap - b.ap, 2) + power(a.ml - b.ml, 2) + power(a.dv - b.dv, 2)), 4) AS dist FROM c a JOIN c b ON a.ch < b.ch WHERE sqrt(power(a.ap - b.ap, 2) + power(a.ml - b.ml, 2) + power(a.dv - b.dv, 2)) >= 400"""
+    """c AS (SELECT vec_id AS ch, vec_id // 64 AS probe, vec_id % 7 * 150.0::DOUBLE AS ap, vec_id % 5 * 170.0::DOUBLE AS ml, vec_id % 3 * 90.0::DOUBLE AS dv FROM embeddings)
+  SELECT a.ch AS ch_i, b.ch AS ch_j, round(sqrt(power(a.ap - b.ap, 2) + power(a.ml - b.ml, 2) + power(a.dv - b.dv, 2)), 4) AS dist FROM c a JOIN c b ON a.probe = b.probe AND a.ch < b.ch WHERE sqrt(power(a.ap - b.ap, 2) + power(a.ml - b.ml, 2) + power(a.dv - b.dv, 2)) >= 400"""
 )
 def select_distant_channel_pairs(spark, sf_dir):
-    """Pairs of the few channels of one probe at least 400 um apart."""
-    c = views.table(spark, sf_dir, "embeddings").where("vec_id < 80").select(F.col("vec_id").alias("ch"), (F.col("vec_id") % 7 * 150.0).alias("ap"), (F.col("vec_id") % 5 * 170.0).alias("ml"), (F.col("vec_id") % 3 * 90.0).alias("dv"))
-    b = F.broadcast(c.select(F.col("ch").alias("ch_j"), F.col("ap").alias("ap2"), F.col("ml").alias("ml2"), F.col("dv").alias("dv2")))
+    """Pairs of channels at least 400 um apart, of probes of 64 channels each."""
+    c = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ch"), F.floor(F.col("vec_id") / 64).alias("probe"), (F.col("vec_id") % 7 * 150.0).alias("ap"), (F.col("vec_id") % 5 * 170.0).alias("ml"), (F.col("vec_id") % 3 * 90.0).alias("dv"))
+    b = c.select("probe", F.col("ch").alias("ch_j"), F.col("ap").alias("ap2"), F.col("ml").alias("ml2"), F.col("dv").alias("dv2"))
     d = F.sqrt(F.pow(F.col("ap") - F.col("ap2"), 2) + F.pow(F.col("ml") - F.col("ml2"), 2) + F.pow(F.col("dv") - F.col("dv2"), 2))
-    return c.join(b, F.col("ch") < F.col("ch_j")).withColumn("d", d).where("d >= 400").select(F.col("ch").alias("ch_i"), "ch_j", F.round("d", 4).alias("dist"))
+    return c.join(b, "probe").where(F.col("ch") < F.col("ch_j")).withColumn("d", d).where("d >= 400").select(F.col("ch").alias("ch_i"), "ch_j", F.round("d", 4).alias("dist"))
 
 
 @query(
-    """w AS (SELECT vec_id % 6 AS ch, vec_id // 6 AS seg, i, x FROM sig_64 WHERE vec_id < 240), p AS (SELECT a.seg, a.ch AS c1, b.ch AS c2, corr(a.x, b.x) AS r FROM w a JOIN w b ON a.seg = b.seg AND a.i = b.i AND b.ch >= a.ch + 3 GROUP BY ALL)
+    """w AS (SELECT vec_id % 6 AS ch, vec_id // 6 AS seg, i, x FROM sig_64), p AS (SELECT a.seg, a.ch AS c1, b.ch AS c2, corr(a.x, b.x) AS r FROM w a JOIN w b ON a.seg = b.seg AND a.i = b.i AND b.ch >= a.ch + 3 GROUP BY ALL)
   SELECT seg, round(avg(r), 7) AS emg, round(stddev_pop(r), 7) AS sd FROM p GROUP BY seg"""
 )
 def compute_emg_proxy(spark, sf_dir):
     """Mean and deviation of distant channels' correlations in each window."""
-    w = views.sig_64(spark, sf_dir).where("vec_id < 240").select((F.col("vec_id") % 6).alias("ch"), F.floor(F.col("vec_id") / 6).alias("seg"), "i", "x")
+    w = views.sig_64(spark, sf_dir).select((F.col("vec_id") % 6).alias("ch"), F.floor(F.col("vec_id") / 6).alias("seg"), "i", "x")
     b = w.select(F.col("ch").alias("c2"), "seg", "i", F.col("x").alias("y"))
     p = w.join(b, ["seg", "i"]).where("c2 >= ch + 3").groupBy("seg", "ch", "c2").agg(F.corr("x", "y").alias("r"))
     return p.groupBy("seg").agg(F.round(F.avg("r"), 7).alias("emg"), F.round(F.stddev_pop("r"), 7).alias("sd"))
@@ -225,10 +225,10 @@ def reshape_dimension(spark, sf_dir):
     return s.select("vec_id", F.floor(F.col("i") / 16).cast("int").alias("a"), (F.floor(F.col("i") / 4) % 4).cast("int").alias("b"), (F.col("i") % 4).cast("int").alias("c"), F.round("x", 6).alias("x"))
 
 
-@query('p AS (SELECT vec_id, ap, ml, x FROM sig_grid WHERE ml < 3) SELECT vec_id, ap, round(max(x) FILTER (ml = 0), 6) AS m0, round(max(x) FILTER (ml = 1), 6) AS m1, round(max(x) FILTER (ml = 2), 6) AS m2 FROM p GROUP BY vec_id, ap')
+@query('SELECT vec_id, ap, ' + ', '.join(f'round(max(x) FILTER (ml = {k}), 6) AS m{k}' for k in range(8)) + ' FROM sig_grid GROUP BY vec_id, ap')
 def unstack(spark, sf_dir):
-    got = views.sig_grid(spark, sf_dir).where("ml < 3").groupBy("vec_id", "ap").pivot("ml", [0, 1, 2]).agg(F.round(F.max("x"), 6))
-    return got.toDF("vec_id", "ap", "m0", "m1", "m2")
+    got = views.sig_grid(spark, sf_dir).groupBy("vec_id", "ap").pivot("ml", list(range(8))).agg(F.round(F.max("x"), 6))
+    return got.toDF("vec_id", "ap", *[f"m{k}" for k in range(8)])
 
 
 @query("SELECT vec_id, ap * 8 + ml AS row_major, ml * 8 + ap AS column_major, round(x, 6) AS x FROM sig_grid")
@@ -248,14 +248,14 @@ def dur_slice(spark, sf_dir):
 @query("SELECT round(avg(ap), 6)::DOUBLE AS ap, round(avg(ml), 6)::DOUBLE AS ml, ap // 4 AS a, ml // 4 AS m FROM (SELECT DISTINCT ap, ml FROM sig_grid) GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY ap // 4, ml // 4"))
 def subgrid_representatives(spark, sf_dir):
     """Mean index of each 4 x 4 block."""
-    g = views.sig_grid(spark, sf_dir).where("vec_id = 0")
+    g = views.sig_grid(spark, sf_dir).select("ap", "ml").distinct()
     return g.groupBy(F.floor(F.col("ap") / 4).alias("a"), F.floor(F.col("ml") / 4).alias("m")).agg(F.round(F.avg("ap"), 6).alias("ap"), F.round(F.avg("ml"), 6).alias("ml")).select("ap", "ml", F.col("a").cast("int").alias("a"), F.col("m").cast("int").alias("m"))
 
 
-@query("k AS (SELECT a.vec_id, a.ap, a.ml, b.ap - a.ap AS da, b.ml - a.ml AS dm, b.x FROM sig_grid a JOIN sig_grid b ON a.vec_id = b.vec_id AND b.ap - a.ap BETWEEN 0 AND 1 AND b.ml - a.ml BETWEEN 0 AND 2 WHERE a.vec_id < 60 AND a.ap < 7 AND a.ml < 6) SELECT vec_id, ap, ml, da, dm, round(x, 6) AS x FROM k WHERE (ap, ml) NOT IN (SELECT (ap, ml) FROM (VALUES (2, 3), (3, 3)) v(ap, ml))")
+@query("k AS (SELECT a.vec_id, a.ap, a.ml, b.ap - a.ap AS da, b.ml - a.ml AS dm, b.x FROM sig_grid a JOIN sig_grid b ON a.vec_id = b.vec_id AND b.ap - a.ap BETWEEN 0 AND 1 AND b.ml - a.ml BETWEEN 0 AND 2 WHERE a.ap < 7 AND a.ml < 6) SELECT vec_id, ap, ml, da, dm, round(x, 6) AS x FROM k WHERE (ap, ml) NOT IN (SELECT (ap, ml) FROM (VALUES (2, 3), (3, 3)) v(ap, ml))")
 def sliding_kernel_windows(spark, sf_dir):
     """2 x 3 windows of each grid but those that begin at bad electrodes."""
-    g = views.sig_grid(spark, sf_dir).where("vec_id < 60")
+    g = views.sig_grid(spark, sf_dir)
     anchors = g.where("ap < 7 and ml < 6").select("vec_id", "ap", "ml").where("not (ml = 3 and ap in (2, 3))")
     offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("da"), F.lit(m).alias("dm")) for a in range(2) for m in range(3)]))
     sent = anchors.withColumn("o", offsets).select("vec_id", "ap", "ml", "o.da", "o.dm", (F.col("ap") + F.col("o.da")).alias("a2"), (F.col("ml") + F.col("o.dm")).alias("m2"))

@@ -27,11 +27,11 @@ def _grid(spark, sf_dir):
 
 
 # Channel features: vectors of one label are the samples, positions the channels.
-CH = "ch AS (SELECT (i // 8)::INT AS ap, (i % 8)::INT AS ml, vec_id AS n, x FROM sig_64 WHERE vec_id < 256)"
+CH = "ch AS (SELECT (i // 8)::INT AS ap, (i % 8)::INT AS ml, vec_id AS n, x FROM sig_64)"
 
 
 def _channels(spark, sf_dir):
-    s = _grid(spark, sf_dir).where("vec_id < 256")
+    s = _grid(spark, sf_dir)
     return s.select("ap", "ml", F.col("vec_id").alias("n"), "x")
 
 
@@ -49,7 +49,7 @@ def extract_channel_features(spark, sf_dir):
     return _channels(spark, sf_dir).groupBy("ap", "ml").agg(*[F.round(c(), 6).alias(n) for n, (c, _) in FEATURES.items()])
 
 
-@query(f"{CH}, w AS (SELECT unnest(range(0, (256 - 60) // 25 + 1)) AS win) SELECT win, ap, ml, {', '.join(f'round({s}, 6) AS {n}' for n, (_, s) in FEATURES.items())} FROM ch JOIN w ON n >= win * 25 AND n < win * 25 + 60 GROUP BY win, ap, ml")
+@query(f"{CH}, w AS (SELECT unnest(range(0, (max(n) + 1 - 60) // 25 + 1)) AS win FROM ch) SELECT win, ap, ml, {', '.join(f'round({s}, 6) AS {n}' for n, (_, s) in FEATURES.items())} FROM ch JOIN w ON n >= win * 25 AND n < win * 25 + 60 GROUP BY win, ap, ml")
 def compute_features_sliding(spark, sf_dir):
     own = windows.running_reduce(_channels(spark, sf_dir), ["ap", "ml"], 60, 25, "n", **{n: c() for n, (c, _) in FEATURES.items()})
     return own.select("win", "ap", "ml", *[F.round(n, 6).alias(n) for n in FEATURES])
@@ -112,7 +112,7 @@ def butterworth_bandpass_shoulder(spark, sf_dir):
 @query()
 def median_highpass(spark, sf_dir):
     """x less a 3 x 3 x 5 median over places and samples; ten vectors in a row are the samples."""
-    own = _grid(spark, sf_dir).where("vec_id < 100").withColumn("g", F.floor(F.col("vec_id") / 10))
+    own = _grid(spark, sf_dir).withColumn("g", F.floor(F.col("vec_id") / 10))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["vec_id", "ap", "ml"])
@@ -269,7 +269,7 @@ def detect_blobs(spark, sf_dir):
 @query()
 def track_extrema(spark, sf_dir):
     """Minima of consecutive frames within one electrode keep their label; ten vectors in a row are the frames."""
-    own = _grid(spark, sf_dir).where("vec_id < 100").withColumn("g", F.floor(F.col("vec_id") / 10))
+    own = _grid(spark, sf_dir).withColumn("g", F.floor(F.col("vec_id") / 10))
     low = spatial.extrema(own, ["g", "vec_id"], spatial.ADJACENCY["queen"])
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -279,7 +279,7 @@ def track_extrema(spark, sf_dir):
 
 
 def _frames(spark, sf_dir):
-    return _grid(spark, sf_dir).where("vec_id < 320").withColumn("g", F.floor(F.col("vec_id") / 32))
+    return _grid(spark, sf_dir).withColumn("g", F.floor(F.col("vec_id") / 32))
 
 
 def _cube(p: pd.DataFrame) -> np.ndarray:
@@ -325,7 +325,7 @@ def optical_flow(spark, sf_dir):
         n, a, m = np.indices(u.shape)
         return pd.DataFrame({"g": int(p["g"].iloc[0]), "frame": n.ravel(), "ap": a.ravel(), "ml": m.ravel(), "u": np.round(u.ravel(), 5), "v": np.round(v.ravel(), 5)})
 
-    return _frames(spark, sf_dir).where("g < 3").groupBy("g").applyInPandas(run, "g long, frame int, ap int, ml int, u double, v double")
+    return _frames(spark, sf_dir).groupBy("g").applyInPandas(run, "g long, frame int, ap int, ml int, u double, v double")
 
 
 @query("SELECT vec_id, count(*) AS n, round(sum(x), 5) AS s FROM sig_grid GROUP BY vec_id")
@@ -340,7 +340,7 @@ def spatial_shuffle(spark, sf_dir):
 @query()
 def surrogate_test(spark, sf_dir):
     """Share of 40 spatial shuffles whose Moran index reaches the frame's own."""
-    g = _grid(spark, sf_dir).where("vec_id < 20")
+    g = _grid(spark, sf_dir)
     many = g.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(39))))
     order = F.xxhash64("r", "vec_id", "ap", "ml")
     many = many.withColumn("k", F.row_number().over(W.partitionBy("vec_id", "r").orderBy(order, "ap", "ml")) - 1)
@@ -385,13 +385,13 @@ def burst_wave_phase(spark, sf_dir):
 
 
 @query(
-    """a AS (SELECT vec_id, i, x FROM sig_64 WHERE vec_id < 40) SELECT a.vec_id AS v1, b.vec_id AS v2, round(corr(a.x, b.x), 6) AS r FROM a JOIN a b ON a.i = b.i AND a.vec_id < b.vec_id GROUP BY a.vec_id, b.vec_id"""
+    """a AS (SELECT vec_id, vec_id // 40 AS g, i, x FROM sig_64) SELECT a.vec_id AS v1, b.vec_id AS v2, round(corr(a.x, b.x), 6) AS r FROM a JOIN a b ON a.g = b.g AND a.i = b.i AND a.vec_id < b.vec_id GROUP BY a.vec_id, b.vec_id"""
 )
 def burst_correlation_matrix(spark, sf_dir):
-    """Correlations of all pairs of forty windows, a stated set."""
-    a = _series(spark, sf_dir).where("vec_id < 40").select(F.col("vec_id").alias("v1"), "i", "x")
-    b = a.select(F.col("v1").alias("v2"), "i", F.col("x").alias("y"))
-    return a.join(b, "i").where("v1 < v2").groupBy("v1", "v2").agg(F.round(F.corr("x", "y"), 6).alias("r"))
+    """Correlations of the pairs within groups of forty windows."""
+    a = _series(spark, sf_dir).select(F.col("vec_id").alias("v1"), F.floor(F.col("vec_id") / 40).alias("g"), "i", "x")
+    b = a.select(F.col("v1").alias("v2"), "g", "i", F.col("x").alias("y"))
+    return a.join(b, ["g", "i"]).where("v1 < v2").groupBy("v1", "v2").agg(F.round(F.corr("x", "y"), 6).alias("r"))
 
 
 @query()

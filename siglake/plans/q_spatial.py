@@ -40,7 +40,7 @@ for _k in NEAR:
 
 def _adjacency(kind: str) -> None:
     def run(spark, sf_dir):
-        return spatial.edges(_grid(spark, sf_dir).where("vec_id = 0"), spatial.ADJACENCY[kind])
+        return spatial.edges(_grid(spark, sf_dir), spatial.ADJACENCY[kind])
 
     query(f"g AS (SELECT DISTINCT ap, ml FROM sig_grid) SELECT a.ap, a.ml, b.ap AS ap_to, b.ml AS ml_to FROM g a, g b WHERE {NEAR[kind]}", f"adjacency_edges_{kind}")(run)
 
@@ -51,12 +51,12 @@ for _k in NEAR:
 
 @query("g AS (SELECT DISTINCT ap, ml FROM sig_grid) SELECT a.ap, a.ml, b.ap AS ap_to, b.ml AS ml_to FROM g a, g b WHERE abs(a.ap - b.ap) + abs(a.ml - b.ml) BETWEEN 1 AND 2")
 def footprint_edges(spark, sf_dir):
-    return spatial.edges(_grid(spark, sf_dir).where("vec_id = 0"), spatial.footprint(2))
+    return spatial.edges(_grid(spark, sf_dir), spatial.footprint(2))
 
 
 @query("g AS (SELECT DISTINCT ap, ml, (ap // 4) AS l FROM sig_grid) SELECT a.ap, a.ml, b.ap AS ap_to, b.ml AS ml_to FROM g a, g b WHERE a.l = b.l AND abs(a.ap - b.ap) + abs(a.ml - b.ml) = 1")
 def grouped_grid_adjacency(spark, sf_dir):
-    labelled = _grid(spark, sf_dir).where("vec_id = 0").withColumn("l", F.floor(F.col("ap") / 4))
+    labelled = _grid(spark, sf_dir).withColumn("l", F.floor(F.col("ap") / 4))
     return spatial.edges(labelled, spatial.ADJACENCY["rook"], "l")
 
 
@@ -139,12 +139,12 @@ def normalize_ratio(spark, sf_dir):
 
 
 @query(
-    f"""s AS (SELECT ap * 8 + ml AS ch, ap, ml, vec_id AS i, x FROM sig_grid WHERE vec_id < 60), c AS (SELECT a.ap, a.ml, coalesce(corr(a.x, b.x), 0) AS r FROM s a JOIN s b ON a.i = b.i AND {NEAR["queen"]} GROUP BY a.ap, a.ml, b.ap, b.ml)
+    f"""s AS (SELECT ap * 8 + ml AS ch, ap, ml, vec_id AS i, x FROM sig_grid), c AS (SELECT a.ap, a.ml, coalesce(corr(a.x, b.x), 0) AS r FROM s a JOIN s b ON a.i = b.i AND {NEAR["queen"]} GROUP BY a.ap, a.ml, b.ap, b.ml)
   SELECT ap, ml, round(1 - median(r), 6) AS anticorrelation FROM c GROUP BY ap, ml"""
 )
 def anticorrelation(spark, sf_dir):
     """One less the median correlation with neighbours, vectors taken as samples."""
-    s = _grid(spark, sf_dir).where("vec_id < 60")
+    s = _grid(spark, sf_dir)
     pairs = s.select("vec_id", F.col("ap").alias("ap_to"), F.col("ml").alias("ml_to"), F.col("x").alias("y"))
     e = spatial.edges(s, spatial.ADJACENCY["queen"])
     r = s.join(F.broadcast(e), ["ap", "ml"]).join(pairs, ["vec_id", "ap_to", "ml_to"]).groupBy("ap", "ml", "ap_to", "ml_to").agg(F.coalesce(F.corr("x", "y"), F.lit(0.0)).alias("r"))
@@ -177,10 +177,10 @@ REFLECT = "CASE WHEN {0} < 0 THEN -({0}) - 1 WHEN {0} > 7 THEN 15 - ({0}) ELSE {
 
 @query(
     f"""k AS (SELECT a, exp(-a * a / 2.0::DOUBLE) AS e FROM (SELECT unnest(range(-4, 5)) AS a)), o AS (SELECT x.a, y.a AS m, x.e * y.e / power((SELECT sum(e) FROM k), 2) AS w FROM k x, k y)
-  SELECT g.vec_id, g.ap, g.ml, round(sum(w * b.x), 6) AS y FROM sig_grid g, o JOIN sig_grid b ON b.vec_id = g.vec_id AND b.ap = {REFLECT.format("g.ap + a")} AND b.ml = {REFLECT.format("g.ml + m")} WHERE g.vec_id < 100 GROUP BY ALL"""
+  SELECT g.vec_id, g.ap, g.ml, round(sum(w * b.x), 6) AS y FROM sig_grid g, o JOIN sig_grid b ON b.vec_id = g.vec_id AND b.ap = {REFLECT.format("g.ap + a")} AND b.ml = {REFLECT.format("g.ml + m")} GROUP BY ALL"""
 )
 def gaussian_spatial(spark, sf_dir):
-    return spatial.gaussian(_grid(spark, sf_dir).where("vec_id < 100"), K, 1.0, 8, 8).select("vec_id", "ap", "ml", F.round("y", 6).alias("y"))
+    return spatial.gaussian(_grid(spark, sf_dir), K, 1.0, 8, 8).select("vec_id", "ap", "ml", F.round("y", 6).alias("y"))
 
 
 @query(
@@ -257,7 +257,7 @@ def common_median_reference(spark, sf_dir):
     return _grid(spark, sf_dir).select("vec_id", F.col("ml").alias("i"), F.col("ap").alias("ch"), F.round(F.col("x") - F.median("x").over(w), 6).alias("y"))
 
 
-FLOW = """v AS (SELECT a.vec_id, a.ap, a.ml, a.x AS u, b.x AS v FROM sig_grid a JOIN sig_grid b ON b.vec_id = a.vec_id + 1 AND b.ap = a.ap AND b.ml = a.ml WHERE a.vec_id % 5 = 0),
+FLOW = """v AS (SELECT a.vec_id, a.ap, a.ml, a.x AS u, b.x AS v FROM sig_grid a JOIN sig_grid b ON b.vec_id = a.vec_id + 1 AND b.ap = a.ap AND b.ml = a.ml),
   g AS (SELECT *, coalesce((lead(u) OVER m - lag(u) OVER m) / 2, lead(u) OVER m - u, u - lag(u) OVER m) AS du_ml, coalesce((lead(v) OVER m - lag(v) OVER m) / 2, lead(v) OVER m - v, v - lag(v) OVER m) AS dv_ml,
     coalesce((lead(u) OVER a - lag(u) OVER a) / 2, lead(u) OVER a - u, u - lag(u) OVER a) AS du_ap, coalesce((lead(v) OVER a - lag(v) OVER a) / 2, lead(v) OVER a - v, v - lag(v) OVER a) AS dv_ap
     FROM v WINDOW m AS (PARTITION BY vec_id, ap ORDER BY ml), a AS (PARTITION BY vec_id, ml ORDER BY ap))"""
@@ -265,7 +265,7 @@ FLOW = """v AS (SELECT a.vec_id, a.ap, a.ml, a.x AS u, b.x AS v FROM sig_grid a
 
 def _flow(spark, sf_dir):
     g = _grid(spark, sf_dir)
-    u = g.where("vec_id % 5 = 0").withColumnRenamed("x", "u")
+    u = g.withColumnRenamed("x", "u")
     v = u.join(g.select((F.col("vec_id") - 1).alias("vec_id"), "ap", "ml", F.col("x").alias("v")), ["vec_id", "ap", "ml"])
     a = spatial.gradients(v, K, "u").withColumnRenamed("g_ap", "du_ap").withColumnRenamed("g_ml", "du_ml")
     return spatial.gradients(a, K, "v").withColumnRenamed("g_ap", "dv_ap").withColumnRenamed("g_ml", "dv_ml")

@@ -120,12 +120,12 @@ def compress_specgram(spark, sf_dir):
     return _psd(spark, sf_dir).where(F.col("freq").between(1, 30)).select("vec_id", "k", F.round("p", 6).cast("float").alias("p"))
 
 
-BEFORE = f"""{PSD}, af AS (SELECT a.vec_id, a.k, a.freq, a.p AS p0, b.p AS p1 FROM psd a JOIN psd b ON b.vec_id = a.vec_id + 1 AND b.k = a.k WHERE a.vec_id % 2 = 0)"""
+BEFORE = f"""{PSD}, af AS (SELECT a.vec_id, a.k, a.freq, a.p AS p0, b.p AS p1 FROM psd a JOIN psd b ON b.vec_id = a.vec_id + 1 AND b.k = a.k)"""
 
 
 def _pairs(spark, sf_dir):
     p = _psd(spark, sf_dir)
-    return p.where("vec_id % 2 = 0"), p.where("vec_id % 2 = 1").withColumn("vec_id", F.col("vec_id") - 1)
+    return p, p.withColumn("vec_id", F.col("vec_id") - 1)
 
 
 @query(
@@ -180,7 +180,7 @@ def ar_whitening(spark, sf_dir):
 # Cross spectra: stretches of 16 samples take the place of tapers, so that SQL can form the same transforms.
 TAPERS = """s AS (SELECT vec_id, (i // 16)::INT AS taper, i % 16 AS j, x FROM sig_64), ks AS (SELECT unnest(range(9)) AS k),
   y AS (SELECT vec_id, taper, k::INT AS k, k * 6.25::DOUBLE AS freq, sum(x * cos(2 * pi() * k * j / 16)) AS re, -sum(x * sin(2 * pi() * k * j / 16)) AS im FROM s, ks GROUP BY vec_id, taper, k),
-  pr AS (SELECT a.vec_id, a.k, a.freq, a.re * b.re + a.im * b.im AS cr, a.im * b.re - a.re * b.im AS ci, a.re * a.re + a.im * a.im AS xx, b.re * b.re + b.im * b.im AS yy FROM y a JOIN y b ON b.vec_id = a.vec_id + 1 AND a.k = b.k AND a.taper = b.taper WHERE a.vec_id % 2 = 0)"""
+  pr AS (SELECT a.vec_id, a.k, a.freq, a.re * b.re + a.im * b.im AS cr, a.im * b.re - a.re * b.im AS ci, a.re * a.re + a.im * a.im AS xx, b.re * b.re + b.im * b.im AS yy FROM y a JOIN y b ON b.vec_id = a.vec_id + 1 AND a.k = b.k AND a.taper = b.taper)"""
 
 
 def _tapers(spark, sf_dir):
@@ -194,7 +194,7 @@ def _tapers(spark, sf_dir):
 
 def _cross(spark, sf_dir):
     y = _tapers(spark, sf_dir)
-    return spectral.cross(y.where("vec_id % 2 = 0"), y.where("vec_id % 2 = 1").withColumn("vec_id", F.col("vec_id") - 1), K)
+    return spectral.cross(y, y.withColumn("vec_id", F.col("vec_id") - 1), K)
 
 
 @query(f"{TAPERS} SELECT vec_id, k, round(avg(cr), 6) AS re, round(avg(ci), 6) + 0.0 AS im FROM pr WHERE k BETWEEN 1 AND 7 GROUP BY vec_id, k")

@@ -105,11 +105,11 @@ def lagged_design_matrix(spark, sf_dir):
 
 
 @query(
-    f"{EPOCHS}, tm AS (SELECT lag + 3 AS k, avg(x) AS template FROM ep GROUP BY lag) SELECT user_id, event_id, i0 - 3 + k AS i, round(template, 6) AS value FROM e, tm WHERE i0 - 3 + k BETWEEN 0 AND 49"
+    f"{EPOCHS}, tm AS (SELECT lag + 3 AS k, avg(x) AS template FROM ep GROUP BY lag) SELECT user_id, event_id, i0 - 3 + k AS i, round(template, 6) AS value FROM e, tm WHERE i0 - 3 + k BETWEEN 0 AND 99999"
 )
 def event_design_matrix(spark, sf_dir):
     tm = triggered.template(_epochs(spark, sf_dir), []).select((F.col("lag") + 3).alias("k"), "template")
-    both = triggered.event_design(_events(spark, sf_dir).withColumn("s", F.col("i0") - 3).withColumn("id", F.struct("user_id", "event_id")), tm, [], "s", 50, "id")
+    both = triggered.event_design(_events(spark, sf_dir).withColumn("s", F.col("i0") - 3).withColumn("id", F.struct("user_id", "event_id")), tm, [], "s", 100000, "id")
     return both.select("id.user_id", "id.event_id", "i", F.round("value", 6).alias("value"))
 
 

@@ -97,13 +97,13 @@ def bin_data(spark, sf_dir):
 
 
 @query(
-    """p AS (SELECT a.user_id, a.i // 16 AS win, a.x AS x, b.x AS y FROM sig_ev a JOIN sig_ev b ON b.user_id = a.user_id + 1 AND b.i = a.i WHERE a.user_id % 10 = 0)
+    """p AS (SELECT a.user_id, a.i // 16 AS win, a.x AS x, b.x AS y FROM sig_ev a JOIN sig_ev b ON b.user_id = a.user_id + 1 AND b.i = a.i)
   SELECT user_id, win, round(corr(x, y), 6) AS r FROM p GROUP BY ALL HAVING count(*) = 16"""
 )
 def running_corrcoef(spark, sf_dir):
-    """Correlation of two users' series in each complete window of 16 samples."""
+    """Correlation of neighbouring users' series in each complete window of 16 samples."""
     s = views.sig_ev(spark, sf_dir)
-    a = s.where("user_id % 10 = 0").select("user_id", "i", "x")
+    a = s.select("user_id", "i", "x")
     b = s.select((F.col("user_id") - 1).alias("user_id"), "i", F.col("x").alias("y"))
     got = a.join(b, ["user_id", "i"]).groupBy("user_id", F.floor(F.col("i") / 16).alias("win")).agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
     return got.where("n = 16").select("user_id", "win", F.round("r", 6).alias("r"))
