@@ -103,7 +103,8 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     tokens = urls.where("url is not null").select("url", tokens_of(F.col("url")).alias("tokens")).select("url", "tokens", F.explode("tokens").alias("token"))
     fits = tokens.join(index, "token").where(F.size(F.array_except("items", "tokens")) == 0)
     best = F.max_by("verdict", F.struct("confidence", "support", F.size("items"), (F.col("verdict") == "block").cast("int")))
-    return fits.groupBy("url").agg(best.alias("mined"))
+    # Cut off here, so that a join on a very common url has exchanges of its own on both sides and can be split.
+    return checkpointed(fits.groupBy("url").agg(best.alias("mined")))
 
 
 def url_verdicts(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
