@@ -73,7 +73,7 @@ class BucketQueue:
 
 def _types(s: np.ndarray) -> np.ndarray:
     """True: type S. The last suffix is L, as nothing follows it but the end, which is smallest."""
-    step = np.sign(np.append(s[1:].astype(np.int64), -1) - s)
+    step = np.sign(np.append(s[1:].astype(np.int64), -1) - s.astype(np.int64))
     at = np.where(step != 0, np.arange(len(s)), len(s) - 1)
     return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
@@ -154,12 +154,13 @@ def _doubling(names: np.ndarray) -> np.ndarray:
     rank, width = names.astype(np.int64), 1
     n = len(rank)
     while True:
-        second = np.full(n, -1, dtype=np.int64)
-        second[: n - width] = rank[width:]
-        order = np.lexsort((second, rank))
+        pair = rank * (n + 1)
+        pair[: n - width] += rank[width:] + 1
+        order = np.argsort(pair)
+        own = pair[order]
         new = np.ones(n, dtype=np.int64)
         new[0] = 0
-        new[1:] = (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])
+        new[1:] = own[1:] != own[:-1]
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(new)
         width *= 2
@@ -175,6 +176,7 @@ def suffix_array(s: np.ndarray, letters: int | None = None) -> np.ndarray:
     letters = int(s.max()) + 1 if letters is None else letters
     if letters > 4096:
         return _doubling(s)
+    s = s.astype(np.uint16)  # which numpy sorts by radix
     small = _types(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) > 1:
