@@ -79,6 +79,7 @@ class Block:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.passages = [(item, words, answer) for item, text in items for words, answer in passages_of(text)]
+        self.counts = [Counter(words) for _, words, _ in self.passages]
         vocabulary = sorted({w for _, words, _ in self.passages for w in words})
         self.words = {w: k + 1 for k, w in enumerate(vocabulary)}  # 0: any other word
         self.idf = np.zeros(len(self.words) + 1, dtype=np.float32)
@@ -185,7 +186,8 @@ def leaks_of(text: str | None, block: Block) -> dict[int, tuple[float, float, fl
         item, pattern, answer = block.passages[j]
         lo = max(0, HOP * i - len(pattern))
         region = words[lo : HOP * i + PASSAGE + len(pattern)]
-        if len(set(pattern) & set(region)) < LIKE * len(set(pattern)):
+        own = block.counts[j]
+        if sum(map(own.__getitem__, own.keys() & region)) < LIKE * len(pattern):
             continue  # a common subsequence can't be longer
         common, at = best_stretch(pattern, region)
         share = common / len(pattern)
