@@ -33,8 +33,10 @@ BITS = {"hex": 2.9, "base64": 3.75}
 ALLOW = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"(0123456789|abcdefghij|ABCDEFGHIJ|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|[Cc][Hh][Aa][Nn][Gg][Ee][Mm][Ee])",
-    r"^(/?[A-Za-z]+[0-9]{0,4}[-_/=+]+)+[A-Za-z0-9]{0,12}$",
+    r"^/?(?:[A-Za-z]+[0-9]{0,4}[-_/=+]+)+[A-Za-z0-9]{0,12}$",
 )
+#: The last of these looks at so many characters at most: Java's matcher recurses for each round of a group.
+ALLOW_CHARS = 200
 
 
 def weights() -> list[int]:
@@ -91,7 +93,7 @@ def _least_weight(run: Column) -> Column:
 
 def _secret_run(run: Column) -> Column:
     mixed = run.rlike("[0-9]") & run.rlike("[A-Za-z]")
-    allowed = run.rlike(ALLOW[0]) | run.rlike(ALLOW[1]) | run.rlike(ALLOW[2])
+    allowed = run.rlike(ALLOW[0]) | run.rlike(ALLOW[1]) | F.substring(run, 1, ALLOW_CHARS).rlike(ALLOW[2])
     most = F.when(run.rlike("^[0-9a-fA-F]+$"), F.lit(most_weight("hex"))).otherwise(F.lit(most_weight("base64")))
     return F.when(~mixed | allowed, F.lit(False)).otherwise(_least_weight(run) <= most)
 
@@ -153,7 +155,7 @@ def sql() -> str:
         f"list_min(list_transform(range(1, length(m) - {WINDOW} + 2), lambda i: list_sum(list_transform(list_distinct(string_split(m[i:i + {WINDOW - 1}], '')),"
         f" lambda c: ({f})[{WINDOW} - length(replace(m[i:i + {WINDOW - 1}], c, ''))]))))"
     )
-    allow = " OR ".join(f"regexp_matches(m, '{q(x)}')" for x in ALLOW)
+    allow = " OR ".join(f"regexp_matches({m}, '{q(x)}')" for m, x in zip(("m", "m", f"m[1:{ALLOW_CHARS}]"), ALLOW, strict=True))
     spell = lambda own: f"coalesce(string_agg(['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k){own}, '')"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
