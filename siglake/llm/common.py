@@ -26,11 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+_written: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables that operators have written in this process, once their results are saved; how many there were."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage by a table in the shared folder, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.parquet(path)
 
 

@@ -51,6 +51,26 @@ def test_entropy_spans(spark):
     assert abs(math.log2(20) - weight / 20 / secret_scan.UNIT - entropy(key)) < 1e-5
 
 
+def test_secret_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    r = random.Random(14)
+    pieces = ['token = "', "Secret:", "api_key=", "passwd  :  '", "AKIA", "0123456789abcdef", "deadBEEF99", "é😀", " ", "\n", "-", "/", "=", "x7Qp", "example", "Zq9kL2mN8vB4xC6wT1yR"]
+    texts = plain.ODD_TEXTS + ["".join(r.choices(pieces, k=r.randint(0, 25))) for _ in range(400)]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.op1_secret_scan(spark, str(tmp_path)).collect()))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(c.execute(queries.oracle_sql()["op1_secret_scan"]).fetchall()) == got and any("entropy" in x[-1] for x in got)
+
+
+def test_secrets_in_very_long_runs(spark):
+    texts = ["a1//" * 30_000 + "z" * 40 + "9", "ab-" * 50_000 + "Q7" * 30, "0" * 100_000, "token=" * 20_000]
+    got = {r["doc_id"]: r["secrets"] for r in secret_scan.scanned(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert [tuple(x) for x in got[i] if x["k"] < 3] == plain.secrets(t)
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = frame(spark, [None, "", "token = 'abcdefgh12345678' and " + "0a" * 20 + "!", "clean é text"])
     out = secret_scan.redacted(docs)
@@ -308,6 +328,13 @@ def test_decontamination(spark):
     assert decontamination.leaks(frame(spark, texts), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_repeated_words(spark):
+    item = "na na na na na na na batman hey jude"
+    texts = ["they sang na na na na na na na batman hey jude all night", "na na na na na na na na other words hey jude follow", "not a word of it is here at all"]
+    got = decontamination.leaks(frame(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r["doc_id"]: round(r["lcs"], 2) for r in got} == {0: 1.0, 1: 0.9}
+
+
 def test_lcs():
     r = random.Random(10)
     for _ in range(200):

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -82,3 +83,12 @@ def test_run_on_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_written_tables_can_be_dropped(spark):
+    from siglake.llm.common import drop_written, shared_dir, written
+
+    drop_written(spark)
+    assert written(spark.range(3), "some").count() == 3
+    found = lambda: list(Path(shared_dir(spark).removeprefix("file:")).glob("some-*"))
+    assert len(found()) == 1 and drop_written(spark) == 1 and not found()
