@@ -4,7 +4,9 @@
 2. Document frequencies of the block's words are counted over all documents.
 3. A randomised SVD of the passages' TF-IDF matrix, computed by partial products on the executors, gives a latent space.
 4. Overlapping windows of every whole document are folded into that space. Passages of cosine `COSINE` or more are
-   candidates; neither their number nor that of windows is capped.
+   candidates; neither their number nor that of windows is capped. What the space doesn't carry is found by words: a leak
+   holds a known number of a passage's words, so however many of the commonest are left out, a known number of the others
+   is in its stretch. Every stretch that holds them is a candidate too, hence no leak is lost to the rank or the cosine.
 5. A candidate is a leak if the longest common subsequence with a stretch of the document covers `SAME` of the passage's
    words, or `LIKE` of them and the passage's answer, its last sentence, is there as well (a paraphrase).
 
@@ -18,7 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -65,15 +67,26 @@ def lcs(pattern: list[bytes], words: list[bytes]) -> int:
     return len(pattern) - open_.bit_count()
 
 
+def stretch_words(n: int) -> int:
+    """Words of the stretches that a passage of n words is compared with."""
+    return n + n // 4 + 2
+
+
 def best_stretch(pattern: list[bytes], words: list[bytes]) -> tuple[int, int]:
     """Longest common subsequence with any stretch a little longer than the pattern; and the first stretch that has it."""
-    span, step = len(pattern) + len(pattern) // 4 + 2, max(1, len(pattern) // 8)
+    span, step = stretch_words(len(pattern)), max(1, len(pattern) // 8)
     starts = range(0, max(1, len(words) - span + step), step)
     found = [lcs(pattern, words[i : i + span]) for i in starts]
     best = max(found)
     return best, starts[found.index(best)]
 
 
+def least_common(n: int, answered: bool) -> int:
+    """Least common subsequence with which a passage of n words can be a leak."""
+    least = 1.0 if n < SHORT else LIKE if answered else SAME
+    return next(k for k in range(n + 1) if k / n >= least)
+
+
 class Block:
     """Items of one block: words, vectors in the latent space, passages."""
 
@@ -96,6 +109,46 @@ class Block:
             out.append((list(n), (x / max(np.linalg.norm(x), 1e-12)).tolist()))
         return out
 
+    def index_words(self) -> None:
+        """For each passage its rarer words, and how many of them any leak holds: half of what it must hold in all, or more.
+
+        The commonest words are left out while their number is within the other half, so this is a bound and no estimate.
+        """
+        self.rare, self.least, self.hops = [], [], []
+        for (_, words, answer), own in zip(self.passages, self.counts, strict=True):
+            least = most = least_common(len(words), bool(answer))
+            kept = []
+            for w in sorted(own, key=lambda w: (self.idf[self.words[w]], w)):
+                if 2 * (least - own[w]) >= most:
+                    least -= own[w]
+                else:
+                    kept.append((self.words[w], own[w]))
+            self.rare.append(tuple(np.array(x, dtype=np.int64) for x in zip(*kept, strict=True)))
+            self.least.append(least)
+            self.hops.append(-(-(stretch_words(len(words)) + HOP - 1) // HOP))
+        self.least = np.array(self.least)
+        of = np.concatenate([k for k, _ in self.rare])
+        order = np.argsort(of, kind="stable")
+        self.column = np.repeat(np.arange(len(self.rare)), [len(k) for k, _ in self.rare])[order]
+        self.weight = np.concatenate([n for _, n in self.rare])[order]
+        self.first = np.searchsorted(of[order], np.arange(len(self.words) + 2))
+
+    def sharing(self, index: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(first stretch, passage) of every window of a document that holds enough of the passage's rarer words."""
+        there = np.unique(index)
+        n = self.first[there + 1] - self.first[there]
+        at = np.repeat(self.first[there] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        total = np.bincount(self.column[at], self.weight[at], minlength=len(self.least))
+        scratch, starts = np.zeros(len(self.words) + 1, dtype=np.int64), np.arange(0, len(index), HOP)
+        for j in np.flatnonzero(total >= self.least).tolist():
+            words, weights = self.rare[j]
+            scratch[words] = weights
+            upto = np.concatenate([[0], np.cumsum(np.add.reduceat(scratch[index], starts))])
+            scratch[words] = 0
+            held = upto[np.minimum(np.arange(len(starts)) + self.hops[j], len(starts))] - upto[:-1]
+            for i in np.flatnonzero(held >= self.least[j]).tolist():
+                yield i, j
+
     def project(self, basis: np.ndarray) -> None:
         """basis: a row for each word."""
         self.by_word = (basis * self.idf[:, None]).astype(np.float32)
@@ -103,6 +156,7 @@ class Block:
         own = (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)).astype(np.float32)
         small = np.array([len(words) <= SMALL for _, words, _ in self.passages])
         self.sizes = [(hops, np.flatnonzero(which), own[which]) for hops, which in ((2, small), (4, ~small)) if which.any()]
+        self.vectors = own
 
 
 def document_frequencies(docs: DataFrame, block: Block) -> tuple[np.ndarray, int]:
@@ -158,6 +212,7 @@ def fitted(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> B
     n, total = document_frequencies(docs, block)
     block.idf = np.log((1 + total) / (1 + n)).astype(np.float32) + 0.1
     block.idf[0] = 0
+    block.index_words()
     rows = spark.createDataFrame(block.rows(), "at array<int>, x array<double>").repartition(max(1, min(8, len(block.passages) // 500)))
     block.project(randomised_basis(rows, len(block.words) + 1, rank))
     return block
@@ -175,19 +230,28 @@ def candidates(parts: np.ndarray, block: Block) -> Iterator[tuple[int, int, floa
             yield int(i), int(own[j]), float(near[i, j])
 
 
+def window_cosine(parts: np.ndarray, i: int, j: int, block: Block) -> float:
+    """The best cosine of passage j with the windows that start in the stretches looked at from i on."""
+    hops = 2 if len(block.passages[j][1]) <= SMALL else 4
+    near = [parts[k : k + hops].sum(axis=0) for k in range(i, min(i + block.hops[j], len(parts)))]
+    return max(float(x @ block.vectors[j]) / max(float(np.linalg.norm(x)), 1e-6) for x in near)
+
+
 def leaks_of(text: str | None, block: Block) -> dict[int, tuple[float, float, float, int]]:
     """item -> (lcs, answer, cosine, first word) of a whole text."""
     words, best = words_of(text), {}
     if not words:
         return best
-    starts = np.arange(0, len(words), HOP)
-    parts = np.add.reduceat(block.by_word[block.index(words)], starts, axis=0)
-    for i, j, cosine in candidates(parts, block):
+    starts, index = np.arange(0, len(words), HOP), block.index(words)
+    parts = np.add.reduceat(block.by_word[index], starts, axis=0)
+    near = ((i, j, cosine, HOP * i - len(block.passages[j][1]), HOP * i + PASSAGE + len(block.passages[j][1])) for i, j, cosine in candidates(parts, block))
+    sharing = ((i, j, None, HOP * i, HOP * (i + block.hops[j])) for i, j in block.sharing(index))
+    for i, j, cosine, lo, hi in chain(near, sharing):
         item, pattern, answer = block.passages[j]
-        lo = max(0, HOP * i - len(pattern))
-        region = words[lo : HOP * i + PASSAGE + len(pattern)]
+        lo = max(0, lo)
+        region = words[lo:hi]
         own = block.counts[j]
-        if sum(map(own.__getitem__, own.keys() & region)) < LIKE * len(pattern):
+        if sum(map(own.__getitem__, own.keys() & region)) < least_common(len(pattern), bool(answer)):
             continue  # a common subsequence can't be longer
         common, at = best_stretch(pattern, region)
         share = common / len(pattern)
@@ -195,7 +259,7 @@ def leaks_of(text: str | None, block: Block) -> dict[int, tuple[float, float, fl
         told = sum(w in stretch for w in answer) / len(answer) if answer else 0.0
         if share < (1.0 if len(pattern) < SHORT else SAME) and (share < LIKE or len(pattern) < SHORT or told < ANSWER):
             continue
-        found = (share, told, cosine, lo + at)
+        found = (share, told, window_cosine(parts, i, j, block) if cosine is None else cosine, lo + at)
         if item not in best or (found[0], found[2], -found[3]) > (best[item][0], best[item][2], -best[item][3]):
             best[item] = found
     return best

@@ -335,6 +335,18 @@ def test_decontamination_of_repeated_words(spark):
     assert {r["doc_id"]: round(r["lcs"], 2) for r in got} == {0: 1.0, 1: 0.9}
 
 
+def test_decontamination_loses_no_passage_of_a_large_benchmark(spark):
+    r, pool = random.Random(15), words(3000, 15)
+    own = [r.choices(pool, k=r.randint(8, 47)) for _ in range(2000)]
+    items = [(k, " ".join(x[:-4]) + ". " + " ".join(x[-4:]) + ".") for k, x in enumerate(own)]
+    texts = []
+    for x in own:
+        told = [w if i % 4 or i >= len(x) - 4 else "other" for i, w in enumerate(x)] if len(x) >= 16 and len(texts) % 2 else x
+        texts.append(" ".join([*r.choices(pool, k=r.randint(0, 60)), *told, *r.choices(pool, k=r.randint(0, 60))]))
+    got = decontamination.leaks(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {k for k, _ in items} - {r["doc_id"] for r in got if r["doc_id"] == r["item_id"]} == set()
+
+
 def test_lcs():
     r = random.Random(10)
     for _ in range(200):
