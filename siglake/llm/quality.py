@@ -2,7 +2,8 @@
 
 A document fails a base rule (fewer than `MIN_WORDS` words, or over `MAX_REPEAT` % of its words in repeated 8-word
 windows) or is anomalous: its mean path length over random splits of the statistics is short. The forest is fitted on a
-bounded sample, the `FIT_ROWS` rows of smallest hash of doc_id; its threshold comes from the scores of all labelled rows.
+bounded sample, the `FIT_ROWS` rows of smallest hash of doc_id; its threshold comes from the scores of all labelled rows
+that pass the base rules, as it decides on no others.
 
 Null text: as empty, hence zero words, base_failed. Ties and repeated rows: each row is judged on its own. Empty tables
 give no rows; without labelled rows of quality 1 the forest rejects nothing. Other columns are not read.
@@ -27,7 +28,7 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 #: Rows that the forest is fitted on, trees, rows of a tree.
 FIT_ROWS, TREES, TREE_ROWS, SEED = 4096, 100, 256, 42
-#: The threshold is the least score at which no more than this share of labelled good rows would go.
+#: The threshold is the least score at which no more than this share of labelled good rows that pass the base rules would go.
 GOOD_LOSS = 0.002
 SCORE_BINS = 1000
 
@@ -183,6 +184,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     small_batches(docs.sparkSession)
     stats = written(rule_statistics(docs), "quality-stats")
     scores = scored(stats, fit_forest(stats, fit_rows))
-    threshold = calibrated(scores, labels, good_loss)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
+    threshold = calibrated(scores.where(~failed), labels, good_loss)
     return scores.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(threshold)))

@@ -381,6 +381,15 @@ def test_quality_verdicts(spark):
     assert all(x["kept"] != x["base_failed"] for x in unlabelled)
 
 
+def test_quality_threshold_ignores_rows_that_base_rules_reject(spark):
+    good = [" ".join(words(100 + k, k)) for k in range(300)] + ["x" * 200 * 2**k + " y" for k in range(4)]
+    bad = [" ".join(w + "#" * (i % 3 + k % 3) for i, w in enumerate(words(200 + k, 400 + k))) for k in range(6)]
+    labels = spark.createDataFrame([(i, int(i < 304), 0) for i in range(310)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x for x in quality.quality_rules(frame(spark, good + bad), labels).collect()}
+    assert all(got[i]["kept"] for i in range(300)) and all(got[i]["base_failed"] for i in range(300, 304))
+    assert not any(got[i]["base_failed"] or got[i]["kept"] for i in range(304, 310))
+
+
 def test_forest_isolates():
     r = np.random.default_rng(13)
     rows = np.vstack([r.standard_normal((500, 5)), np.full((3, 5), 9.0)])
