@@ -7,8 +7,9 @@ has `BANDS` band keys, the least values of as many hash functions over its shing
 A text that holds a template to `CONTAINMENT` has a window at most an eighth off one of the template's, hence a Jaccard
 similarity j of 0.54 at least, and a band in common with probability 1 - (1 - j)^16 > 0.99999 for each such window. Size 1
 has every shingle as its own window, which no copy can miss. What bands retrieve is verified: the share of the
-template's shingles in the best stretch of a quarter more than its length, counted exactly. Stretches of one template that
-overlap give one row, the best of them and of equals the first.
+template's shingles in the best stretch of a quarter more than its length, counted exactly. A stretch ends where its share
+is reached, so that it takes nothing from a copy that follows. Stretches of one template that overlap give one row, the
+best of them and of equals the first.
 
 Null and empty texts hold nothing. A template of fewer words than a shingle is one shingle. Repeated rows each give their
 rows; a null doc_id is kept. Empty tables and an empty template list give no rows. Other columns are not read.
@@ -121,20 +122,24 @@ class Templates:
         for k, starts in sorted(self.retrieved(own).items()):
             template = self.own[k]
             span = max(1, self.length[k] + self.length[k] // 4 - SHINGLE + 1)
-            last = -1
             best: list[tuple[float, int, int]] = []
+            regions: list[list[int]] = []  # where stretches start; they may end beyond
             for i in sorted(set(starts)):
-                lo = max(0, i - span)
-                region = own[lo : i + span + max(SIZES)]
+                lo, hi = max(0, i - span), i + span + max(SIZES)
+                if regions and lo <= regions[-1][1]:
+                    regions[-1][1] = hi
+                else:
+                    regions.append([lo, hi])
+            for lo, hi in regions:
+                region = own[lo : hi + span]
                 at = np.flatnonzero(np.isin(region, template))
-                for p in at.tolist():
-                    if lo + p <= last:
-                        continue
-                    last = lo + p
-                    inside = at[(at >= p) & (at < p + span)]
-                    share = len(np.unique(region[inside])) / len(template)
+                ends = np.searchsorted(at, at + span)
+                for j in np.flatnonzero((at < hi - lo) & (ends - np.arange(len(at)) >= CONTAINMENT * len(template) - 1e-9)).tolist():
+                    p, inside = int(at[j]), at[j : ends[j]]
+                    first = np.unique(region[inside], return_index=True)[1]
+                    share = len(first) / len(template)
                     if share >= CONTAINMENT:
-                        best.append((share, lo + p, int(inside[-1]) - p + min(SHINGLE, self.length[k])))
+                        best.append((share, lo + p, int(inside[first.max()]) - p + min(SHINGLE, self.length[k])))
             out += [(self.names[k], *x) for x in self._apart(best)]
         return out
 

@@ -117,6 +117,21 @@ def test_license_bands_miss_no_close_copy():
             assert len(sought & whole) / len(sought) < license_scan.CONTAINMENT or name in {m[0] for m in found}
 
 
+def test_licenses_near_each_other_are_all_found():
+    own = license_scan.Templates(license_scan.TEMPLATES)
+    for name, text in license_scan.TEMPLATES.items():
+        copy = license_scan.words_of(text)
+        n, excerpt = len(copy), copy[: len(copy) * 6 // 10]
+        for gap in range(0, 201, 3 if n > 20 else 20):
+            between = [w.encode() for w in words(gap, gap)]
+            found = [m[1:] for m in own.matches(b" ".join([*copy, *between, *copy]).decode()) if m[0] == name]
+            assert found == [(1.0, 0, n), (1.0, n + gap, n)], (name, gap)
+            if n > 20:
+                found = [m for m in own.matches(b" ".join([*excerpt, *between, *copy]).decode()) if m[0] == name]
+                assert len(found) == 1 and found[0][1] == 1.0, (name, gap)
+                assert found[0][2] + found[0][3] == len(excerpt) + gap + n or found[0][2] < len(excerpt), (name, gap)
+
+
 # 4 and 6 tokens
 @pytest.fixture(scope="module")
 def library():
