@@ -26,7 +26,7 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.002, 0.7, 3
+MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.7
 #: A rule stands on so many labelled rows at least, however few there are.
 MIN_ROWS = 30
 #: An index of up to so many rows is broadcast.
@@ -77,26 +77,30 @@ def mined(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     if (n := baskets.count()) < min_rows:
         return spark.createDataFrame([], "items array<string>, verdict string, confidence double, support double")
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / n), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL) & (F.size("antecedent") <= MAX_TOKENS))
+    rules = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL))
     rules = checkpointed(
         rules.select(F.array_sort("antecedent").alias("items"), F.substring(F.element_at("consequent", 1), len(LABEL) + 1, 99).alias("verdict"), "confidence", "support")
     )
-    # A rule is redundant if some part of its tokens has the verdict at no less confidence.
-    part = rules.select(F.col("items").alias("some"), F.col("verdict").alias("same"), F.col("confidence").alias("c"))
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), MAX_TOKENS) - 2)
-    shorter = rules.select("items", "verdict", "confidence", F.explode(masks).alias("mask"))
-    shorter = shorter.withColumn("some", F.filter("items", lambda _, i: F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0))
-    shorter = shorter.where((F.size("some") > 0) & (F.size("some") < F.size("items")))
-    redundant = shorter.join(part, "some").where((F.col("verdict") == F.col("same")) & (F.col("c") >= F.col("confidence"))).select("items", "verdict").distinct()
+    # A rule is redundant if some part of its tokens has the verdict at no less confidence; its rarest token leads to it.
+    part = rarest(rules).select("token", "verdict", F.col("items").alias("some"), F.col("confidence").alias("c"))
+    longer = rules.select("items", "verdict", "confidence", F.explode("items").alias("token")).join(part, ["token", "verdict"])
+    longer = longer.where((F.size("some") < F.size("items")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("some", "items")) == 0))
+    redundant = longer.select("items", "verdict").distinct()
     return rules.join(redundant, ["items", "verdict"], "left_anti").select("items", "verdict", "confidence", "support")
 
 
-def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """url and mined, the verdict of the best rule, of the distinct urls that some rule fits."""
-    rules = checkpointed(rules.withColumn("id", F.xxhash64("items", "verdict")))
+def rarest(rules: DataFrame) -> DataFrame:
+    """The rules with token, the one of their tokens that fewest rules have."""
+    rules = rules.withColumn("id", F.xxhash64("items", "verdict"))
     counted = rules.select(F.explode("items").alias("token")).groupBy("token").count()
     ranked = rules.select("id", F.explode("items").alias("token")).join(counted, "token").groupBy("id").agg(F.min_by("token", F.struct("count", "token")).alias("token"))
-    index = rules.join(ranked, "id").select("token", "items", "verdict", "confidence", "support")
+    return rules.join(ranked, "id").select("token", "items", "verdict", "confidence", "support")
+
+
+def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """url and mined, the verdict of the best rule, of the distinct urls that some rule fits."""
+    rules = checkpointed(rules)
+    index = rarest(rules)
     if (n := rules.count()) == 0:
         return urls.sparkSession.createDataFrame([], "url string, mined string")
     index = F.broadcast(index) if n <= BROADCAST_ROWS else index

@@ -283,6 +283,19 @@ def test_mined_rules(spark):
     assert not any(set(a) < set(b) and v == w and c >= d for (a, v), c in kept.items() for (b, w), d in kept.items())
 
 
+def test_mined_rules_of_four_tokens(spark):
+    parts = ["buy", "cheap", "now", "promo"]
+    rows = [(i, "http://w.net/" + "/".join(parts), "block") for i in range(60)]
+    rows += [(100 * k + i + 100, "http://w.net/" + "/".join(p for p in parts if p != gone), "allow") for k, gone in enumerate(parts) for i in range(60)]
+    pages = spark.createDataFrame([x[:2] for x in rows] + [(900, "http://new.net/now/buy/promo/cheap/x")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(v == "block")) for i, _, v in rows], "doc_id long, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.url_verdicts(pages, labels).collect()}
+    assert got == {i: v for i, _, v in rows} | {900: "block"}
+    kept = {(tuple(r["items"]), r["verdict"]): r["confidence"] for r in url_filter.mined(spark.createDataFrame([x[1:] for x in rows], "url string, verdict string")).collect()}
+    assert [a for a, v in kept if v == "block"] == [tuple(f"path={p}" for p in parts)]
+    assert not any(set(a) < set(b) and v == w and c >= d for (a, v), c in kept.items() for (b, w), d in kept.items())
+
+
 # 8 suffix array
 def test_suffix_array_and_prefixes(monkeypatch):
     r = np.random.default_rng(7)
