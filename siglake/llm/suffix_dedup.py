@@ -5,11 +5,16 @@
    places in them. Consecutive windows that pick one anchor form its context.
    A task that finds contexts of equal content itself notes them as repeated and passes on one of them, so that what is
    very common isn't gathered anywhere.
-2. Contexts are sorted by (anchor, content). An anchor found once has no repeated window. Contexts with equal content are
-   repeated as a whole. What is left are the rims of repeated passages: contexts that share an anchor but not their content.
-3. The rims are dealt by anchor into shards of some `SHARD_BYTES`, and each shard's suffixes are sorted by external induced
+2. Contexts are dealt and sorted by (anchor, content), in ranges, so that an anchor of many contexts is shared by tasks. An
+   anchor found once has no repeated window. Contexts with equal content are repeated as a whole. What is left are the
+   rims of repeated passages: contexts that share an anchor but not their content.
+3. Rims are dealt by anchor into shards of some `SHARD_BYTES`, and each shard's suffixes are sorted by external induced
    sorting (see suffix_sort). Windows that are neighbours in suffix order with a common prefix of LENGTH are repeated.
-   Windows of an anchor with more than `GROUP` different contexts would not fit a shard; their hashes are grouped instead.
+   An anchor with more than `GROUP` contexts would not fit a shard. Its windows are parted by where they hold the anchor,
+   each context into two at most, and each half is keyed by its core, the bytes that all windows of that half have in
+   common: equal windows have equal cores. Halves go through step 2 again, and this recurs until no core has more than
+   `GROUP` contexts, or the windows at one place are left, whose core is the window. The number of rows falls with what is
+   settled and never exceeds twice that of the level before.
 4. Repeated windows are merged into spans, by document, and cut out of its bytes.
 
 Null text: empty. Texts shorter than LENGTH bytes keep all. Repeated rows repeat each other, whatever their doc_id; rows of
@@ -98,8 +103,21 @@ def _contexts(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
 
 
 ROW = ["anchor", "content", "doc_id", "text_hash", "first", "last"]
+KEY = "anchor long, content long, doc_id long, text_hash long, first int, last int"
 #: more: a further context of this content, which needs no more than a span; many: the one of them that is passed on.
-SCANNED = "anchor long, content long, doc_id long, text_hash long, first int, last int, more boolean, many boolean"
+SCANNED = f"{KEY}, more boolean, many boolean"
+#: place: of the anchor in a context, -1 if it has to be looked for; low, high: the places that its windows may have it at.
+HALF = "place int, low int, high int, raw binary"
+
+
+def _combined(anchor: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """more and many of a task's own contexts."""
+    order = np.lexsort((content, anchor))
+    same = (anchor[order][1:] == anchor[order][:-1]) & (content[order][1:] == content[order][:-1])
+    more, many = np.zeros(len(anchor), dtype=bool), np.zeros(len(anchor), dtype=bool)
+    more[order[1:]] = same
+    many[order[:-1]] = same
+    return more, many & ~more
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,13 +125,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, content, first, last = (np.concatenate([p[0][i] for p in parts]) for i in range(4))
         at = np.repeat(np.arange(len(parts)), [len(p[0][0]) for p in parts])
         doc, own = pa.array([p[1] for p in parts], pa.int64()), pa.array([p[2] for p in parts], pa.int64())
-        order = np.lexsort((content, anchor))
-        same = (anchor[order][1:] == anchor[order][:-1]) & (content[order][1:] == content[order][:-1])
-        more, many = np.zeros(len(anchor), dtype=bool), np.zeros(len(anchor), dtype=bool)
-        more[order[1:]] = same
-        many[order[:-1]] = same
-        many &= ~more
-        cols = [anchor.view(np.int64), content.view(np.int64), None, None, first.astype(np.int32), last.astype(np.int32), more, many]
+        cols = [anchor.view(np.int64), content.view(np.int64), None, None, first.astype(np.int32), last.astype(np.int32), *_combined(anchor, content)]
         cols = [pa.array(x) if x is not None else None for x in cols]
         cols[2:4] = [doc.take(pa.array(at)), own.take(pa.array(at))]
         return pa.RecordBatch.from_arrays(cols, [*ROW, "more", "many"])
@@ -133,19 +145,22 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(parts)
 
 
-FOUND = [*ROW, "whole", "rim", "many"]
-
-
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (anchor, content): which are repeated as a whole, and which stand for a rim's content.
 
     What is kept between batches is a row or two, however many contexts an anchor has. `many` says of a rim context that
-    others have its content.
+    others have its content. The first and last anchor may go on in another task, so their contexts always are rims.
     """
     held: pa.Table | None = None  # the last row, whose successor isn't known yet
     before = None  # (anchor, content) of the row before it
     opening: pa.Table | None = None  # the first context of the last row's anchor, until a second content shows up
 
+    def found(t: pa.Table, whole: np.ndarray, rim: np.ndarray, many: np.ndarray) -> pa.Table:
+        t = t.drop_columns(["more", "many"])
+        for name, x in (("whole", whole), ("rim", rim), ("many", many)):
+            t = t.append_column(name, pa.array(x))
+        return t
+
     def done(t: pa.Table, after: tuple | None) -> Iterator[pa.RecordBatch]:
         nonlocal before, opening
         anchor, content = t["anchor"].to_numpy(), t["content"].to_numpy()
@@ -164,10 +179,11 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later = opens & same_anchor[:-1]  # first row of a further content
         rim = later.copy()
         rim[starts[later & (starts >= 0)]] = True
+        rim[0] |= not before
         extra = opening if opening is not None and (later & (starts == -1)).any() else None
         if starts[-1] >= 0:  # the last anchor began here
             k = int(starts[-1])
-            opening = None if rim[k] else pa.table([*t.slice(k, 1).columns[:6], pa.array([False]), pa.array([True]), pa.array([bool(many[k])])], FOUND)
+            opening = None if rim[k] else found(t.slice(k, 1), np.array([False]), np.array([True]), many[k : k + 1])
         elif extra is not None:
             opening = None
         before = (anchor[-1], content[-1])
@@ -175,15 +191,14 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from extra.to_batches()
         kept = whole | rim
         if kept.any():
-            full = pa.table([*t.columns[:6], pa.array(whole), pa.array(rim), pa.array(many)], FOUND)
-            yield from full.filter(pa.array(kept)).combine_chunks().to_batches()
+            yield from found(t, whole, rim, many).filter(pa.array(kept)).combine_chunks().to_batches()
 
     for b in batches:
         more = b.column("more")
         t = pa.Table.from_batches([b.filter(more)])
         if t.num_rows:
-            full, no = pa.array([True] * t.num_rows), pa.array([False] * t.num_rows)
-            yield from pa.table([*t.columns[:6], full, no, no], FOUND).combine_chunks().to_batches()
+            no = np.zeros(t.num_rows, dtype=bool)
+            yield from found(t, ~no, no, no).combine_chunks().to_batches()
         t = pa.Table.from_batches([b.filter(pc.invert(more))])
         if not t.num_rows:
             continue
@@ -193,6 +208,19 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from done(t.slice(0, t.num_rows - 1), (held["anchor"][0].as_py(), held["content"][0].as_py()))
     if held is not None:
         yield from done(held, None)
+        if opening is not None:
+            yield from opening.to_batches()
+
+
+def _classified(rows: DataFrame, schema: str, name: str) -> DataFrame:
+    """Rows with whole, rim and many, dealt by ranges of (anchor, content) and written; the others are gone."""
+    dealt = F.when(F.col("more"), F.xxhash64("text_hash", "first")).otherwise(F.col("anchor"))
+    rows = rows.repartitionByRange(dealt, "content").sortWithinPartitions("anchor", "content")
+    return written(rows.mapInArrow(_classify, f"{schema}, whole boolean, rim boolean, many boolean"), name)
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    return found.where("whole").select("doc_id", "text_hash", F.col("first").alias("start"), (F.col("last") + LENGTH).cast("int").alias("end"))
 
 
 def repeated_windows(rims: list[bytes], many: list[bool], length: int = LENGTH) -> list[np.ndarray]:
@@ -246,17 +274,33 @@ def _sorted_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "text_hash", "start", "end"])
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of rim contexts with its hash, for anchors of too many contexts."""
+def _digest(raw: bytes, *by: int) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=b"%d,%d" % by).digest(), "little", signed=True)
+
+
+def halves(anchor: int, raw: bytes, place: int, low: int, high: int) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """(core, content, first and last window, place, low, high) of each half of a context's windows, by where they hold the anchor."""
+    if place < 0:
+        place = int(np.argmax(Hashes(raw).grams(GRAM).view(np.int64) == anchor))
+    n, middle = len(raw) - LENGTH + 1, (low + high) // 2
+    for a, b in ((low, middle), (middle + 1, high)):
+        first, last = place - min(b, place), place - max(a, place - n + 1)
+        if first <= last:
+            core, own = raw[place - a : place - b + LENGTH], raw[first : last + LENGTH]
+            yield _digest(core, a, b), _digest(own, place - first, last - first), first, last, place - first, a, b
+
+
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each context of a crowded anchor as two of fewer windows, keyed by what the windows of each have in common."""
     for b in batches:
-        for anchor, doc, own, first, many, raw in zip(*(b.column(n).to_pylist() for n in ("anchor", "doc_id", "text_hash", "first", "many", "raw")), strict=True):
-            at = np.arange(len(raw) - LENGTH + 1)
-            h = Hashes(raw).of(at, at + LENGTH).view(np.int64)
-            n = len(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, anchor)), pa.array(h), pa.array([doc] * n, pa.int64()), pa.array(np.full(n, own)), pa.array((first + at).astype(np.int32)), pa.array(np.full(n, 1 + many, dtype=np.int64))],
-                ["anchor", "window", "doc_id", "text_hash", "start", "n"],
-            )
+        rows = []
+        for anchor, doc, own, at, many, place, low, high, raw in zip(*(b.column(n).to_pylist() for n in ("anchor", "doc_id", "text_hash", "first", "many", "place", "low", "high", "raw")), strict=True):
+            rows += [(core, content, doc, own, at + i, at + j, p, x, y, raw[i : j + LENGTH], many) for core, content, i, j, p, x, y in halves(anchor, raw, place, low, high)]
+        cols = list(zip(*rows, strict=True)) or [()] * 11
+        more, many = _combined(np.array(cols[0], dtype=np.int64), np.array(cols[1], dtype=np.int64))
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 5 + [pa.binary()]
+        made = [pa.array(x, k) for x, k in zip(cols[:10], kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([*made, pa.array(more), pa.array(many | np.array(cols[10], dtype=bool))], [*ROW, "place", "low", "high", "raw", "more", "many"])
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +308,10 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows = []
         for doc, own, text, rims in zip(*(b.column(n).to_pylist() for n in ("doc_id", "text_hash", "text", "rims")), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            rows += [(r["anchor"], doc, own, r["first"], r["many"], raw[r["first"] : r["last"] + LENGTH]) for r in rims]
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["anchor", "doc_id", "text_hash", "first", "many", "raw"])
+            rows += [(r["anchor"], doc, own, r["first"], r["many"], -1, 0, LENGTH - GRAM, raw[r["first"] : r["last"] + LENGTH]) for r in rims]
+        cols = list(zip(*rows, strict=True)) or [()] * 9
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["anchor", "doc_id", "text_hash", "first", "many", "place", "low", "high", "raw"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,31 +347,33 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, start, end: byte spans that cover all repeated strings; docs as from `keyed`."""
-    rows = docs.select("doc_id", "text_hash", "text").mapInArrow(_scan, SCANNED)
-    rows = rows.repartition(F.when(F.col("more"), F.xxhash64("text_hash", "first")).otherwise(F.col("anchor"))).sortWithinPartitions("anchor", "content")
-    found = written(rows.mapInArrow(_classify, "anchor long, content long, doc_id long, text_hash long, first int, last int, whole boolean, rim boolean, many boolean"), "suffix-contexts")
-    spans = found.where("whole").select("doc_id", "text_hash", F.col("first").alias("start"), (F.col("last") + LENGTH).cast("int").alias("end"))
-
+    found = _classified(docs.select("doc_id", "text_hash", "text").mapInArrow(_scan, SCANNED), KEY, "suffix-contexts")
+    spans = _spans(found)
     rims = found.where("rim").select("anchor", "doc_id", "text_hash", "first", "last", "many")
-    grouped = rims.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "first", "last", "many")).alias("rims"))
-    grouped = grouped.hint("shuffle_hash")
-    cut = docs.join(grouped, _same(docs, grouped)).select(docs["doc_id"], docs["text_hash"], "text", "rims")
-    cut = cut.mapInArrow(_cut_contexts, "anchor long, doc_id long, text_hash long, first int, many boolean, raw binary")
-    size = rims.agg(F.coalesce(F.sum(F.col("last") - F.col("first") + LENGTH + 1), F.lit(0)).alias("bytes")).first()["bytes"]
-    crowded = rims.groupBy("anchor").count().where(F.col("count") > GROUP).select("anchor")
+    size = rims.agg(F.sum(F.col("last") - F.col("first") + LENGTH + 1).alias("bytes")).first()["bytes"]
     if not size:
         return spans
-    if not crowded.take(1):
-        shards = cut.repartition(-(-size // SHARD_BYTES), "anchor")
-        return spans.unionByName(shards.mapInArrow(_sorted_shard, SPANS))
-    cut = written(cut, "suffix-rims")
-    shards = cut.join(crowded, "anchor", "left_anti").repartition(-(-size // SHARD_BYTES), "anchor").mapInArrow(_sorted_shard, SPANS)
-    windows = cut.join(crowded, "anchor", "left_semi").select("anchor", "doc_id", "text_hash", "first", "many", "raw").mapInArrow(
-        _window_rows, "anchor long, window long, doc_id long, text_hash long, start int, n long"
-    )
-    twice = windows.groupBy("anchor", "window").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
-    single = windows.join(twice, ["anchor", "window"]).select("doc_id", "text_hash", "start", (F.col("start") + LENGTH).cast("int").alias("end"))
-    return spans.unionByName(shards).unionByName(single)
+    grouped = rims.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("anchor", "first", "last", "many")).alias("rims")).hint("shuffle_hash")
+    cut = docs.join(grouped, _same(docs, grouped)).select(docs["doc_id"], docs["text_hash"], "text", "rims")
+    cut = cut.mapInArrow(_cut_contexts, f"anchor long, doc_id long, text_hash long, first int, many boolean, {HALF}")
+    crowded = rims.groupBy("anchor").count().where(F.col("count") > GROUP).select("anchor")
+    level = 0
+    while crowded.take(1):
+        cut = written(cut, f"suffix-rims-{level}") if not level else cut
+        spans = spans.unionByName(_sorted(cut.join(crowded, "anchor", "left_anti"), size))
+        level += 1
+        found = _classified(cut.join(crowded, "anchor", "left_semi").mapInArrow(_halved, f"{KEY}, {HALF}, more boolean, many boolean"), f"{KEY}, {HALF}", f"suffix-halves-{level}")
+        spans, cut = spans.unionByName(_spans(found)), found.where("rim")
+        size = cut.agg(F.coalesce(F.sum(F.length("raw") + 1), F.lit(1)).alias("bytes")).first()["bytes"]
+        # Halves of windows at one place are settled, but for a context or two at a task's edge.
+        crowded = cut.where("low < high").groupBy("anchor").count().where(F.col("count") > GROUP).select("anchor")
+    return spans.unionByName(_sorted(cut, size))
+
+
+def _sorted(cut: DataFrame, size: int) -> DataFrame:
+    """Spans of the windows that are repeated among contexts of size bytes, by sorted shards."""
+    shards = cut.select("anchor", "doc_id", "text_hash", "first", "many", "raw").repartition(-(-size // SHARD_BYTES), "anchor")
+    return shards.mapInArrow(_sorted_shard, SPANS)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -339,6 +385,6 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document row."""
     small_batches(docs.sparkSession)
     docs = keyed(docs)
-    spans = repeated_spans(docs).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans")).hint("shuffle_hash")
+    spans = repeated_spans(docs).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans")).hint("shuffle_hash")
     all_ = docs.join(spans, _same(docs, spans), "left").select(docs["doc_id"], "text", "spans")
     return all_.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

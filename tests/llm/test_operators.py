@@ -331,6 +331,37 @@ def test_suffix_contexts_in_chunks(monkeypatch):
     assert (parts[2][1:] == parts[3][:-1] + 1).all()
 
 
+def test_suffix_halves_part_windows_by_their_core():
+    r, length = random.Random(16), suffix_dedup.LENGTH
+    base = "".join(r.choices("abcdefgh ", k=900))
+    copies = ["".join(c if r.random() < 0.995 else "#" for c in base).encode() for _ in range(40)]
+    rows = []
+    for raw in copies:
+        anchor, _, first, last = suffix_dedup.contexts(raw)
+        rows += [(a, raw[i : j + length], -1, 0, length - suffix_dedup.GRAM) for a, i, j in zip(anchor.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True)]
+    at = lambda raw: [raw[i : i + length] for i in range(len(raw) - length + 1)]
+    while any(low < high for *_, low, high in rows):
+        keys, parts = {}, []
+        for row in rows:
+            for core, _, i, j, place, low, high in suffix_dedup.halves(*row):
+                parts.append((core, row[1][i : j + length], place, low, high))
+        assert Counter(w for row in rows for w in at(row[1])) == Counter(w for row in parts for w in at(row[1])) and len(parts) <= 2 * len(rows)
+        for row in parts:
+            for w in at(row[1]):
+                assert keys.setdefault(w, row[0]) == row[0]
+        rows = parts
+
+
+def test_suffix_dedup_of_many_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", 10)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 5000)
+    r = random.Random(17)
+    base = "".join(r.choices("abcdefgh \n", k=700))
+    texts = ["".join(c if r.random() < 0.99 else "#" for c in base) for _ in range(90)] + [base] * 5
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.suffix_dedup(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain.suffix_removal(texts)
+
+
 def test_suffix_repeated_rows(spark):
     text = " ".join(words(120))
     docs = frame(spark, [text, "short"]).unionByName(frame(spark, [text]))
