@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +26,16 @@ def session(cores: int | None = None, memory: str = "16g") -> SparkSession:
     spark.sparkContext.setLogLevel("ERROR")
     ship(spark)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, where lineage is cut: spark.checkpoint.dir.
+
+    Where that is unset, the folder given to setCheckpointDir; a local session gets a temporary one, a cluster has to name one.
+    """
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir():
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siglake-checkpoint-"))
+    return named or context.getCheckpointDir()
