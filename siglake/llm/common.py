@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siglake.session import shared_dir
 from siglake.shipping import ship
 
 
@@ -15,22 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="siglake-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
-
-
 _written: list[str] = []
 
 
 def drop_written(spark: SparkSession) -> int:
-    """Deletes the tables that operators have written in this process, once their results are saved; how many there were."""
+    """Deletes what operators have written in this process, tables, checkpoints and stores of queries, once their results are saved; how many there were."""
     n = len(_written)
     while _written:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
@@ -38,19 +27,29 @@ def drop_written(spark: SparkSession) -> int:
     return n
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which `drop_written` deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage by a table in the shared folder, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = own_path(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """checkpoint() into the shared folder, for small intermediate results."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        _written.append(file.get())
+    return out
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

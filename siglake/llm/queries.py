@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siglake.llm import decontamination, langid, license_scan, packing, quality, secret_scan, simhash, suffix_dedup, token_counts, url_filter
-from siglake.llm.common import shared_dir, table
+from siglake.llm.common import own_path, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +32,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store of its own for each call, so that a run always encodes all distinct texts."""
-    store = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), store)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), own_path(spark, "token-store"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

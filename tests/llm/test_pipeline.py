@@ -1,6 +1,9 @@
 """The pipeline against plain versions of its stages."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 from pathlib import Path
 
@@ -86,9 +89,38 @@ def test_run_on_nothing(spark, tmp_path):
 
 
 def test_written_tables_can_be_dropped(spark):
-    from siglake.llm.common import drop_written, shared_dir, written
+    from siglake.llm.common import checkpointed, drop_written, shared_dir, written
 
     drop_written(spark)
     assert written(spark.range(3), "some").count() == 3
     found = lambda: list(Path(shared_dir(spark).removeprefix("file:")).glob("some-*"))
-    assert len(found()) == 1 and drop_written(spark) == 1 and not found()
+    kept = checkpointed(spark.range(4))
+    file = Path(kept._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:"))
+    assert file.exists() and kept.count() == 4
+    assert len(found()) == 1 and drop_written(spark) == 2 and not found() and not file.exists()
+
+
+def test_queries_run_where_no_folder_is_configured():
+    """In a process of its own, as the session here has its settings."""
+    code = """
+from pyspark.sql import SparkSession
+from siglake.llm.queries import queries
+from siglake.session import shared_dir
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert not spark.conf.get("spark.checkpoint.dir", None) and shared_dir(spark) == shared_dir(spark)
+for name in ("op4_token_counts", "op5_simhash"):
+    assert queries()[name](spark, "/root/testdata/sf0.001").count() == 200
+spark.sparkContext.stop()
+class Context:
+    master, getCheckpointDir = "spark://host:7077", lambda self: None
+class Cluster:
+    sparkContext, conf = Context(), type("Conf", (), {"get": lambda self, k, d: d})()
+try:
+    shared_dir(Cluster())
+except ValueError as e:
+    assert "spark.checkpoint.dir" in str(e)
+else:
+    raise AssertionError
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], env=os.environ | {"SPARK_CONF_DIR": "/nonexistent", "PYSPARK_SUBMIT_ARGS": "pyspark-shell"}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
