@@ -13,6 +13,7 @@ Repeated rows each give a row, empty tables none. Other columns are not read by
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ HEX = "[0-9a-f]{32,}"
 MIN_VALUE = 8
 
 RUN, WINDOW, UNIT = 20, 20, 1_000_000
+#: Characters of a run that are walked at once, besides those of a window that began before: reaching one costs its place.
+PIECE = 1000
 CANDIDATE = f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{RUN},}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Bits a character that the best window must reach: random strings of WINDOW characters have 3.4 and 4.0 or so.
@@ -35,8 +38,6 @@ ALLOW = (
     r"(0123456789|abcdefghij|ABCDEFGHIJ|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|[Cc][Hh][Aa][Nn][Gg][Ee][Mm][Ee])",
     r"^/?(?:[A-Za-z]+[0-9]{0,4}[-_/=+]+)+[A-Za-z0-9]{0,12}$",
 )
-#: The last of these looks at so many characters at most: Java's matcher recurses for each round of a group.
-ALLOW_CHARS = 200
 
 
 def weights() -> list[int]:
@@ -67,33 +68,44 @@ def _found(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), walked).otherwise(empty)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _least_weight(run: Column) -> Column:
-    """The least sum of weights over the windows of a run, that is the highest entropy, by counts kept incrementally."""
-    w = F.array(*[F.lit(x) for x in weights()])
-    char = lambda i: F.substring(run, i, F.lit(1))
-    at = lambda i: F.instr(F.lit(ALPHABET), char(i))
-    weight = lambda counts, k: F.element_at(w, F.element_at(counts, k) + 1)
+    """The least sum of weights over the windows of a run, that is the highest entropy; a long run is walked by pieces."""
+
+    def walked(pieces: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.substring(F.get(pieces, i - 1), 1 - WINDOW, WINDOW)).otherwise(F.lit(""))
+        return F.array_min(F.transform(pieces, lambda x, i: _let(F.transform(F.split(F.concat(before(i), x), ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1), _walked)))
 
-    def moved(counts: Column, k: Column, by: int) -> Column:
-        return F.transform(counts, lambda c, i: F.when(i + 1 == k, c + by).otherwise(c))
+    return _let(F.regexp_extract_all(run, F.lit(f".{{1,{PIECE}}}"), F.lit(0)), walked)
+
+
+def _walked(codes: Column) -> Column:
+    """The least sum of weights over the windows of a piece, from places in the alphabet, by counts kept incrementally."""
+    f = weights()
+    gain = F.array(*[F.lit(b - a) for a, b in zip(f, f[1:], strict=False)])  # of one more, by count
 
     def step(state: Column, i: Column) -> Column:
-        k, gone = at(i), at(i - WINDOW)
-        leaves = i > WINDOW
-        kept = F.when(leaves, moved(state["n"], gone, -1)).otherwise(state["n"])
-        s = F.when(leaves, state["s"] - weight(state["n"], gone) + weight(kept, gone)).otherwise(state["s"])
-        n = moved(kept, k, 1)
-        s = s - weight(kept, k) + weight(n, k)
-        best = F.when(i >= WINDOW, F.least(state["best"], s)).otherwise(state["best"])
-        return F.struct(n.alias("n"), s.cast("int").alias("s"), best.cast("int").alias("best"))
+        def moved(k: Column, gone: Column) -> Column:
+            n = F.transform(state["n"], lambda c, j: F.when(j == k, F.when(j == gone, c).otherwise(c + 1)).otherwise(F.when(j == gone, c - 1).otherwise(c)))
+            lost = F.when(gone >= 0, F.get(gain, F.get(state["n"], gone) - 1)).otherwise(F.lit(0))
+            s = F.when(k == gone, state["s"]).otherwise(state["s"] + F.get(gain, F.get(state["n"], k)) - lost)
+            return _let(s, lambda s: F.struct(n.alias("n"), s.alias("s"), F.when(i >= WINDOW - 1, F.least(state["best"], s)).otherwise(state["best"]).alias("best")))
+
+        return _let(F.get(codes, i), lambda k: _let(F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(-1)), lambda gone: moved(k, gone)))
 
     start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0).alias("s"), F.lit(2**31 - 1).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(run)), start, step, lambda state: state["best"])
+    return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda state: state["best"])
 
 
 def _secret_run(run: Column) -> Column:
     mixed = run.rlike("[0-9]") & run.rlike("[A-Za-z]")
-    allowed = run.rlike(ALLOW[0]) | run.rlike(ALLOW[1]) | F.substring(run, 1, ALLOW_CHARS).rlike(ALLOW[2])
+    # Possessive, as Java's matcher recurses for each round of a group that it may give back. The parts of a slug end where
+    # letters follow marks, so none is ever given back.
+    allowed = run.rlike(ALLOW[0]) | run.rlike(ALLOW[1]) | run.rlike(ALLOW[2].replace(")+[", ")++["))
     most = F.when(run.rlike("^[0-9a-fA-F]+$"), F.lit(most_weight("hex"))).otherwise(F.lit(most_weight("base64")))
     return F.when(~mixed | allowed, F.lit(False)).otherwise(_least_weight(run) <= most)
 
@@ -155,7 +167,7 @@ def sql() -> str:
         f"list_min(list_transform(range(1, length(m) - {WINDOW} + 2), lambda i: list_sum(list_transform(list_distinct(string_split(m[i:i + {WINDOW - 1}], '')),"
         f" lambda c: ({f})[{WINDOW} - length(replace(m[i:i + {WINDOW - 1}], c, ''))]))))"
     )
-    allow = " OR ".join(f"regexp_matches({m}, '{q(x)}')" for m, x in zip(("m", "m", f"m[1:{ALLOW_CHARS}]"), ALLOW, strict=True))
+    allow = " OR ".join(f"regexp_matches(m, '{q(x)}')" for x in ALLOW)
     spell = lambda own: f"coalesce(string_agg(['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k){own}, '')"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
