@@ -4,8 +4,8 @@ A word known from training scores by its per-language log frequency; an unseen w
 then 4-, 3-, 2- and 1-grams: the longest order of which any gram is known scores it. A text's language is the one of
 the highest sum over its words; the score is that language's posterior share.
 
-The model is fitted on a bounded sample of labelled rows: about `FIT_DOCS` documents of each language by hash of doc_id,
-`MAX_WORDS` words, `MAX_GRAMS` grams. Prediction uses the text alone.
+The model is fitted on a bounded sample of labelled rows, about `FIT_DOCS` documents of each language by hash of doc_id;
+all their words and grams are counted, in Spark, and kept. Prediction uses the text alone.
 
 Null texts and texts without a letter: `und`, score 0. With nothing to learn from, every text is `und`. Rows with null
 doc_id are held out (their id reads as empty, whose CRC is 0). Repeated rows: each is predicted. Other columns are not read.
@@ -14,7 +14,7 @@ doc_id are held out (their id reads as empty, whose CRC is 0). Repeated rows: ea
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,18 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siglake.llm.common import small_batches
+from siglake.llm.common import small_batches, written
 
-FIT_DOCS, MAX_WORDS, MAX_GRAMS, ORDERS = 1500, 60_000, 120_000, (5, 4, 3, 2, 1)
-#: Words of fewer occurrences are left to the grams.
-MIN_COUNT = 2
+FIT_DOCS, ORDERS = 1500, (5, 4, 3, 2, 1)
 MEMO_WORDS = 300_000
 UND = "und"
 _word = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _word.findall(text.lower()) if text else []
+    """Runs of letters; numerals such as fractions and Roman ones are none."""
+    words = _word.findall(text.lower()) if text else []
+    if not words or text.isascii() or all(map(str.isalpha, words)):
+        return words
+    return "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
 
 
 def grams(word: str, order: int) -> list[str]:
@@ -44,31 +46,29 @@ def grams(word: str, order: int) -> list[str]:
 class Model:
     """Log frequencies of words and grams, a row of languages each."""
 
-    def __init__(self, counts: dict[str, dict[str, int]]):
-        """counts: word -> language -> occurrences."""
+    def __init__(self, words: pa.Table, parts: pa.Table):
+        """Counts n by key and lang: of words, and of their grams of all orders."""
         self.own: Scorer | None = None
-        self.langs = sorted({lang for own in counts.values() for lang in own})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        by_gram: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
-        by_word: dict[str, np.ndarray] = {}
-        for word, own in counts.items():
-            row = np.zeros(len(at))
-            for lang, n in own.items():
-                row[at[lang]] += n
-            if row.sum() >= MIN_COUNT:
-                by_word[word] = row
-            for order in ORDERS:
-                for g in grams(word, order):
-                    by_gram[g] += row
-        kept = sorted(by_gram, key=lambda g: (-by_gram[g].sum(), g))[:MAX_GRAMS]
-        parts = [by_word, *({g: by_gram[g] for g in kept if len(g) == order} for order in ORDERS)]
-        self.logs = np.concatenate([self._logs(x, len(at)) for x in parts])
-        self.words = {w: i for i, w in enumerate(by_word)}
-        self.grams = {g: len(by_word) + i for i, g in enumerate(g for x in parts[1:] for g in x)}
+        self.langs = sorted(set(words["lang"].to_pylist()))
+        names, counts = self._counts(words)
+        grams_, of_grams = self._counts(parts)
+        order = np.fromiter(map(len, grams_), dtype=np.int64, count=len(grams_))
+        logs = np.zeros_like(of_grams)
+        for k in ORDERS:
+            logs[order == k] = self._logs(of_grams[order == k])
+        self.logs = np.concatenate([self._logs(counts), logs])
+        self.words = {w: i for i, w in enumerate(names)}
+        self.grams = {g: len(names) + i for i, g in enumerate(grams_)}
+
+    def _counts(self, t: pa.Table) -> tuple[list[str], np.ndarray]:
+        key = t["key"].combine_chunks().dictionary_encode()
+        out = np.zeros((len(key.dictionary), len(self.langs)))
+        at = np.searchsorted(np.array(self.langs, dtype=object), t["lang"].to_numpy()) if t.num_rows else np.zeros(0, dtype=np.int64)
+        np.add.at(out, (key.indices.to_numpy(), at), t["n"].to_numpy())
+        return key.dictionary.to_pylist(), out
 
     @staticmethod
-    def _logs(counts: dict[str, np.ndarray], n_langs: int) -> np.ndarray:
-        m = np.array(list(counts.values())).reshape(len(counts), n_langs)
+    def _logs(m: np.ndarray) -> np.ndarray:
         return np.log((m + 0.5) / (m.sum(0) + 0.5 * max(1, len(m))))
 
     def word(self, word: str) -> np.ndarray:
@@ -93,62 +93,74 @@ class Scorer(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.rows = np.zeros((1024, max(1, len(model.langs))))
+        self.rows = self._no_rows()
+
+    def _no_rows(self) -> np.ndarray:
+        """Log frequencies, and 1 for a known word."""
+        return np.zeros((1024, len(self.model.langs) + 1))
 
     def __missing__(self, word: str) -> int:
         k = len(self)
         if k == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = self.model.word(word)
+        self.rows[k, :-1], self.rows[k, -1] = self.model.word(word), word in self.model.words
         self[word] = k
         return k
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, int, int]:
+        """Language, score, number of words, and how many of them are known."""
         words = words_of(text)
         if not words or not self.model.langs:
-            return UND, 0.0
+            return UND, 0.0, len(words), 0
         if len(self) > MEMO_WORDS:
             self.clear()
-            self.rows = np.zeros((1024, len(self.model.langs)))
-        total = np.zeros(len(self.model.langs))
+            self.rows = self._no_rows()
+        total = np.zeros(len(self.model.langs) + 1)
         for i in range(0, len(words), 50_000):
             part = words[i : i + 50_000]
             at = np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))
             total += self.rows[at].sum(axis=0)
+        total, known = total[:-1], int(total[-1])
         share = np.exp(total - total.max())
         best = int(np.argmax(total))
-        return self.model.langs[best], float(share[best] / share.sum())
+        return self.model.langs[best], float(share[best] / share.sum()), len(words), known
+
+
+COUNTED = "key string, lang string, n long"
+
+
+def _counted(n: Counter) -> pa.RecordBatch:
+    keys = list(n)
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(n.values()), pa.int64())], ["key", "lang", "n"])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n: Counter = Counter()
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            n.update((lang, w) for w in words_of(text))
-        keys = list(n)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(n.values()), pa.int64())], ["lang", "word", "n"])
+            n.update((w, lang) for w in words_of(text))
+        yield _counted(n)
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n: Counter = Counter()
+        for word, lang, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for order in ORDERS:
+                for g in grams(word, order):
+                    n[g, lang] += k
+        yield _counted(n)
 
 
-def fit(train: DataFrame, fit_docs: int = FIT_DOCS, max_words: int = MAX_WORDS) -> Model:
+def fit(train: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     """train: doc_id, text, lang. Each language gives fit_docs rows or so, those of least hash."""
-    spark = train.sparkSession
     train = train.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     per_lang = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
-    if not per_lang:
-        return Model({})
-    share = F.create_map(*[F.lit(x) for lang, n in per_lang.items() for x in (lang, min(1.0, fit_docs / n))])
+    share = F.create_map(*[F.lit(x) for lang, n in per_lang.items() for x in (lang, min(1.0, fit_docs / n))]) if per_lang else F.create_map(F.lit(""), F.lit(0.0))
     drawn = train.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
-    counted = drawn.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word", "lang").limit(max_words * 2).collect()
-    total: Counter = Counter()
-    for r in top:
-        total[r["word"]] += r["n"]
-    kept = {w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:max_words]}
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in top:
-        if r["word"] in kept:
-            counts[r["word"]][r["lang"]] = r["n"]
-    return Model(counts)
+    added = lambda df: df.groupBy("key", "lang").agg(F.sum("n").alias("n"))
+    words = written(added(drawn.select("lang", "text").mapInArrow(_count_words, COUNTED)), "language-words")
+    return Model(words.toArrow(), added(words.mapInArrow(_count_grams, COUNTED)).toArrow())
 
 
 def held_out() -> F.Column:
@@ -175,10 +187,12 @@ def language_id(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     return predictions(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 0.5, min_known: float = 0.2, min_words: int = 10) -> DataFrame:
     """Rows of docs whose language is identified, with all their columns; a row keeps its own text as evidence.
 
-    Rejected: texts without a letter, and texts whose best language has a posterior below min_score.
+    Rejected: texts without a letter, texts whose best language has a posterior below min_score, and texts of min_words
+    words or more of which less than min_known are known. The posterior grows with length whatever the language, the
+    share of known words doesn't; so it tells texts of a language that wasn't learned.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held_out())))
@@ -187,7 +201,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
         scorer = shared.value.scorer()
         for b in batches:
             found = [scorer.predict(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            yield b.filter(pa.array([lang != UND and score >= min_score for lang, score in found], pa.bool_()))
+            yield b.filter(pa.array([lang != UND and score >= min_score and (n < min_words or known >= min_known * n) for lang, score, n, known in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
