@@ -1,12 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Benchmark items are cut into passages of at most `PASSAGE` words; a block of `BLOCK` items is dealt with at a time.
+1. Benchmark items are cut into passages of at most `PASSAGE` words; a block of about `BLOCK` items, or of `BLOCK_CHARS`
+   characters, is dealt with at a time.
 2. Document frequencies of the block's words are counted over all documents.
 3. A randomised SVD of the passages' TF-IDF matrix, computed by partial products on the executors, gives a latent space.
 4. Overlapping windows of every whole document are folded into that space. Passages of cosine `COSINE` or more are
    candidates; neither their number nor that of windows is capped. What the space doesn't carry is found by words: a leak
    holds a known number of a passage's words, so however many of the commonest are left out, a known number of the others
    is in its stretch. Every stretch that holds them is a candidate too, hence no leak is lost to the rank or the cosine.
+   Both look at `CHUNK` words at a time, so memory doesn't grow with a text; chunks share more than any stretch needs.
 5. A candidate is a leak if the longest common subsequence with a stretch of the document covers `SAME` of the passage's
    words, or `LIKE` of them and the passage's answer, its last sentence, is there as well (a paraphrase).
 
@@ -34,7 +36,11 @@ PASSAGE, STEP, RANK, OVERSAMPLE, SEED = 64, 32, 160, 16, 42
 HOP, SMALL = 16, 24
 COSINE, SAME, LIKE, ANSWER = 0.6, 0.8, 0.6, 0.5
 #: Items whose words, vectors and texts are held by a worker at once.
-BLOCK = 2000
+BLOCK, BLOCK_CHARS = 2000, 2_000_000
+#: Words of a document that are looked at at once, and those that it shares with the next chunk; both whole stretches.
+CHUNK, OVERLAP = 4096, 512
+#: Characters of a text that are made words at once.
+PIECE = 1 << 20
 #: Passages of fewer words match only word for word.
 SHORT = 8
 MATCHES = "doc_id long, item_id long, cosine double, lcs double, answer double, at long"
@@ -47,6 +53,22 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_marks).split() if text else []
 
 
+def chunks_of(text: str | None) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first word, words) of overlapping chunks that cover a text's words; one chunk if they are few."""
+    own, first, at, n = [], 0, 0, len(text or "")
+    while at < n:
+        to = at + PIECE
+        while to < n and (text[to] > "\x7f" or text[to].isalnum()):
+            to += 1
+        own += words_of(text[at:to])
+        at = to
+        while len(own) > CHUNK + OVERLAP:
+            yield first, own[: CHUNK + OVERLAP]
+            own, first = own[CHUNK:], first + CHUNK
+    if own:
+        yield first, own
+
+
 def passages_of(text: str | None) -> list[tuple[list[bytes], list[bytes]]]:
     """(words, words of the answer) of each passage of an item."""
     words = words_of(text)
@@ -115,8 +137,9 @@ class Block:
         The commonest words are left out while their number is within the other half, so this is a bound and no estimate.
         """
         self.rare, self.least, self.hops = [], [], []
-        for (_, words, answer), own in zip(self.passages, self.counts, strict=True):
-            least = most = least_common(len(words), bool(answer))
+        self.needed = [least_common(len(words), bool(answer)) for _, words, answer in self.passages]
+        for (_, words, _), own, most in zip(self.passages, self.counts, self.needed, strict=True):
+            least = most
             kept = []
             for w in sorted(own, key=lambda w: (self.idf[self.words[w]], w)):
                 if 2 * (least - own[w]) >= most:
@@ -167,7 +190,8 @@ def document_frequencies(docs: DataFrame, block: Block) -> tuple[np.ndarray, int
         own, n = shared.value, np.zeros(len(shared.value.words) + 1, dtype=np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
-                n[np.unique(own.index(words_of(text)))] += 1
+                there = [np.unique(own.index(words)) for _, words in chunks_of(text)]
+                n[np.unique(np.concatenate(there)) if there else []] += 1
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["word", "n"])
 
@@ -218,16 +242,20 @@ def fitted(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> B
     return block
 
 
-def candidates(parts: np.ndarray, block: Block) -> Iterator[tuple[int, int, float]]:
-    """(first stretch, passage, cosine) of every window of a document that is near a passage."""
+def candidates(parts: np.ndarray, block: Block) -> Iterator[tuple[int, list[int], list[float]]]:
+    """(passage, first stretches, cosines) of each run of neighbouring windows of a document that are near a passage."""
     for hops, own, vectors in block.sizes:
         windows = parts.copy()
         for k in range(1, min(hops, len(parts))):
             windows[:-k] += parts[k:]
         windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-6)
-        near = windows @ vectors.T
-        for i, j in zip(*np.nonzero(near >= COSINE), strict=True):
-            yield int(i), int(own[j]), float(near[i, j])
+        near = vectors @ windows.T
+        j, i = np.nonzero(near >= COSINE)
+        if len(i):
+            cuts = np.flatnonzero((j[1:] != j[:-1]) | (i[1:] != i[:-1] + 1)) + 1
+            cosine, of, i = near[j, i].tolist(), own[j].tolist(), i.tolist()
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)], strict=True):
+                yield of[lo], i[lo:hi], cosine[lo:hi]
 
 
 def window_cosine(parts: np.ndarray, i: int, j: int, block: Block) -> float:
@@ -239,30 +267,44 @@ def window_cosine(parts: np.ndarray, i: int, j: int, block: Block) -> float:
 
 def leaks_of(text: str | None, block: Block) -> dict[int, tuple[float, float, float, int]]:
     """item -> (lcs, answer, cosine, first word) of a whole text."""
-    words, best = words_of(text), {}
-    if not words:
-        return best
+    best: dict[int, tuple[float, float, float, int]] = {}
+    for first, words in chunks_of(text):
+        for item, (share, told, cosine, at) in found_in(words, block):
+            if item not in best or (share, cosine, -at - first) > (best[item][0], best[item][2], -best[item][3]):
+                best[item] = (share, told, cosine, at + first)
+    return best
+
+
+def found_in(words: list[bytes], block: Block) -> Iterator[tuple[int, tuple[float, float, float, int]]]:
+    """(item, (lcs, answer, cosine, first word)) of every candidate that is a leak."""
     starts, index = np.arange(0, len(words), HOP), block.index(words)
     parts = np.add.reduceat(block.by_word[index], starts, axis=0)
-    near = ((i, j, cosine, HOP * i - len(block.passages[j][1]), HOP * i + PASSAGE + len(block.passages[j][1])) for i, j, cosine in candidates(parts, block))
+
+    def enough(j: int, lo: int, hi: int) -> bool:
+        """A common subsequence can't be longer than the words in common."""
+        own = block.counts[j]
+        return sum(map(own.__getitem__, own.keys() & words[max(0, lo) : hi])) >= block.needed[j]
+
+    def near() -> Iterator[tuple[int, int, float, int, int]]:
+        for j, at, cosine in candidates(parts, block):
+            n = len(block.passages[j][1])
+            if enough(j, HOP * at[0] - n, HOP * at[-1] + PASSAGE + n):
+                yield from ((i, j, x, HOP * i - n, HOP * i + PASSAGE + n) for i, x in zip(at, cosine, strict=True))
+
     sharing = ((i, j, None, HOP * i, HOP * (i + block.hops[j])) for i, j in block.sharing(index))
-    for i, j, cosine, lo, hi in chain(near, sharing):
+    for i, j, cosine, lo, hi in chain(near(), sharing):
         item, pattern, answer = block.passages[j]
+        if not enough(j, lo, hi):
+            continue
         lo = max(0, lo)
         region = words[lo:hi]
-        own = block.counts[j]
-        if sum(map(own.__getitem__, own.keys() & region)) < least_common(len(pattern), bool(answer)):
-            continue  # a common subsequence can't be longer
         common, at = best_stretch(pattern, region)
         share = common / len(pattern)
         stretch = set(region[at : at + 2 * len(pattern)])
         told = sum(w in stretch for w in answer) / len(answer) if answer else 0.0
         if share < (1.0 if len(pattern) < SHORT else SAME) and (share < LIKE or len(pattern) < SHORT or told < ANSWER):
             continue
-        found = (share, told, window_cosine(parts, i, j, block) if cosine is None else cosine, lo + at)
-        if item not in best or (found[0], found[2], -found[3]) > (best[item][0], best[item][2], -best[item][3]):
-            best[item] = found
-    return best
+        yield item, (share, told, window_cosine(parts, i, j, block) if cosine is None else cosine, lo + at)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_items: int = BLOCK) -> DataFrame:
@@ -272,7 +314,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_items:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     out = spark.createDataFrame([], MATCHES)
-    blocks = max(1, -(-items.count() // block_items))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size["n"] // block_items), -(-size["chars"] // BLOCK_CHARS))
     for k in range(blocks):
         own = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
         if not Block(own).passages:
