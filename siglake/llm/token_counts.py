@@ -2,9 +2,9 @@
 
 Each text is reduced to the digest of its normalised content; counts are stored by that digest and the digest of the
 tokenizer's file. A run joins its digests to the store, encodes one text of each distinct miss, appends the counts to the
-store, and joins again. Normalising must not change a count: it lower-cases ASCII texts, as the tokenizer does itself, unless they hold `<|` (special
-strings are case-sensitive); other texts stay as they are, for a capital may compose with a mark where its small letter
-does not.
+store, and joins again. Normalising must not change a count: it lower-cases a text and turns ASCII white space into single
+blanks, both of which the tokenizer does itself. Texts with `<|` (special strings are case-sensitive) or with characters
+beyond Latin-1 stay as they are, for there a capital may compose with a mark where its small letter does not.
 
 Null text: empty, zero bytes and tokens. Repeated rows and copies: one encoding, a row each. Empty tables give no rows.
 Null doc_id: kept. Other columns are not read.
@@ -26,10 +26,19 @@ LIMIT = 2048
 STORE = "content string, tokenizer string, n_tokens long"
 
 
+def normalised(text: Column) -> Column:
+    """What decides the count, in passes that are only made over the texts that need them."""
+    plain = ~text.contains("<|") & ((F.octet_length(text) == F.length(text)) | ~text.rlike("[^\\x00-\\xff]"))
+    blank = F.lower(text)
+    for mark in "\n\t\r\x0b\x0c":
+        blank = F.replace(blank, F.lit(mark), F.lit(" "))
+    single = F.trim(F.when(blank.contains("  "), F.regexp_replace(blank, "  +", " ")).otherwise(blank))
+    return F.when(plain, single).otherwise(text)
+
+
 def content_digest(text: Column) -> Column:
     """SHA-256 of what decides the count."""
-    plain = (F.octet_length(text) == F.length(text)) & ~text.contains("<|")
-    return F.sha2(F.when(plain, F.lower(text)).otherwise(text).cast("binary"), 256)
+    return F.sha2(normalised(text).cast("binary"), 256)
 
 
 def stored(docs: DataFrame, store: str) -> DataFrame:
@@ -59,7 +68,11 @@ def token_counts(docs: DataFrame, store: str, tokenizer: str | None = None, limi
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for b in batches:
-            n = [len(own.packed(t)) // 4 for t in b.column(1).to_pylist()]
+            known: dict[str, int] = {}  # rows of one doc_id and text stand next to each other
+            for content, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if content not in known:
+                    known[content] = len(own.packed(t)) // 4
+            n = [known[content] for content in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["content", "tokenizer", "n_tokens"])
 
     texts.select("content", "text").mapInArrow(encode, STORE).dropDuplicates(["content"]).write.mode("append").parquet(store)
