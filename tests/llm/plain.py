@@ -1,8 +1,10 @@
 """Plain, slow versions of what the operators compute."""
 
 import hashlib
+import math
 import re
 from collections import Counter
+from itertools import combinations
 
 SPACE = re.compile("[^\x20\x09-\x0d]+")
 ODD_TEXTS = [None, "", " ", "\n\n\t", "a", "a b", "one two three", "x" * 5000, "word " * 3000, "ÀÉ ß \u0130 Σς", "!!! ### 12", "\U0001f600 中文", "secret", "AKIA"]
@@ -83,3 +85,52 @@ def lcs(a, b):
             new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
         row = new
     return row[-1]
+
+
+def language(text, train):
+    """(language, score) by word-first backoff, from (text, language) rows."""
+    split = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    parts = lambda w, k: [f"<{w}>"[i : i + k] for i in range(len(w) + 3 - k)]
+    langs = sorted({lang for _, lang in train})
+    tables = {k: {lang: Counter() for lang in langs} for k in range(6)}  # 0: words
+    for t, lang in train:
+        for w in split(t):
+            tables[0][lang][w] += 1
+            for k in range(1, 6):
+                tables[k][lang].update(parts(w, k))
+    keys = {k: set().union(*t.values()) for k, t in tables.items()}
+
+    def logs(k, x):
+        return [math.log((tables[k][lang][x] + 0.5) / (sum(tables[k][lang].values()) + 0.5 * len(keys[k]))) for lang in langs]
+
+    def scores(w):
+        if w in keys[0]:
+            return logs(0, w)
+        for k in (5, 4, 3, 2, 1):
+            if found := [logs(k, g) for g in parts(w, k) if g in keys[k]]:
+                return [sum(x) / len(found) for x in zip(*found, strict=True)]
+        return [0.0] * len(langs)
+
+    words = split(text)
+    if not words:
+        return "und", 0.0
+    total = [sum(x) for x in zip(*map(scores, words), strict=True)]
+    share = [math.exp(x - max(total)) for x in total]
+    return langs[total.index(max(total))], max(share) / sum(share)
+
+
+def url_rules(rows, min_support, min_confidence):
+    """{(sorted tokens, verdict): (confidence, support, evidence)} from (tokens, verdict) rows, by counting all sets of tokens."""
+    n, of, hits, base = len(rows), Counter(), Counter(), Counter(v for _, v in rows)
+    for tokens, verdict in rows:
+        for k in range(1, len(tokens) + 1):
+            for own in combinations(sorted(tokens), k):
+                of[own] += 1
+                hits[own, verdict] += 1
+    odds = lambda a, b: math.log((a + 0.5) / (b - a + 0.5))
+    kept = {}
+    for (own, verdict), h in hits.items():
+        c = h / of[own]
+        if h / n >= min_support and c >= min_confidence and c > base[verdict] / n:
+            kept[own, verdict] = (c, h / n, odds(h, of[own]) - odds(base[verdict], n))
+    return {(a, v): x for (a, v), x in kept.items() if not any(set(b) < set(a) and v == w and y[0] >= x[0] for (b, w), y in kept.items())}
