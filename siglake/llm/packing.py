@@ -4,7 +4,7 @@ Documents become token ids with a closing id; those longer than a sequence are c
 dealt into partitions of `PART_ROWS` or so, and each partition packs its own by best-fit decreasing. Dual feasible
 functions over the histogram of lengths give a lower bound of its number of sequences: a partition that meets it is
 certified. The others put the pieces of all sequences that aren't full into a pool, which is dealt anew, so that they
-exchange documents, and packed again; a round counts if it saves sequences.
+exchange documents, and packed again, for as long as a round saves sequences.
 
 Null text: empty, one piece of the closing id. Repeated rows and null doc_id: pieces of their own. Equal lengths keep the
 order in which they come. Empty tables give no rows. Other columns are not read.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from siglake.llm.common import small_batches, written
 from siglake.llm.tokens import default_tokenizer_path, encoder
 
-LENGTH, PART_ROWS, ROUNDS = 2048, 100_000, 3
+LENGTH, PART_ROWS = 2048, 100_000
+#: Low bits of a sequence's id for its place in a partition, then those of partition and round.
+PLACE, PART = 23, 24
 CLOSING = b"\0\0\0\0"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, bin long, offset long, used long, gap long"
@@ -99,7 +102,7 @@ def _packed(size: int, round_: int):
         lengths = t["length"].to_numpy()
         bins, offsets, used = best_fit_decreasing(lengths, size)
         gap = len(used) - lower_bound(lengths, size)
-        part = (round_ << 56) + (TaskContext.get().partitionId() << 28)
+        part = (round_ << PLACE + PART) + (TaskContext.get().partitionId() << PLACE)
         more = {"bin": bins + part, "offset": offsets, "used": used[bins], "gap": np.full(len(bins), gap)}
         for name, x in more.items():
             t = t.append_column(name, pa.array(x, pa.int64()))
@@ -108,7 +111,7 @@ def _packed(size: int, round_: int):
     return run
 
 
-def packed(cut: DataFrame, length: int = LENGTH, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
+def packed(cut: DataFrame, length: int = LENGTH, part_rows: int = PART_ROWS) -> DataFrame:
     """Pieces with sequence_id, offset, the tokens in their sequence, and gap: 0 where the partition is certified."""
     names = [x.split()[0] for x in PIECES.split(", ")]
 
@@ -117,10 +120,10 @@ def packed(cut: DataFrame, length: int = LENGTH, part_rows: int = PART_ROWS, rou
         return written(df.select(*names).repartition(parts).mapInArrow(_packed(length, round_), PLACED), f"packing-{round_}")
 
     done, now = None, deal(cut, 0)
-    for round_ in range(1, rounds + 1):
+    for round_ in count(1):
         settled = (F.col("gap") == 0) | (F.col("used") == length)
         pool, parts = now.where(~settled), now.select("bin", "gap").distinct()
-        state = parts.agg(F.coalesce(F.max("gap"), F.lit(0)).alias("gap"), F.countDistinct(F.shiftright("bin", 28)).alias("parts")).first()
+        state = parts.agg(F.coalesce(F.max("gap"), F.lit(0)).alias("gap"), F.countDistinct(F.shiftright("bin", PLACE)).alias("parts")).first()
         if state["gap"] == 0 or state["parts"] < 2:
             break
         again = deal(pool, round_)
