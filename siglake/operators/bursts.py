@@ -44,6 +44,22 @@ def pairs(bursts: DataFrame, keys: list[str], time_thresh: float) -> DataFrame:
     )
 
 
+def correlated(pairs: DataFrame, signals: DataFrame) -> DataFrame:
+    """pairs with corr, that of both bursts' signals(id, x: array of their real analytic samples); null for one without spread."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    c = signals.withColumn("__m", total("x") / F.size("x")).withColumn("__x", F.transform("x", lambda v: v - F.col("__m")))
+    c = c.withColumn("__s", F.sqrt(total(F.transform("__x", lambda v: v * v))))
+    a, b = (c.select(F.col("id").alias(f"id_{k}"), F.col("__x").alias(f"__x{k}"), F.col("__s").alias(f"__s{k}")) for k in "ij")
+    corr = F.try_divide(total(F.zip_with("__xi", "__xj", lambda x, y: x * y)), F.col("__si") * F.col("__sj"))
+    return pairs.join(a, "id_i").join(b, "id_j").withColumn("corr", corr).drop("__xi", "__xj", "__si", "__sj")
+
+
+def duplicates(bursts: DataFrame, signals: DataFrame, keys: list[str], time_thresh: float, corr_thresh: float = 0.9) -> DataFrame:
+    """The pairs to merge: of one quadrant, less than time_thresh apart, with signals of corr_thresh or more."""
+    near = pairs(bursts, [*keys, "quadrant"], time_thresh).where(F.col("time_diff") < time_thresh)
+    return correlated(near, signals).where(F.col("corr") >= corr_thresh)
+
+
 def merged(bursts: DataFrame, to_merge: DataFrame) -> DataFrame:
     """Of each cluster of the pairs (id_i, id_j) the burst of largest amp, the smallest id of equals; others stay as they are."""
     cluster = components(to_merge, "id_i", "id_j").withColumnRenamed("node", "id")

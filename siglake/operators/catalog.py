@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siglake.operators.graph import checkpointed
+
 FAMILIES = ("burst", "ripple", "spindle", "wave", "generic")
 SCORES = ("score", "amp", "amplitude", "power", "peak_amp", "peak_power")
 
@@ -71,9 +73,23 @@ class EventCatalog:
 
 
 def numbered(df: DataFrame, prefix: str, order: list[str], keys: list[str] | None = None) -> DataFrame:
-    """event_id prefix_000000 and so on in this order, anew for each key."""
-    w = W.partitionBy(*(keys or [])).orderBy(*order)
-    return df.withColumn("event_id", F.format_string(f"{prefix}_%06d", F.row_number().over(w) - 1))
+    """event_id prefix_000000 and so on in this order, anew for each key.
+
+    Without keys the events are sorted in ranges and numbered from the count of the ranges before; counts by range reach the
+    driver. The sorted events are checkpointed, as ranges are sampled and would differ from run to run.
+    """
+    if keys:
+        n = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
+        return df.withColumn("event_id", F.format_string(f"{prefix}_%06d", n))
+    own = checkpointed(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))  # range in the upper bits, place in the lower 33
+    own = own.withColumn("__range", F.shiftright("__at", 33))
+    before, starts = 0, []
+    for r in own.groupBy("__range").count().orderBy("__range").collect():
+        starts.append((r["__range"], before))
+        before += r["count"]
+    start = df.sparkSession.createDataFrame(starts, "__range long, __start long")
+    n = F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return own.join(F.broadcast(start), "__range").withColumn("event_id", F.format_string(f"{prefix}_%06d", n)).drop("__at", "__range", "__start")
 
 
 def scored(df: DataFrame) -> DataFrame:

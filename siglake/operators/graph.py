@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siglake.session import shared_dir
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -20,14 +20,14 @@ def components(pairs: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     """
     edges = pairs.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
     nodes = pairs.select(F.col(a).alias("node")).union(pairs.select(F.col(b))).distinct()
-    edges, before = _checkpointed(edges), None
+    edges, before = checkpointed(edges), None
     for _ in range(most_rounds):
         both = edges.union(edges.select("lo", "hi")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), "m").where("u <> m").distinct()
         low = large.groupBy("u").agg(F.min("m").alias("low"))
         small = large.join(low, "u").select(F.when(F.col("m") == F.col("low"), F.col("u")).otherwise(F.col("m")).alias("hi"), F.col("low").alias("lo"))
-        edges = _checkpointed(small.where("hi <> lo").distinct())
+        edges = checkpointed(small.where("hi <> lo").distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if now == before:
             return nodes.join(edges.withColumnRenamed("hi", "node"), "node", "left").select("node", F.coalesce("lo", "node").alias("cluster"))

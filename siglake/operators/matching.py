@@ -74,6 +74,24 @@ def shifted(points: DataFrame, t: str, t_start: float, t_end: float, shift: floa
     return points.withColumn(t, F.lit(t_start) + F.pmod(F.col(t) - t_start + shift, F.lit(span)))
 
 
+def correlogram_surrogates(a: DataFrame, b: DataFrame, keys: list[str], bin_size: float, window: float, shares: list[float], ta: str = "ta", tb: str = "tb") -> DataFrame:
+    """share, bin, n, rate: correlograms of a with b shifted around the end, by each share of the span of both trains.
+
+    Shares (draw them from 0.1 to 0.9) are given, so that a task that runs again draws no others. A mean over events of rates
+    by bin, as a peri-event histogram has it, is the same number with a as the events.
+    """
+    span = a.select(F.col(ta).alias("t")).union(b.select(F.col(tb).alias("t"))).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    edges = np.arange(-window, window + bin_size, bin_size)
+    n, width = len(edges) - 1, (span["hi"] or 0.0) - (span["lo"] or 0.0)
+    each = F.explode(F.array(*[F.lit(float(x)) for x in shares])).alias("share")
+    moved = shifted(b.select(*keys, tb, each), tb, span["lo"] or 0.0, (span["lo"] or 0.0) + (width or 1.0), F.col("share") * F.lit(width))
+    lags = within(a.select("*", each), moved, [*keys, "share"], window, ta, tb).select("share", bin_of(F.col(tb) - F.col(ta), float(edges[0]), bin_size, n).alias("bin"))
+    counts = lags.where("bin is not null").groupBy("share", "bin").agg(F.count("*").alias("n"))
+    axis = a.sparkSession.range(n).select(F.col("id").cast("int").alias("bin"), each)
+    out = axis.join(F.broadcast(counts), ["share", "bin"], "left").select("share", "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return out.withColumn("rate", F.col("n") / F.lit(max(1, a.count()) * bin_size))
+
+
 def peri_event_histogram(spikes: DataFrame, events: DataFrame, keys: list[str], bin_size: float, window: tuple[float, float], event: str = "event_id", te: str = "te", ts: str = "ts") -> DataFrame:
     """bin, rate, sem over events: counts a bin size, their mean and population deviation over the root of the events' number."""
     edges = np.arange(window[0], window[1] + bin_size / 2, bin_size)

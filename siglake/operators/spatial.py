@@ -46,6 +46,13 @@ def with_neighbors(grid: DataFrame, keys: list[str], offsets: list[tuple[int, in
     return sent.join(there, [*keys, "__a", "__m"]).drop("__a", "__m")
 
 
+def shuffled(grid: DataFrame, keys: list[str], seed: Column, width: int, named: list[str] | None = None) -> DataFrame:
+    """keys, ap, ml, x: the values of each frame on places permuted by a hash of seed, the keys `named` (all of them) and place."""
+    at = F.md5(F.concat_ws(":", seed.cast("string"), *[F.col(c).cast("string") for c in (keys if named is None else named)], "ap", "ml").cast("binary"))
+    own = grid.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(at)) - 1)
+    return own.select(*keys, F.floor(F.col("__k") / width).cast("int").alias("ap"), (F.col("__k") % width).alias("ml"), "x")
+
+
 def moran(grid: DataFrame, keys: list[str], adjacency: str = "queen") -> DataFrame:
     """keys, moran: (n / W) sum of neighbours' products over the sum of squares, of centred values; null without spread."""
     w = W.partitionBy(*keys)

@@ -146,6 +146,20 @@ def cross_correlogram(spark, sf_dir):
     return out.select("bin", "lag", "n", F.round("rate", 9).alias("rate"))
 
 
+@query(
+    """a AS (SELECT t FROM ev WHERE event_type = 'signup'), b0 AS (SELECT t FROM ev WHERE event_type = 'view'), sp AS (SELECT min(t) AS lo, max(t) AS hi FROM ev WHERE event_type IN ('signup', 'view')),
+  b AS (SELECT f AS share, lo + (t - lo + f * (hi - lo)) % (hi - lo) AS t FROM b0, sp, (SELECT unnest([0.2::DOUBLE, 0.55::DOUBLE, 0.8::DOUBLE]) AS f)),
+  c AS (SELECT share, least(floor((b.t - a.t + 3600) / 300), 23)::INT AS bin, count(*) AS n FROM a JOIN b ON abs(b.t - a.t) <= 3600 GROUP BY ALL)
+  SELECT f AS share, k::INT AS bin, coalesce(n, 0) AS n, round(coalesce(n, 0) / ((SELECT count(*) FROM a) * 300.0::DOUBLE), 9) AS rate FROM range(24) r(k), (SELECT unnest([0.2::DOUBLE, 0.55::DOUBLE, 0.8::DOUBLE]) AS f) LEFT JOIN c ON c.bin = k AND share = f"""
+)
+def cross_correlogram_surrogates(spark, sf_dir):
+    """Correlograms against trains that are shifted around the end by shares of the span."""
+    ev = views.events(spark, sf_dir)
+    a, b = (ev.where(F.col("event_type") == k).select(F.col("t").alias(n)) for k, n in (("signup", "ta"), ("view", "tb")))
+    out = matching.correlogram_surrogates(a, b, [], 300.0, 3600.0, [0.2, 0.55, 0.8])
+    return out.select("share", "bin", "n", F.round("rate", 9).alias("rate"))
+
+
 @query(
     """e AS (SELECT event_id, t FROM ev WHERE event_type = 'signup'), s AS (SELECT t FROM ev WHERE event_type = 'view'),
   c AS (SELECT event_id, least(floor((s.t - e.t + 1000) / 200), 14)::INT AS bin, count(*) / 200.0::DOUBLE AS r FROM e JOIN s ON s.t BETWEEN e.t - 1000 AND e.t + 2000 GROUP BY ALL),
@@ -206,6 +220,18 @@ BURSTS = f"""{PLACED}, u AS (SELECT event_id AS id, t, AP - 8 AS AP, ML - 4 AS M
 """
 
 
+MERGE = f"""{BURSTS}, s AS (SELECT vec_id, i, x FROM sig_64 WHERE vec_id < 50), r AS (SELECT a.vec_id AS vi, b.vec_id AS vj, corr(a.x, b.x) AS corr FROM s a JOIN s b USING (i) GROUP BY ALL),
+  m AS (SELECT z.*, corr FROM z JOIN r ON vi = id_i % 50 AND vj = id_j % 50 WHERE colocalized AND time_diff < 700 AND corr >= 0.05)"""
+
+
+def _duplicates(spark, sf_dir):
+    """Each burst has one of fifty signals; one in three pairs or so is alike enough at this threshold."""
+    u = _bursts(spark, sf_dir)
+    own = views.sig_64(spark, sf_dir).where("vec_id < 50").groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("x"))
+    signals = u.select("id", (F.col("id") % 50).alias("vec_id")).join(own, "vec_id").select("id", "x")
+    return u, bursts.duplicates(u, signals, [], 700.0, 0.05)
+
+
 def _bursts(spark, sf_dir):
     p = _placed(spark, sf_dir).where("event_type = 'error'")
     u = p.select(F.col("event_id").alias("id"), "t", (F.col("AP") - 8).alias("AP"), (F.col("ML") - 4).alias("ML"), "amp")
@@ -223,26 +249,32 @@ def burst_pairs(spark, sf_dir):
     return got.withColumn("time_diff", F.round("time_diff", 3)).withColumn("dist", F.round("dist", 6))
 
 
+@query(f"{MERGE} SELECT id_i, id_j, round(time_diff, 3) AS time_diff, round(dist, 6) AS dist, round(corr, 6) AS corr FROM m")
+def filter_pairs_for_merging(spark, sf_dir):
+    """Pairs of one quadrant, close in time, whose signals correlate."""
+    got = _duplicates(spark, sf_dir)[1]
+    return got.select("id_i", "id_j", F.round("time_diff", 3).alias("time_diff"), F.round("dist", 6).alias("dist"), F.round("corr", 6).alias("corr"))
+
+
 @query(
-    f"""{BURSTS}, e AS (SELECT id_i AS a, id_j AS b FROM z WHERE colocalized UNION SELECT id_j, id_i FROM z WHERE colocalized),
+    f"""{MERGE}, e AS (SELECT id_i AS a, id_j AS b FROM m UNION SELECT id_j, id_i FROM m),
   reach AS (WITH RECURSIVE q(a, r) AS (SELECT a, a FROM e UNION SELECT e.b, q.r FROM q JOIN e ON e.a = q.a) SELECT a, min(r) AS cluster FROM q GROUP BY a)
   SELECT a AS node, cluster FROM reach"""
 )
 def find_merge_clusters(spark, sf_dir):
     from siglake.operators.graph import components
 
-    return components(bursts.pairs(_bursts(spark, sf_dir), [], 700.0).where("colocalized"), "id_i", "id_j")
+    return components(_duplicates(spark, sf_dir)[1], "id_i", "id_j")
 
 
 @query(
-    f"""{BURSTS}, e AS (SELECT id_i AS a, id_j AS b FROM z WHERE colocalized UNION SELECT id_j, id_i FROM z WHERE colocalized),
+    f"""{MERGE}, e AS (SELECT id_i AS a, id_j AS b FROM m UNION SELECT id_j, id_i FROM m),
   reach AS (WITH RECURSIVE q(a, r) AS (SELECT a, a FROM e UNION SELECT e.b, q.r FROM q JOIN e ON e.a = q.a) SELECT a, min(r) AS cluster FROM q GROUP BY a),
   o AS (SELECT id, coalesce(cluster, id) AS cluster, row_number() OVER (PARTITION BY coalesce(cluster, id) ORDER BY amp DESC, id) AS k FROM u LEFT JOIN reach ON a = id)
   SELECT id, cluster FROM o WHERE k = 1"""
 )
 def merge_bursts(spark, sf_dir):
-    u = _bursts(spark, sf_dir)
-    return bursts.merged(u, bursts.pairs(u, [], 700.0).where("colocalized")).select("id", "cluster")
+    return bursts.merged(*_duplicates(spark, sf_dir)).select("id", "cluster")
 
 
 @query(

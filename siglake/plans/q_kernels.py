@@ -47,8 +47,10 @@ _transform("lowpass", lambda x: dsp.lowpass(x, FS, 20))
 _transform("highpass", lambda x: dsp.highpass(x, FS, 5))
 _transform("notch", lambda x: dsp.notches(x, FS, [25.0]))
 _transform("notches", lambda x: dsp.notches(x, FS, [10.0, 20.0]))
-_transform("generalized_phase", dsp.generalized_phase)
-_transform("unwrapped_phase", dsp.unwrapped_phase)
+UNWRAPPED = """w AS (SELECT vec_id, i, p, p - lag(p) OVER (PARTITION BY vec_id ORDER BY i) AS d FROM ph)
+  SELECT vec_id, i, round(first_value(p) OVER s + coalesce(sum(d - 2 * pi() * floor((d + pi()) / (2 * pi()))) OVER s, 0), 5) AS y FROM w WINDOW s AS (PARTITION BY vec_id ORDER BY i)"""
+_transform("generalized_phase", dsp.generalized_phase, f"{ANALYTIC.replace('FROM ft,', 'FROM (FROM ft WHERE k > 0),')}, ph AS (SELECT vec_id, i, atan2(b, a) AS p FROM an), {UNWRAPPED}", 5)
+_transform("unwrapped_phase", dsp.unwrapped_phase, f"{ANALYTIC}, ph AS (SELECT vec_id, i, atan2(b, a) AS p FROM an), {UNWRAPPED}", 5)
 _transform("scx_lowerenv", lambda x: x - dsp.lower_envelope(x), f"{ANALYTIC} SELECT vec_id, i, round(x + sqrt(a * a + b * b), 6) AS y FROM an JOIN sig_64 USING (vec_id, i)")
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siglake.functions import complexity, dsp, extra
+from siglake.functions import complexity, dsp, extra, temporal
 from siglake.operators import kernels, spatial, windows
 from siglake.operators import series as ser
 from siglake.plans.registry import query
@@ -41,12 +41,14 @@ FEATURES = {
     "kurtosis": (lambda: F.kurtosis("x") + 3, "kurtosis_pop(x) + 3"),
     "deviation": (lambda: F.avg("x"), "avg(x)"),
 }
+DERIVATIVE = """d AS (SELECT ap, ml, n, x, CASE WHEN lag(x) OVER w IS NULL THEN lead(x) OVER w - x WHEN lead(x) OVER w IS NULL THEN x - lag(x) OVER w ELSE (lead(x) OVER w - lag(x) OVER w) / 2 END AS dx FROM ch WINDOW w AS (PARTITION BY ap, ml ORDER BY n))"""
 
 
-@query(f"{CH} SELECT ap, ml, {', '.join(f'round({s}, 6) AS {n}' for n, (_, s) in FEATURES.items())} FROM ch GROUP BY ap, ml")
+@query(f"{CH}, {DERIVATIVE} SELECT ap, ml, {', '.join(f'round({s}, 6) AS {n}' for n, (_, s) in FEATURES.items())}, round(avg(abs(dx)), 6) AS time_derivative FROM d GROUP BY ap, ml")
 def extract_channel_features(spark, sf_dir):
-    """Several features of each channel in one pass."""
-    return _channels(spark, sf_dir).groupBy("ap", "ml").agg(*[F.round(c(), 6).alias(n) for n, (c, _) in FEATURES.items()])
+    """Features of each channel in one pass; those that need the whole series are hurst_exponent and noise_to_signal."""
+    own = temporal.prepared(_channels(spark, sf_dir), ["ap", "ml"], "n", "x")
+    return own.groupBy("ap", "ml").agg(*[F.round(c(), 6).alias(n) for n, (c, _) in FEATURES.items()], F.round(temporal.time_derivative(), 6).alias("time_derivative"))
 
 
 @query(f"{CH}, w AS (SELECT unnest(range(0, (max(n) + 1 - 60) // 25 + 1)) AS win FROM ch) SELECT win, ap, ml, {', '.join(f'round({s}, 6) AS {n}' for n, (_, s) in FEATURES.items())} FROM ch JOIN w ON n >= win * 25 AND n < win * 25 + 60 GROUP BY win, ap, ml")
@@ -328,36 +330,43 @@ def optical_flow(spark, sf_dir):
     return _frames(spark, sf_dir).groupBy("g").applyInPandas(run, "g long, frame int, ap int, ml int, u double, v double")
 
 
-@query("SELECT vec_id, count(*) AS n, round(sum(x), 5) AS s FROM sig_grid GROUP BY vec_id")
+SHUFFLED = "(row_number() OVER (PARTITION BY vec_id{r} ORDER BY md5({seed} || ':' || vec_id || ':' || ap || ':' || ml)) - 1)"
+
+
+@query(f"s AS (SELECT vec_id, {SHUFFLED.format(r='', seed=7)} AS k, x FROM sig_grid) SELECT vec_id, (k // 8)::INT AS ap, (k % 8)::INT AS ml, x FROM s")
 def spatial_shuffle(spark, sf_dir):
-    """Electrodes of each frame permuted, in an order by hash; sums stay."""
-    order = F.xxhash64(F.lit(7), "vec_id", "ap", "ml")
-    g = _grid(spark, sf_dir).withColumn("k", F.row_number().over(W.partitionBy("vec_id").orderBy(order, "ap", "ml")) - 1)
-    moved = g.select("vec_id", F.floor(F.col("k") / 8).alias("ap"), (F.col("k") % 8).alias("ml"), "x")
-    return moved.groupBy("vec_id").agg(F.count("*").alias("n"), F.round(F.sum("x"), 5).alias("s"))
+    """Electrodes of each frame permuted, in an order by hash."""
+    return spatial.shuffled(_grid(spark, sf_dir), K, F.lit(7), 8)
 
 
-@query()
+@query(
+    f"""m AS (SELECT vec_id, ap, ml, x - avg(x) OVER (PARTITION BY vec_id) AS x FROM sig_grid), rs AS (SELECT unnest(range(40)) AS r),
+  k AS (SELECT vec_id, r, {SHUFFLED.format(r=', r', seed='r')} AS k, x FROM m, rs), g AS (SELECT vec_id, r, k // 8 AS ap, k % 8 AS ml, x FROM k UNION ALL SELECT vec_id, -1, ap, ml, x FROM m),
+  st AS (SELECT a AS da, b AS dm FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b) WHERE a <> 0 OR b <> 0),
+  i AS (SELECT a.vec_id, a.r, sum(a.x * b.x) AS s FROM g a, st JOIN g b ON b.vec_id = a.vec_id AND b.r = a.r AND b.ap = a.ap + da AND b.ml = a.ml + dm GROUP BY ALL)
+  SELECT n.vec_id, avg((n.s >= o.s)::INT::DOUBLE) AS p FROM i n JOIN i o ON n.vec_id = o.vec_id AND o.r = -1 WHERE n.r >= 0 GROUP BY n.vec_id"""
+)
 def surrogate_test(spark, sf_dir):
     """Share of 40 spatial shuffles whose Moran index reaches the frame's own."""
     g = _grid(spark, sf_dir)
     many = g.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(39))))
-    order = F.xxhash64("r", "vec_id", "ap", "ml")
-    many = many.withColumn("k", F.row_number().over(W.partitionBy("vec_id", "r").orderBy(order, "ap", "ml")) - 1)
-    null = spatial.moran(many.select("vec_id", "r", F.floor(F.col("k") / 8).alias("ap"), (F.col("k") % 8).alias("ml"), "x"), ["vec_id", "r"])
+    null = spatial.moran(spatial.shuffled(many, ["vec_id", "r"], F.col("r"), 8, ["vec_id"]), ["vec_id", "r"])
     own = spatial.moran(g, K).withColumnRenamed("moran", "own")
     return null.join(own, "vec_id").groupBy("vec_id").agg(F.avg((F.col("moran") >= F.col("own")).cast("double")).alias("p"))
 
 
-def _summary(name: str, column, sql: str) -> None:
+def _neighborfunc(name: str, column, sql: str) -> None:
     def run(spark, sf_dir):
-        return _grid(spark, sf_dir).groupBy("vec_id").agg(F.round(column(), 6).alias("v"))
+        near = spatial.with_neighbors(_grid(spark, sf_dir), K, spatial.footprint(2))
+        return near.groupBy("vec_id", "ap", "ml").agg(F.round(column("y"), 6).alias("v"))
 
-    query(f"SELECT vec_id, round({sql}, 6) AS v FROM sig_grid GROUP BY vec_id", f"neighborfunc_{name}")(run)
+    near = "sig_grid a JOIN sig_grid b ON a.vec_id = b.vec_id AND abs(a.ap - b.ap) + abs(a.ml - b.ml) BETWEEN 1 AND 2"
+    query(f"SELECT a.vec_id, a.ap, a.ml, round({sql}, 6) AS v FROM {near} GROUP BY ALL", f"neighborfunc_{name}")(run)
 
 
-_summary("mean", lambda: F.avg("x"), "avg(x)")
-_summary("std", lambda: F.stddev_pop("x"), "stddev_pop(x)")
+_neighborfunc("mean", F.avg, "avg(b.x)")
+_neighborfunc("std", F.stddev_pop, "stddev_pop(b.x)")
+_neighborfunc("median", F.median, "median(b.x)")
 
 
 @query(

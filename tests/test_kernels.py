@@ -225,3 +225,35 @@ def test_line_removal_and_shoulder():
     assert found and np.abs(got - x).max() < 0.05 and not extra.without_line(x, FS, 125.0, p=1e-6)[1]
     y = extra.shoulder_bandpass(np.sin(2 * np.pi * 400 * T) + np.sin(2 * np.pi * 20 * T), FS, 300, 450)
     assert np.abs(y - np.sin(2 * np.pi * 400 * T))[500:-500].max() < 0.02
+
+def test_numbers_without_keys_follow_the_order(spark):
+    from siglake.operators.catalog import numbered
+
+    rows = [(float(i * 37 % 500), i) for i in range(500)]
+    got = numbered(spark.createDataFrame(rows, "t double, src long").repartition(7), "peak", ["t", "src"]).collect()
+    assert {r["src"]: r["event_id"] for r in got} == {i: f"peak_{k:06d}" for k, (_, i) in enumerate(sorted(rows))}
+
+
+def test_generalized_phase_of_known_signals():
+    t = np.arange(400) / 400
+    turn = 2 * np.pi * 12 * t
+    phase = dsp.generalized_phase(np.stack([3 + np.cos(turn), np.cos(turn + 1)]))
+    assert np.allclose(phase[0], turn, atol=1e-9) and np.allclose(phase[1], turn + 1, atol=1e-9)
+    x = np.cos(turn) + 0.6 * np.cos(5 * turn)  # its frequency turns negative at times, which is not bridged
+    assert (np.diff(dsp.generalized_phase(x)) < 0).any()
+    assert np.allclose(dsp.generalized_phase(x), dsp.generalized_phase(x + 7))
+
+
+def test_surrogates_keep_what_they_should(spark):
+    from siglake import plans
+    from siglake.plans import registry
+
+    plans.load()
+    d = "/root/testdata/sf0.001"
+    own = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x = np.stack(own["embedding"].to_list()).astype(float)
+    got = registry.QUERIES["phase_randomize"](spark, d).orderBy("vec_id", "i").toPandas()
+    y = got["y"].to_numpy().reshape(len(x), -1)
+    assert np.allclose(np.abs(np.fft.rfft(x, axis=1)), np.abs(np.fft.rfft(y, axis=1)), atol=1e-3) and not np.allclose(x, y, atol=0.1)
+    moved = registry.QUERIES["spatial_shuffle"](spark, d).orderBy("vec_id", "ap", "ml").toPandas()["x"].to_numpy().reshape(len(x), -1)
+    assert np.allclose(np.sort(x, axis=1), np.sort(moved, axis=1)) and (x != moved).mean() > 0.9
