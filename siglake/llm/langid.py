@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from siglake.llm.common import small_batches, written
 
 FIT_DOCS, ORDERS = 1500, (5, 4, 3, 2, 1)
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 UND = "und"
 _word = re.compile(r"[^\W\d_]+")
 
@@ -56,9 +56,9 @@ class Model:
         logs = np.zeros_like(of_grams)
         for k in ORDERS:
             logs[order == k] = self._logs(of_grams[order == k])
-        self.logs = np.concatenate([self._logs(counts), logs])
+        self.word_logs, self.gram_logs = self._logs(counts), logs
         self.words = {w: i for i, w in enumerate(names)}
-        self.grams = {g: len(names) + i for i, g in enumerate(grams_)}
+        self.grams = {g: i for i, g in enumerate(grams_)}
 
     def _counts(self, t: pa.Table) -> tuple[list[str], np.ndarray]:
         key = t["key"].combine_chunks().dictionary_encode()
@@ -71,40 +71,36 @@ class Model:
     def _logs(m: np.ndarray) -> np.ndarray:
         return np.log((m + 0.5) / (m.sum(0) + 0.5 * max(1, len(m))))
 
-    def word(self, word: str) -> np.ndarray:
-        """Log frequencies of a word, by its longest known parts."""
-        if (known := self.words.get(word)) is not None:
-            return self.logs[known]
+    def unseen(self, word: str) -> np.ndarray:
+        """Log frequencies of a word that isn't known, by its longest known parts."""
         for order in ORDERS:
             if found := [x for g in grams(word, order) if (x := self.grams.get(g)) is not None]:
-                return self.logs[found].mean(axis=0)
+                return self.gram_logs[found].mean(axis=0)
         return np.zeros(len(self.langs))
 
     def scorer(self) -> Scorer:
-        """The one scorer of this process: its memo outlives a task."""
+        """The one scorer of this process, which takes over the words: its memo outlives a task."""
         if self.own is None:
             self.own = Scorer(self)
+            self.words = self.word_logs = None
         return self.own
 
 
 class Scorer(dict):
-    """Memo of word -> row of a growing matrix; emptied when full."""
+    """Word -> row of a growing matrix: the known words, then a memo of unseen ones, which is emptied when full."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-        self.rows = self._no_rows()
-
-    def _no_rows(self) -> np.ndarray:
-        """Log frequencies, and 1 for a known word."""
-        return np.zeros((1024, len(self.model.langs) + 1))
+        super().__init__(model.words)
+        self.model, self.known, self.unseen = model, len(model.words), []
+        self.rows = np.concatenate([model.word_logs, np.zeros((1024, len(model.langs)))])
 
     def __missing__(self, word: str) -> int:
         k = len(self)
         if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k, :-1], self.rows[k, -1] = self.model.word(word), word in self.model.words
+            self.rows = np.concatenate([self.rows, np.zeros((k // 4, len(self.model.langs)))])
+        self.rows[k] = self.model.unseen(word)
         self[word] = k
+        self.unseen.append(word)
         return k
 
     def predict(self, text: str | None) -> tuple[str, float, int, int]:
@@ -112,15 +108,16 @@ class Scorer(dict):
         words = words_of(text)
         if not words or not self.model.langs:
             return UND, 0.0, len(words), 0
-        if len(self) > MEMO_WORDS:
-            self.clear()
-            self.rows = self._no_rows()
-        total = np.zeros(len(self.model.langs) + 1)
+        if len(self.unseen) > MEMO_WORDS:
+            for w in self.unseen:
+                del self[w]
+            self.unseen.clear()
+        total, known = np.zeros(len(self.model.langs)), 0
         for i in range(0, len(words), 50_000):
             part = words[i : i + 50_000]
             at = np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))
             total += self.rows[at].sum(axis=0)
-        total, known = total[:-1], int(total[-1])
+            known += int((at < self.known).sum())
         share = np.exp(total - total.max())
         best = int(np.argmax(total))
         return self.model.langs[best], float(share[best] / share.sum()), len(words), known
