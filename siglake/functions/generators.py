@@ -112,3 +112,31 @@ def poisson_bursts(spark: SparkSession, channels: int, rate: float, duration: fl
     trains = poisson_process(spark, channels, rate, duration, seed).groupBy("ch").agg(F.array_sort(F.collect_list("t")).alias("all"))
     keep = F.aggregate("all", F.expr("cast(array() as array<double>)"), lambda kept, t: F.when((F.size(kept) == 0) | (t >= F.element_at(kept, -1) + burst + refractory), F.array_append(kept, t)).otherwise(kept))
     return trains.select("ch", F.explode(keep).alias("t0")).withColumn("t1", F.col("t0") + burst)
+
+
+def gaussian_cover(n_ap: int, n_ml: int, k_ap: int, k_ml: int, overlap: float = 0.5) -> list[list[tuple[int, int, float]]]:
+    """(ap, ml, weight) of each of k_ap x k_ml Gaussian modes whose centres tile the grid; overlap: sigma over their distance."""
+    step_ap, step_ml = n_ap / k_ap, n_ml / k_ml
+    centres = [((a + 0.5) * step_ap - 0.5, (m + 0.5) * step_ml - 0.5) for a in range(k_ap) for m in range(k_ml)]
+    places = [(a, m) for a in range(n_ap) for m in range(n_ml)]
+    return [[(a, m, math.exp(-0.5 * (((a - x) / (overlap * step_ap)) ** 2 + ((m - y) / (overlap * step_ml)) ** 2))) for a, m in places] for x, y in centres]
+
+
+def mode_process(mode: list[tuple[int, int, float]], envelope: DataFrame) -> DataFrame:
+    """i, ap, ml, x: a mode of fixed places times an envelope (i, e)."""
+    at = F.explode(F.array(*[F.struct(F.lit(a).alias("ap"), F.lit(m).alias("ml"), F.lit(w).alias("w")) for a, m, w in mode])).alias("m")
+    return envelope.select("i", "e", at).select("i", "m.ap", "m.ml", (F.col("e") * F.col("m.w")).alias("x"))
+
+
+def mode_mixer(modes: list[list[tuple[int, int, float]]], envelopes: list[DataFrame]) -> DataFrame:
+    """Sum of the modes' processes."""
+    return mixed([mode_process(m, e) for m, e in zip(modes, envelopes, strict=True)], ["i", "ap", "ml"])
+
+
+def blobs(points: DataFrame, centres: list[dict[str, float]], widths: dict[str, float], background: float = 0.0) -> DataFrame:
+    """points with x: a background and a Gaussian blob at each centre, over the dimensions named in widths."""
+    x = F.lit(background)
+    for c in centres:
+        far = sum((((F.col(d) - c[d]) / w) ** 2 for d, w in widths.items()), F.lit(0.0))
+        x = x + c.get("amp", 1.0) * F.exp(-0.5 * far)
+    return points.withColumn("x", x)

@@ -33,6 +33,11 @@ class EventCatalog:
     def is_intervals(self) -> bool:
         return {"t0", "t1"} <= set(self.table.columns)
 
+    def to_records(self, most: int = 20_000) -> DataFrame:
+        """A JSON record of each event, for viewers; none if there are more than they take."""
+        few = self.table.limit(most + 1).count() <= most
+        return self.table.select(F.to_json(F.struct(*sorted(self.table.columns))).alias("record")).where(F.lit(few))
+
     def to_events(self) -> DataFrame:
         return self.table.select("t", *[c for c in ("label",) if c in self.table.columns])
 
@@ -92,6 +97,16 @@ def numbered(df: DataFrame, prefix: str, order: list[str], keys: list[str] | Non
     return own.join(F.broadcast(start), "__range").withColumn("event_id", F.format_string(f"{prefix}_%06d", n)).drop("__at", "__range", "__start")
 
 
+def from_start_peak_end(rows: DataFrame, label: str = "ripple", keys: list[str] | None = None, order: list[str] | None = None) -> EventCatalog:
+    """Catalog of detections that come as start, peak and end, with peak_amplitude as value if it is there."""
+    if missing := {"start", "peak", "end"} - set(rows.columns):
+        raise ValueError(f"missing {sorted(missing)}")
+    value = [F.col("peak_amplitude").cast("double").alias("value")] if "peak_amplitude" in rows.columns else []
+    named = [c for c in rows.columns if c not in ("start", "peak", "end", "peak_amplitude")]
+    own = rows.select(*named, *[F.col(c).cast("double").alias(t) for c, t in (("peak", "t"), ("start", "t0"), ("end", "t1"))], F.lit(label).alias("label"), *value)
+    return EventCatalog(numbered(own, label, order or ["t0", "t"], keys))
+
+
 def scored(df: DataFrame) -> DataFrame:
     """score: the first of the known names that is there, else 1."""
     found = [F.col(c).cast("double") for c in SCORES if c in df.columns]

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siglake.functions import complexity
+from siglake.operators.spatial import with_neighbors
 
 #: Variables up to which a dense covariance goes to the driver (72 MB).
 MOST_VARIABLES = 3000
@@ -126,3 +127,25 @@ def spikes(scores: DataFrame, keys: list[str], half: int) -> DataFrame:
     around = F.collect_list("x").over(w.rowsBetween(-half, half))
     own = scores.withColumn("__top", top).withColumn("width", F.size(F.filter(around, lambda v: v > F.col("x") / 2)))
     return own.where("__top").select(*keys, "i", F.col("x").alias("amp"), F.col("width").cast("int").alias("width"))
+
+
+def in_band(peaks: DataFrame, name: str, low: float, high: float, freq: str = "freq") -> DataFrame:
+    """is_<name>: whether a factor's peak frequency is in [low, high)."""
+    return peaks.withColumn(f"is_{name}", F.coalesce((F.col(freq) >= low) & (F.col(freq) < high), F.lit(False)))
+
+
+def stacked(parts: dict[str, DataFrame]) -> DataFrame:
+    """Tables of several recordings as one, with their names as rec."""
+    out = None
+    for rec, df in parts.items():
+        own = df.withColumn("rec", F.lit(rec))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def embedded(grid: DataFrame, keys: list[str], bad: str, half: int) -> DataFrame:
+    """The electrodes whose square window of 2 half + 1 lies within the grid and holds no bad one."""
+    reach = range(-half, half + 1)
+    near = with_neighbors(grid.select(*keys, "ap", "ml", bad), keys, [(a, m) for a in reach for m in reach], bad, "__bad")
+    whole = near.groupBy(*keys, "ap", "ml").agg(F.count("*").alias("__n"), F.bool_or("__bad").alias("__any"))
+    return whole.where((F.col("__n") == (2 * half + 1) ** 2) & ~F.col("__any")).drop("__n", "__any")

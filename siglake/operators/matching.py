@@ -105,3 +105,10 @@ def peri_event_histogram(spikes: DataFrame, events: DataFrame, keys: list[str],
     s, q = F.coalesce("s", F.lit(0.0)) / total, F.coalesce("q", F.lit(0.0)) / total
     out = axis.join(F.broadcast(per), "bin", "left")
     return out.select("bin", (F.lit(float(edges[0])) + (F.col("bin") + 0.5) * bin_size).alias("lag"), s.alias("rate"), (F.sqrt(F.greatest(q - s * s, F.lit(0.0))) / F.sqrt(F.lit(total))).alias("sem"))
+
+
+def baselined(histogram: DataFrame, low: float, high: float) -> DataFrame:
+    """bin, lag, rate and sem over the mean rate of the bins whose centre is in [low, high]; as they are where that isn't above 0."""
+    mean = F.broadcast(histogram.where(F.col("lag").between(low, high)).agg(F.avg("rate").alias("__b")))
+    by = F.when(F.col("__b") > 0, F.col("__b")).otherwise(F.lit(1.0))
+    return histogram.join(mean).select("bin", "lag", (F.col("rate") / by).alias("rate"), (F.col("sem") / by).alias("sem"))

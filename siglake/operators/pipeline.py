@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siglake.functions import dsp
-from siglake.operators import detect, kernels, series
+from siglake.operators import detect, kernels, series, spectral
 from siglake.operators.catalog import EventCatalog, numbered
 
 TRANSFORMS: dict[str, type[Transform]] = {}
@@ -56,9 +56,6 @@ class Detector(Configured):
     @abstractmethod
     def detect(self, samples: DataFrame, keys: list[str]) -> DataFrame: ...
 
-    def needs_transform(self, columns: list[str]) -> bool:
-        return not {"i", "t", "x"} <= set(columns)
-
 
 def _kernel(samples: DataFrame, keys: list[str], f) -> DataFrame:
     y = kernels.transformed(samples, keys, f)
@@ -99,6 +96,17 @@ class ZScore(Transform):
         return series.zscored(samples, keys, "x").drop("x").withColumnRenamed("z", "x")
 
 
+class Spectrogram(Transform):
+    """Samples to power by frequency (keys, freq, i, t, x): windows of nperseg samples, half of them shared by default."""
+
+    defaults = {"fs": 1000.0, "nperseg": 256, "noverlap": None, "bandwidth": 4.0}
+
+    def compute(self, samples, keys):
+        half = self.nperseg // 2 if self.noverlap is None else self.noverlap
+        p = spectral.spectrogram(samples, keys, self.fs, self.nperseg, half, self.bandwidth)
+        return p.select(*keys, "freq", F.col("win").cast("long").alias("i"), "t", F.col("p").alias("x"))
+
+
 class Threshold(Detector):
     defaults = {"threshold": 3.0, "direction": "positive", "merge_gap": 0, "min_duration": 0.0}
     label = "thresh"

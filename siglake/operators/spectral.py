@@ -225,3 +225,8 @@ def whitened(df: DataFrame, keys: list[str], coefficients: list[float]) -> DataF
     for p, a in enumerate(coefficients, 1):
         out = out - float(a) * F.coalesce(F.lag("x", p).over(w), F.lit(0.0))
     return df.withColumn("y", out)
+
+
+def clipped(psd: DataFrame, low: float = 1.0, high: float = 30.0) -> DataFrame:
+    """The rows of frequencies in [low, high]."""
+    return psd.where(F.col("freq").between(low, high))

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from siglake.functions import complexity, dsp
+from siglake.functions import complexity, dsp, granger
 from siglake.operators import kernels, pipeline, spectral
 from siglake.plans.registry import query
 from siglake.sources import views
@@ -263,20 +263,15 @@ def phase_randomize(spark, sf_dir):
 
 @query()
 def spectral_granger(spark, sf_dir):
-    """Granger influence each way between neighbouring vectors by autoregressions of order 2: log ratio of residual variances."""
+    """Influence each way between neighbouring vectors at each frequency, by factored multitaper cross spectra."""
     s = _series(spark, sf_dir)
     both = s.join(s.select((F.col("vec_id") - 1).alias("vec_id"), "i", F.col("x").alias("y")), ["vec_id", "i"])
 
     def f(x, y):
-        def rest(target, *sources):
-            a = np.column_stack([v[2 - lag : len(v) - lag] for v in sources for lag in (1, 2)])
-            return np.var(target[2:] - a @ np.linalg.lstsq(a, target[2:], rcond=None)[0])
+        freq, there, back = granger.spectral(x, y, FS)
+        return pd.DataFrame({"freq": freq, "x_to_y": np.round(there, 6), "y_to_x": np.round(back, 6)})
 
-        x, y = x - x.mean(), y - y.mean()
-        return {"x_to_y": np.log(rest(y, y) / rest(y, y, x)), "y_to_x": np.log(rest(x, x) / rest(x, x, y))}
-
-    got = kernels.reduced(both, K, f, ["x_to_y", "y_to_x"], values=("x", "y"))
-    return got.select("vec_id", F.round("x_to_y", 6).alias("x_to_y"), F.round("y_to_x", 6).alias("y_to_x"))
+    return kernels.expanded(both, K, f, "freq double, x_to_y double, y_to_x double", values=("x", "y"))
 
 
 @query()
