@@ -46,21 +46,38 @@ def reduced(df: DataFrame, keys: list[str], kernel: Callable[..., dict[str, floa
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            rows = [kernel(*(np.asarray(row[v], dtype=float) for v in values)) for _, row in p.iterrows()]
+            rows = [kernel(*(np.asarray(x, dtype=float) for x in row)) for row in zip(*(p[v] for v in values), strict=True)]
             yield p[keys].reset_index(drop=True).assign(**{n: [float(r[n]) for r in rows] for n in names})
 
     return as_arrays(df, keys, order, values).mapInPandas(run, schema)
 
 
-def expanded(df: DataFrame, keys: list[str], kernel: Callable[..., pd.DataFrame], schema: str, order: str = "i", values: tuple[str, ...] = ("x",)) -> DataFrame:
-    """keys and the columns of `schema`: a kernel that gives a frame for each series."""
+def expanded(df: DataFrame, keys: list[str], kernel: Callable[..., pd.DataFrame | dict], schema: str, order: str = "i", values: tuple[str, ...] = ("x",)) -> DataFrame:
+    """keys and the columns of `schema`: a kernel that gives columns of equal length for each series."""
     kind = {f.name: f.dataType.simpleString() for f in df.schema}
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for _, row in p.iterrows():
-                got = kernel(*(np.asarray(row[v], dtype=float) for v in values))
-                yield got[names].assign(**{k: row[k] for k in keys})[[*keys, *names]]
+            got = [kernel(*(np.asarray(x, dtype=float) for x in row)) for row in zip(*(p[v] for v in values), strict=True)]
+            if got:
+                at = np.repeat(np.arange(len(got)), [len(g[names[0]]) for g in got])
+                yield p[keys].iloc[at].reset_index(drop=True).assign(**{n: np.concatenate([np.asarray(g[n]) for g in got]) for n in names})
 
     return as_arrays(df, keys, order, values).mapInPandas(run, ", ".join(f"{k} {kind[k]}" for k in keys) + ", " + schema)
+
+
+def spectra(df: DataFrame, keys: list[str], kernel: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], order: str = "i", value: str = "x") -> DataFrame:
+    """keys, k, freq, p: a kernel (series, samples) that gives frequencies and (series, frequencies); series of equal length go together."""
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            size = part[value].map(len).to_numpy()
+            for n in np.unique(size):
+                at = np.flatnonzero(size == n)
+                freq, p = kernel(np.stack(part[value].iloc[at].to_list()).astype(float))
+                own = part[keys].iloc[np.repeat(at, len(freq))].reset_index(drop=True)
+                yield own.assign(k=np.tile(np.arange(len(freq)), len(at)), freq=np.tile(freq, len(at)), p=p.ravel())
+
+    return as_arrays(df, keys, order, (value,)).mapInPandas(run, ", ".join(f"{k} {kind[k]}" for k in keys) + ", k int, freq double, p double")

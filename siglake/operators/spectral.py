@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,28 +13,21 @@ from siglake.operators import kernels
 from siglake.operators.series import EPS, gradient, over
 
 
-def _spectrum(f: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Callable[[np.ndarray], pd.DataFrame]:
-    def run(x: np.ndarray) -> pd.DataFrame:
-        freq, p = f(x)
-        return pd.DataFrame({"k": np.arange(len(freq)), "freq": freq, "p": p})
-
-    return run
-
-
 def periodogram(df: DataFrame, keys: list[str], fs: float) -> DataFrame:
     """|X|^2 / (fs n) of series without their mean, not doubled."""
-    def f(x: np.ndarray):
-        return np.fft.rfftfreq(len(x), 1 / fs), np.abs(np.fft.rfft(x - x.mean())) ** 2 / (fs * len(x))
+    def f(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = x.shape[-1]
+        return np.fft.rfftfreq(n, 1 / fs), np.abs(np.fft.rfft(x - x.mean(axis=-1, keepdims=True), axis=-1)) ** 2 / (fs * n)
 
-    return kernels.expanded(df, keys, _spectrum(f), "k int, freq double, p double")
+    return kernels.spectra(df, keys, f)
 
 
 def psd_welch(df: DataFrame, keys: list[str], fs: float, nperseg: int = 256, noverlap: int | None = None) -> DataFrame:
-    return kernels.expanded(df, keys, _spectrum(lambda x: dsp.welch(x, fs, nperseg, noverlap)), "k int, freq double, p double")
+    return kernels.spectra(df, keys, lambda x: dsp.welch(x, fs, nperseg, noverlap))
 
 
 def psd_multitaper(df: DataFrame, keys: list[str], fs: float, nw: float = 4) -> DataFrame:
-    return kernels.expanded(df, keys, _spectrum(lambda x: dsp.psd_multitaper(x, fs, nw)), "k int, freq double, p double")
+    return kernels.spectra(df, keys, lambda x: dsp.psd_multitaper(x, fs, nw))
 
 
 def multitaper_fft(df: DataFrame, keys: list[str], fs: float, nw: float = 2) -> DataFrame:
