@@ -134,3 +134,12 @@ def url_rules(rows, min_support, min_confidence):
         if h / n >= min_support and c >= min_confidence and c > base[verdict] / n:
             kept[own, verdict] = (c, h / n, odds(h, of[own]) - odds(base[verdict], n))
     return {(a, v): x for (a, v), x in kept.items() if not any(set(b) < set(a) and v == w and y[0] >= x[0] for (b, w), y in kept.items())}
+
+
+def leak(text, item, stretch_words):
+    """The best share of an item's words that is a common subsequence with a stretch of a text."""
+    split = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()
+    own, words = split(item), split(text)
+    span = stretch_words(len(own))
+    best = max(lcs(own, words[i : i + span]) for i in range(max(1, len(words) - span + 1)))
+    return best / len(own)

@@ -521,6 +521,50 @@ def test_decontamination_loses_no_passage_of_a_large_benchmark(spark):
     assert {k for k, _ in items} - {r["doc_id"] for r in got if r["doc_id"] == r["item_id"]} == set()
 
 
+def paraphrase(own, r, pool):
+    """Three words in ten replaced, and two neighbouring stretches of four words swapped; the answer, the last six, stays."""
+    body, answer = list(own[:-6]), list(own[-6:])
+    for i in r.sample(range(len(body)), 3 * len(body) // 10):
+        body[i] = r.choice(pool)
+    i = r.randrange(0, max(1, len(body) - 8))
+    return body[:i] + body[i + 4 : i + 8] + body[i : i + 4] + body[i + 8 :] + answer
+
+
+def test_decontamination_recall_of_paraphrases(spark):
+    r, pool = random.Random(24), words(4000, 24)
+    own = [r.choices(pool, k=r.randint(30, 64)) for _ in range(400)]
+    items = [(k, " ".join(x[:-6]) + ". " + " ".join(x[-6:]) + ".") for k, x in enumerate(own)]
+    texts = [" ".join([*r.choices(pool, k=r.randint(0, 300)), *paraphrase(x, r, pool), *r.choices(pool, k=r.randint(0, 300))]) for x in own]
+    texts += [" ".join(r.choices(pool, k=r.randint(50, 500))) for _ in range(200)]
+    got = {(x["doc_id"], x["item_id"]) for x in decontamination.leaks(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len({(k, k) for k in range(400)} & got) >= 0.9 * 400 and all(a == b for a, b in got)
+
+
+def test_decontamination_matches_a_plain_version(spark):
+    r, pool = random.Random(25), words(400, 25)
+    own = [r.choices(pool, k=r.randint(5, 40)) for _ in range(30)]
+    items = [(k, " ".join(x[:-3]) + ". " + " ".join(x[-3:]) + ".") for k, x in enumerate(own)]
+    texts = []
+    for k in range(60):
+        x = own[k % 30]
+        told = [w if r.random() > (k % 5) / 10 else r.choice(pool) for w in x]
+        texts.append(" ".join([*r.choices(pool, k=r.randint(0, 60)), *told, *r.choices(pool, k=r.randint(0, 60))]))
+    got = {(x["doc_id"], x["item_id"]): x["lcs"] for x in decontamination.leaks(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    sure, ruled_out = {}, set()
+    for d, text in enumerate(texts):
+        for k, item in items:
+            share = plain.leak(text, item, decontamination.stretch_words)
+            least = 1.0 if len(own[k]) < decontamination.SHORT else decontamination.SAME
+            if share >= least:
+                sure[d, k] = share
+            elif len(own[k]) < decontamination.SHORT or share < decontamination.LIKE:
+                ruled_out.add((d, k))
+    missed = [p for p, share in sure.items() if p not in got]
+    assert len(sure) >= 25 and not ruled_out & set(got)
+    # Stretches start at every eighth of a passage, so a leak right at its limit may be seen a word short.
+    assert all(sure[p] < decontamination.SAME + 2 / len(own[p[1]]) for p in missed) and len(missed) <= 1
+
+
 def test_decontamination_in_chunks(monkeypatch):
     r, pool = random.Random(18), words(2000, 18)
     items = [(k, " ".join(r.choices(pool, k=r.randint(9, 64)))) for k in range(40)]
@@ -590,6 +634,19 @@ def test_quality_threshold_ignores_rows_that_base_rules_reject(spark):
     assert not any(got[i]["base_failed"] or got[i]["kept"] for i in range(304, 310))
 
 
+def test_quality_threshold_matches_a_plain_version(spark):
+    r = np.random.default_rng(26)
+    score = np.round(r.beta(4, 5, 800), 4)
+    label = (r.random(800) < np.where(score > 0.7, 0.1, 0.9)).astype(int)
+    scores = spark.createDataFrame([(i, float(x)) for i, x in enumerate(score)] + [(900, 0.99), (None, 0.5)], "doc_id long, anomaly double")
+    labels = spark.createDataFrame([(i, int(x)) for i, x in enumerate(label)] + [(901, 1), (900, None)], "doc_id long, quality int")
+    for loss in (0.0, 0.01, 0.05, 0.3):
+        got = quality.calibrated(scores, labels, loss)
+        good, bad = score[label == 1], score[label == 0]
+        want = next(k / 1000 for k in range(1001) if (good >= k / 1000).mean() <= loss)
+        assert got == (want if (bad >= want).mean() > (good >= want).mean() else math.inf)
+
+
 def test_forest_isolates():
     r = np.random.default_rng(13)
     rows = np.vstack([r.standard_normal((500, 5)), np.full((3, 5), 9.0)])
