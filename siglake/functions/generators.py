@@ -95,7 +95,9 @@ def poisson_process(spark: SparkSession, channels: int, rate: float, duration: f
 
 def convolved(impulses: DataFrame, kernel: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
     """keys, i, x: the kernel (k, v) laid at every impulse (keys, i, a), overlaps summed; n cuts to the signal's length."""
-    out = impulses.crossJoin(F.broadcast(kernel)).select(*keys, (F.col("i") + F.col("k")).alias("i"), (F.col("a") * F.col("v")).alias("x")).groupBy(*keys, "i").agg(F.sum("x").alias("x"))
+    ends = kernel.agg(F.coalesce(F.min("k"), F.lit(0)).alias("a"), F.coalesce(F.max("k"), F.lit(0)).alias("b")).first()
+    laid = impulses.withColumn("k", F.explode(F.sequence(F.lit(ends["a"]), F.lit(ends["b"])))).join(kernel, "k")
+    out = laid.select(*keys, (F.col("i") + F.col("k")).alias("i"), (F.col("a") * F.col("v")).alias("x")).groupBy(*keys, "i").agg(F.sum("x").alias("x"))
     return out if n is None else out.where((F.col("i") >= 0) & (F.col("i") < n))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,10 +52,18 @@ def scaling(ep: DataFrame, tmpl: DataFrame, keys: list[str], event: str = "event
     return both.groupBy(*keys, event).agg(F.when(energy < TINY, F.lit(0.0)).otherwise(F.sum(F.col("x") * F.col("template")) / F.nullif(energy, F.lit(0.0))).alias("scale"))
 
 
+def laid(events: DataFrame, tmpl: DataFrame, keys: list[str]) -> DataFrame:
+    """Each event once for each sample k of its keys' template; without keys, of the one template, met sample by sample."""
+    if keys:
+        return events.join(tmpl, keys)
+    ends = tmpl.agg(F.coalesce(F.min("k"), F.lit(0)).alias("a"), F.coalesce(F.max("k"), F.lit(0)).alias("b")).first()
+    return events.withColumn("k", F.explode(F.sequence(F.lit(ends["a"]), F.lit(ends["b"])))).join(tmpl, "k")
+
+
 def placed(events: DataFrame, tmpl: DataFrame, keys: list[str], start: str, scale: str | None = None) -> DataFrame:
     """keys, i, add: templates (keys, k from 0, template) laid down at each event's start, overlaps summed."""
     factor = F.col(scale) if scale else F.lit(1.0)
-    out = events.join(tmpl, keys) if keys else events.crossJoin(F.broadcast(tmpl))
+    out = laid(events, tmpl, keys)
     return out.select(*keys, (F.col(start) + F.col("k")).cast("long").alias("i"), (factor * F.col("template")).alias("__v")).groupBy(*keys, "i").agg(F.sum("__v").alias("add"))
 
 
@@ -76,21 +87,31 @@ def lagged_design(samples: DataFrame, keys: list[str], lags: list[int], value: s
 
 def event_design(events: DataFrame, tmpl: DataFrame, keys: list[str], start: str, n_time: int, event: str = "event_id") -> DataFrame:
     """keys, i, event, value: a sparse design with a column for each event, the template cut at the ends."""
-    out = events.join(tmpl, keys) if keys else events.crossJoin(F.broadcast(tmpl))
+    out = laid(events, tmpl, keys)
     return out.select(*keys, (F.col(start) + F.col("k")).cast("long").alias("i"), event, F.col("template").alias("value")).where((F.col("i") >= 0) & (F.col("i") < n_time))
 
 
-def ols_fit(df: DataFrame, x: list[str], y: str, keys: list[str] | None = None) -> dict[tuple, np.ndarray]:
-    """key -> least-squares coefficients of minimum norm, from the gram sums of each key (one row of them each)."""
+def ols_coefficients(df: DataFrame, x: list[str], y: str, keys: list[str]) -> DataFrame:
+    """keys, beta: least-squares coefficients of minimum norm of each key, solved where its one row of gram sums is."""
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
     pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-    sums = [F.sum(F.col(x[i]) * F.col(x[j])).alias(f"g{i}_{j}") for i, j in pairs] + [F.sum(F.col(a) * F.col(y)).alias(f"y{i}") for i, a in enumerate(x)]
-    out = {}
-    for r in df.groupBy(*(keys or [])).agg(*sums).collect():
-        g = np.zeros((len(x), len(x)))
-        for i, j in pairs:
-            g[i, j] = g[j, i] = r[f"g{i}_{j}"]
-        out[tuple(r[k] for k in keys or [])] = np.linalg.lstsq(g, np.array([r[f"y{i}"] for i in range(len(x))]), rcond=None)[0]
-    return out
+    sums = [F.sum(F.col(x[i]) * F.col(x[j])).alias(f"__g{i}_{j}") for i, j in pairs] + [F.sum(F.col(a) * F.col(y)).alias(f"__y{i}") for i, a in enumerate(x)]
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            g = np.zeros((len(p), len(x), len(x)))
+            for i, j in pairs:
+                g[:, i, j] = g[:, j, i] = p[f"__g{i}_{j}"].astype(float)
+            of = p[[f"__y{i}" for i in range(len(x))]].to_numpy(dtype=float)
+            yield p[keys].assign(beta=[np.linalg.lstsq(a, b, rcond=None)[0] for a, b in zip(g, of, strict=True)])
+
+    schema = ", ".join([*(f"{k} {kind[k]}" for k in keys), "beta array<double>"])
+    return df.groupBy(*keys).agg(*sums).mapInPandas(solve, schema)
+
+
+def ols_fit(df: DataFrame, x: list[str], y: str) -> np.ndarray:
+    """Coefficients over all rows."""
+    return np.array(ols_coefficients(df, x, y, []).first()["beta"])
 
 
 def ols_predict(df: DataFrame, x: list[str], beta: np.ndarray, out: str = "fit") -> DataFrame:

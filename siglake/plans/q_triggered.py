@@ -118,7 +118,7 @@ OLS = "o AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept
 
 def _beta(spark, sf_dir):
     li = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit(1.0).alias("one"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"))
-    return li, triggered.ols_fit(li, ["one", "q"], "p")[()]
+    return li, triggered.ols_fit(li, ["one", "q"], "p")
 
 
 @query(f"{OLS} SELECT round(a, 4) AS intercept, round(b, 4) AS slope FROM o")
@@ -158,3 +158,12 @@ def lagged_products(spark, sf_dir):
     own = z.select("user_id", "i", "z", *[F.lead("z", k).over(w).alias(f"z{k}") for k in range(5)])
     got = own.groupBy("user_id").agg(*[F.sum(F.col("z") * F.col(f"z{k}")).alias(str(k)) for k in range(5)])
     return got.unpivot("user_id", [str(k) for k in range(5)], "k", "c").select("user_id", F.col("k").cast("long").alias("k"), F.round("c", 3).alias("c"))
+
+
+@query(
+    """o AS (SELECT l_suppkey % 50 AS g, 1 AS one, l_quantity::DOUBLE AS q, l_extendedprice::DOUBLE AS p FROM lineitem)
+  SELECT g, round(regr_intercept(p, q), 3) AS b0, round(regr_slope(p, q), 4) AS b1 FROM o GROUP BY g"""
+)
+def ols_fit_by_key(spark, sf_dir):
+    li = views.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("g"), F.lit(1.0).alias("one"), F.col("l_quantity").cast("double").alias("q"), F.col("l_extendedprice").cast("double").alias("p"))
+    return triggered.ols_coefficients(li, ["one", "q"], "p", ["g"]).select("g", F.round(F.col("beta")[0], 3).alias("b0"), F.round(F.col("beta")[1], 4).alias("b1"))

@@ -178,7 +178,7 @@ def test_ols(spark):
     r = np.random.default_rng(2)
     a = r.standard_normal((50, 2))
     df = spark.createDataFrame([(1.0, *map(float, v), float(3 + v @ [2, -1])) for v in a], "one double, a double, b double, y double")
-    beta = triggered.ols_fit(df, ["one", "a", "b"], "y")[()]
+    beta = triggered.ols_fit(df, ["one", "a", "b"], "y")
     assert np.allclose(beta, [3, 2, -1])
     assert triggered.ols_residual(df, ["one", "a", "b"], "y", beta).agg(F.max(F.abs("residual"))).first()[0] < 1e-9
 
