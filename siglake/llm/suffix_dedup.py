@@ -240,12 +240,10 @@ def repeated_windows(rims: list[bytes], many: list[bool], length: int = LENGTH)
     for lo, hi, m in zip(starts, ends, many, strict=True):
         window[lo:hi] = True
         twice[lo:hi] = m
-    order = suffix_array(text.astype(np.int64), 257)
-    order = order[window[order]]
-    raw = text.astype(np.uint8) - np.uint8(1)  # a parting 0 becomes 255, but no window has one
-    hashes = Hashes(raw.tobytes())
-    own = hashes.of(order, order + length)
-    same = own[1:] == own[:-1]  # neighbours in suffix order with a common prefix of a whole window
+    order, prefix = suffix_array(text, 257, length)
+    at = np.flatnonzero(window[order])
+    order = order[at]
+    same = np.minimum.reduceat(prefix[: at[-1] + 1], at[:-1] + 1) >= length if len(at) > 1 else np.zeros(0, dtype=bool)
     found = twice.copy()
     found[order[1:][same]] = True
     found[order[:-1][same]] = True

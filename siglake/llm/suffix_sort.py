@@ -1,12 +1,19 @@
-"""External induced sorting of a shard's suffixes.
+"""External induced sorting of a shard's suffixes, with the common prefixes of neighbours.
 
 Suffixes are of type S or L, as they are smaller or larger than the next one. The leftmost S suffixes (LMS) are sorted
 first: their substrings are sorted by one induction and named, and where names repeat, the reduced string of names is
-sorted in turn. Two more inductions then place all suffixes. An induction runs over a monotone priority queue keyed by
-first character: taking a bucket's suffixes in order and putting each one's predecessor into the queue keeps every bucket
-in order, and as predecessors only go to the same bucket or later ones, a whole bucket is taken at a time as an array. A queue
-of more than `IN_MEMORY` entries spills its buckets to a file, so a shard may be far larger than memory; common-prefix
-values, capped at the length that matters, follow from the sorted order by hash comparison.
+sorted in turn, by recursion while there are up to `LETTERS` names and by prefix doubling beyond. Another induction then
+places all suffixes. An induction runs over a monotone priority queue keyed by first character: taking a bucket's suffixes
+in order and putting each one's predecessor into the queue keeps every bucket in order, and as predecessors only go to the
+same bucket or later ones, a whole bucket is taken at a time as an array.
+
+The queue carries tuples of a suffix and its common prefix with the one put into the bucket before it. The common prefix of
+two suffixes that are put one after the other is one more than that of those that they precede, which is the least of the
+values between these two in the order; values are capped at the length that matters. Sorted LMS suffixes get theirs from
+hashes, L and S suffixes that meet in a bucket from the runs of their first character.
+
+A queue of more than `IN_MEMORY` entries spills its buckets to a file. The string, its types and the order that comes out
+stay in memory, some 30 bytes a character.
 """
 
 from __future__ import annotations
@@ -15,11 +22,14 @@ import tempfile
 
 import numpy as np
 
-IN_MEMORY = 8_000_000
+IN_MEMORY, LETTERS = 8_000_000, 4096
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
 
+ENTRY = np.dtype([("at", np.int32), ("lcp", np.int32)])
+
+
 class BucketQueue:
     """Entries by bucket, first in first out within one; beyond `most` entries buckets are appended to a file."""
 
@@ -53,7 +63,7 @@ class BucketQueue:
                     x.tofile(self.file)
         self.held = 0
 
-    def take(self, bucket: int) -> list[np.ndarray]:
+    def take(self, bucket: int) -> np.ndarray:
         """All entries of a bucket, in the order in which they came."""
         own, self.parts[bucket], out = self.parts[bucket], [], []
         for x in own:
@@ -64,7 +74,7 @@ class BucketQueue:
                 self.file.seek(at)
                 x = np.fromfile(self.file, dtype=kind, count=n)
             out.append(x)
-        return out
+        return np.concatenate(out) if len(out) > 1 else out[0] if out else np.empty(0, dtype=ENTRY)
 
     def close(self) -> None:
         if self.file:
@@ -78,67 +88,119 @@ def _types(s: np.ndarray) -> np.ndarray:
     return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
-def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, letters: int) -> np.ndarray:
-    """All suffixes in order, from the LMS ones in order (or in any order: then LMS substrings come out sorted)."""
-    n = len(s)
-    seeds, larges = BucketQueue(letters), BucketQueue(letters)
-    seeds.put_all(s[lms], lms)
-    sorted_large, queue = BucketQueue(letters), larges
-    last = np.array([n - 1], dtype=lms.dtype)
-    queue.put(int(s[n - 1]), last)  # induced by the end itself
+class _Between:
+    """For each bucket the least common prefix met since an entry was put into it."""
+
+    def __init__(self, letters: int, most: int):
+        self.least, self.most = np.zeros(letters, dtype=np.int32), np.int32(most)
+
+    def put(self, queue: BucketQueue, to: np.ndarray, entries: np.ndarray, source: np.ndarray, lcp: np.ndarray) -> None:
+        """Puts entries whose sources are at `source` among suffixes that follow each other with common prefixes lcp."""
+        if len(entries):
+            order = np.argsort(to, kind="stable")
+            to, entries, source = to[order], entries[order], source[order]
+            first = np.append(True, to[1:] != to[:-1])
+            table = [lcp]  # least of 1, 2, 4 ... values from each place on
+            while (step := 1 << len(table) - 1) < len(lcp):
+                table.append(np.minimum(table[-1], np.append(table[-1][step:], np.full(min(step, len(lcp)), self.most, dtype=np.int32))))
+            table = np.stack(table)
+            lo = np.where(first, 0, np.append(0, source[:-1]) + 1)
+            level = np.frexp(source - lo + 1)[1] - 1
+            least = np.minimum(table[level, lo], table[level, source + 1 - (1 << level)])
+            least[first] = np.minimum(least[first], self.least[to[first]])
+            made = np.empty(len(entries), dtype=ENTRY)
+            made["at"], made["lcp"] = entries, np.minimum(least + 1, self.most)
+            queue.put_all(to, made)
+        if len(lcp):
+            np.minimum(self.least, lcp.min(), out=self.least)
+        if len(entries):
+            last = np.append(first[1:], True)
+            after = np.append(np.minimum.accumulate(lcp[::-1])[::-1], self.most)
+            self.least[to[last]] = after[source[last] + 1]
+
+
+def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, letters: int, lcp: np.ndarray | None = None, most: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in order with their common prefixes, from the LMS ones in order with theirs.
+
+    Without lcp the LMS suffixes may be in any order: then LMS substrings come out sorted, and no common prefixes.
+    """
+    n, carried = len(s), lcp is not None
+    seeds, queue, larges, smalls = (BucketQueue(letters) for _ in range(4))
+    entries = np.zeros(len(lms), dtype=ENTRY)
+    entries["at"] = lms
+    if carried:
+        entries["lcp"] = lcp
+        ends = np.flatnonzero(np.append(s[1:] != s[:-1], True)).astype(np.int32)  # of runs of a character
+
+        def run(at: int) -> int:
+            """How often the character follows itself, from this place."""
+            return int(ends[np.searchsorted(ends, at)]) + 1 - at
+
+    seeds.put_all(s[lms], entries)
+    queue.put(int(s[n - 1]), np.array([(n - 1, 0)], dtype=ENTRY))  # induced by the end itself
+
+    def passed(target: BucketQueue, between: _Between, x: np.ndarray, own: np.ndarray, to_small: bool) -> None:
+        """Puts the predecessors of one type."""
+        source = np.flatnonzero(x > 0)
+        before = x[source] - 1
+        kept = small[before] == to_small
+        source, before = source[kept], before[kept]
+        if carried:
+            between.put(target, s[before], before, source, own)
+        else:
+            made = np.zeros(len(before), dtype=ENTRY)
+            made["at"] = before
+            target.put_all(s[before], made)
+
+    between = _Between(letters, most)
     for c in range(letters):
-        todo = queue.take(c)
-        own: list[np.ndarray] = []
-        while todo:
-            x = todo.pop(0)
-            own.append(x)
-            before = x[x > 0] - 1
-            before = before[~small[before]]
-            to = s[before]
-            if len(same := before[to == c]):
-                todo.append(same)
-            if len(more := before[to != c]):
-                queue.put_all(to[to != c], more)
-        for x in own:
-            sorted_large.put(c, x)
-        for x in seeds.take(c):
-            before = x[x > 0] - 1
-            before = before[~small[before]]
-            if len(before):
-                queue.put_all(s[before], before)
-    smalls, out = BucketQueue(letters), [np.empty(0, dtype=lms.dtype)]
+        last = -1
+        while len(x := queue.take(c)):  # rounds: what a round puts into its own bucket is the next one
+            own = x["lcp"].copy()
+            if last < 0:
+                own[0] = x["lcp"][0] = 0
+            larges.put(c, x)
+            last = int(x["at"][-1])
+            passed(queue, between, x["at"], own, False)
+        if len(x := seeds.take(c)):
+            own = x["lcp"]
+            own[0] = min(run(last), run(int(x["at"][0])), most) if carried and last >= 0 else 0
+            passed(queue, between, x["at"], own, False)
+    between, parts = _Between(letters, most), []
     for c in range(letters - 1, -1, -1):
-        todo, own = smalls.take(c), []
-        large = sorted_large.take(c)
-        while todo:
-            x = todo.pop(0)
-            own.append(x)
-            before = x[x > 0] - 1
-            before = before[small[before]]
-            to = s[before]
-            if len(same := before[to == c]):
-                todo.append(same)
-            if len(more := before[to != c]):
-                smalls.put_all(to[to != c], more)
-        for x in reversed(large):
-            before = x[::-1]
-            before = before[before > 0] - 1
-            before = before[small[before]]
-            if len(before):
-                smalls.put_all(s[before], before)
-        out += own  # descending
-        out += [x[::-1] for x in reversed(large)]
-    for q in (seeds, larges, sorted_large, smalls):
+        last, descending = -1, []
+        while len(x := smalls.take(c)):
+            own = x["lcp"].copy()
+            if last < 0:
+                own[0] = 0
+            descending.append(x)
+            last = int(x["at"][-1])
+            passed(smalls, between, x["at"], own, True)
+        large = larges.take(c)
+        meet = min(run(last), run(int(large["at"][-1])), most) if carried and last >= 0 and len(large) else 0
+        if len(large):
+            passed(smalls, between, large["at"][::-1], np.append(np.int32(meet), large["lcp"][:0:-1]), True)
+        if descending:
+            x = np.concatenate(descending)
+            up = np.empty(len(x), dtype=ENTRY)
+            up["at"], up["lcp"] = x["at"][::-1], np.append(np.int32(meet), x["lcp"][:0:-1])
+            parts.append(up)
+        parts.append(large)
+    for q in (seeds, queue, larges, smalls):
         q.close()
-    return np.concatenate(out)[::-1]
+    out = np.concatenate(parts[::-1]) if parts else np.empty(0, dtype=ENTRY)
+    return out["at"], out["lcp"]
 
 
 def prefix_hashes(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums and inverse powers from which `window_hash` gets the hash of any stretch."""
-    powers = np.cumprod(np.full(len(s), _ODD, dtype=np.uint64))
     sums = np.zeros(len(s) + 1, dtype=np.uint64)
-    x = (s.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    np.cumsum((x ^ (x >> np.uint64(32))) * powers, out=sums[1:])
+    x = s.astype(np.uint64)
+    x += np.uint64(1)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.cumprod(np.full(len(s), _ODD, dtype=np.uint64))
+    np.cumsum(x, out=sums[1:])
     return sums, np.cumprod(np.full(len(s), _INVERSE, dtype=np.uint64))
 
 
@@ -168,23 +230,24 @@ def _doubling(names: np.ndarray) -> np.ndarray:
             return order
 
 
-def suffix_array(s: np.ndarray, letters: int | None = None) -> np.ndarray:
-    """Start of each suffix of a non-negative integer string, in order."""
+def suffix_array(s: np.ndarray, letters: int | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Start of each suffix of a non-negative integer string, in order; with most, common prefixes with the one before it, up to that."""
     n = len(s)
     if n < 2:
-        return np.arange(n)
+        return np.arange(n), None if most is None else np.zeros(n, dtype=np.int64)
     letters = int(s.max()) + 1 if letters is None else letters
-    if letters > 4096:
-        return _doubling(s)
+    if letters > LETTERS:
+        order = _doubling(s)
+        return order, None if most is None else common_prefix(s, order, most)
     s = s.astype(np.uint16)  # which numpy sorts by radix
     small = _types(s)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if len(lms) > 1:
-        order = _induce(s, small, lms, letters)
+        order = _induce(s, small, lms, letters)[0]
         is_lms = np.zeros(n, dtype=bool)
         is_lms[lms] = True
         order = order[is_lms[order]]
-        length = np.empty(n, dtype=np.int64)
+        length = np.zeros(n, dtype=np.int32)
         length[lms] = np.minimum(np.append(lms[1:], n - 1) + 1, n) - lms
         whole = window_hash(prefix_hashes(s), order, length[order])
         new = np.ones(len(order), dtype=np.int64)
@@ -192,22 +255,25 @@ def suffix_array(s: np.ndarray, letters: int | None = None) -> np.ndarray:
         new[1:] = (whole[1:] != whole[:-1]) | (length[order][1:] != length[order][:-1]) | (order[1:] == lms[-1]) | (order[:-1] == lms[-1])
         names = np.cumsum(new)
         if names[-1] + 1 < len(lms):
-            name = np.empty(n, dtype=np.int64)
+            name = np.zeros(n, dtype=np.int32)
             name[order] = names
-            order = lms[suffix_array(name[lms], int(names[-1]) + 1)]
+            order = lms[suffix_array(name[lms], int(names[-1]) + 1)[0]]
     else:
         order = lms
-    return _induce(s, small, order, letters)
+    if most is None:
+        return _induce(s, small, order, letters)[0], None
+    return _induce(s, small, order, letters, common_prefix(s, order, most), most)
 
 
 def common_prefix(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Common-prefix value of each suffix in order with the one before it, at most `most`; the first has 0."""
+    """Common-prefix value of each of some suffixes with the one before it, at most `most`, by hashes; the first has 0."""
     hashes, n = prefix_hashes(s), len(s)
     a, b = order[:-1], order[1:]
     low, high = np.zeros(len(b), dtype=np.int64), np.minimum(most, n - np.maximum(a, b))
-    while (open_ := low < high).any():
-        middle = np.where(open_, (low + high + 1) // 2, low)
-        same = window_hash(hashes, a, middle) == window_hash(hashes, b, middle)
-        low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
-        high = np.maximum(high, low)
-    return np.concatenate([[0], low])
+    at = np.arange(len(b))  # those that are still open
+    while len(at):
+        middle = (low[at] + high[at] + 1) // 2
+        same = window_hash(hashes, a[at], middle) == window_hash(hashes, b[at], middle)
+        low[at], high[at] = np.where(same, middle, low[at]), np.where(same, high[at], middle - 1)
+        at = at[low[at] < high[at]]
+    return np.concatenate([np.zeros(min(1, len(order)), dtype=np.int64), low])

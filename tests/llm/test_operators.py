@@ -419,13 +419,35 @@ def test_suffix_array_and_prefixes(monkeypatch):
         for k in range(120):
             s = np.tile(r.integers(0, 3, 4), 12) if k % 6 == 0 else r.integers(0, int(r.integers(1, 6)), int(r.integers(1, 70)))
             own = s.tolist()
-            order = suffix_sort.suffix_array(s).tolist()
-            assert order == sorted(range(len(own)), key=lambda i: own[i:])
-            prefix = suffix_sort.common_prefix(s, np.array(order), 7).tolist()
+            order, prefix = (x.tolist() for x in suffix_sort.suffix_array(s, most=7))
+            assert order == sorted(range(len(own)), key=lambda i: own[i:]) == suffix_sort.suffix_array(s)[0].tolist()
+            assert prefix == suffix_sort.common_prefix(s, np.array(order), 7).tolist() and prefix[0] == 0
             for a, b, n in zip(order, order[1:], prefix[1:], strict=False):
                 assert n == next((i for i in range(7) if own[a + i : a + i + 1] != own[b + i : b + i + 1] or not own[b + i : b + i + 1]), 7)
 
 
+def test_suffix_shards_that_spill(monkeypatch):
+    r = random.Random(27)
+    base = "".join(r.choices("abcde ", k=5000))
+    rims = []
+    for _ in range(150):
+        i = r.randrange(4700)
+        own = bytearray(base[i : i + r.randrange(200, 300)].encode())
+        own[r.randrange(len(own))] = r.choice(b"ab#")
+        rims.append(bytes(own))
+    many = [r.random() < 0.1 for _ in rims]
+    count = Counter(x[i : i + 200] for x, m in zip(rims, many, strict=True) for i in range(len(x) - 199) for _ in range(1 + m))
+    want = [[count[x[i : i + 200]] > 1 for i in range(len(x) - 199)] for x in rims]
+    spills = []
+    spill = suffix_sort.BucketQueue._spill
+    monkeypatch.setattr(suffix_sort.BucketQueue, "_spill", lambda self: (spills.append(self.held), spill(self)))
+    for most in (8_000_000, 500):
+        monkeypatch.setattr(suffix_sort, "IN_MEMORY", most)
+        assert [x.tolist() for x in suffix_dedup.repeated_windows(rims, many)] == want
+        assert bool(spills) == (most == 500)
+    assert any(map(any, want)) and not all(map(all, want))
+
+
 @pytest.mark.parametrize(("group", "chunk"), [(1000, 1 << 20), (2, 150)])
 def test_suffix_dedup(spark, monkeypatch, group, chunk):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
