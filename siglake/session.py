@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,3 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siglake-checkpoint-"))
     return named or context.getCheckpointDir()
+
+
+_files: list[str] = []
+
+
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which `drop_files` deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _files.append(path)
+    return path
+
+
+def drop_files(spark: SparkSession) -> int:
+    """Deletes what was written to paths of `own_path` in this process; how many there were."""
+    n = len(_files)
+    while _files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_files.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

@@ -1,7 +1,8 @@
 """Flat binary recordings: frames of n_channels samples one after the other, read and written in parallel.
 
 `spark.read.format("flat_binary")` after `register(spark)`; options: path, channels, dtype (int16), fs, task_samples, and for
-grids rows and cols. A task reads its own range of frames, through pyarrow's file systems where the path is a URI.
+grids rows and cols. The path is a file, or a folder whose files part-* follow each other by name, as `write` leaves them.
+A task reads its own range of frames, through pyarrow's file systems where the path is a URI.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ SCHEMA = "i long, t double, ch int, ap int, ml int, x double"
 TASK_SAMPLES, BATCH_SAMPLES = 8_000_000, 500_000
 
 
-def _opened(path: str):
+def opened(path: str):
+    """The file system of a path or URI, and the path within it."""
     from pyarrow import fs
 
     if "://" in path or path.startswith("file:"):
@@ -31,8 +33,10 @@ def _opened(path: str):
 
 
 class Frames(InputPartition):
-    def __init__(self, start: int, stop: int) -> None:
-        self.start, self.stop = start, stop
+    """Frames start to stop of a file, whose first is the recording's frame `before`."""
+
+    def __init__(self, path: str, start: int, stop: int, before: int) -> None:
+        self.path, self.start, self.stop, self.before = path, start, stop, before
 
 
 class FlatBinaryReader(DataSourceReader):
@@ -45,22 +49,31 @@ class FlatBinaryReader(DataSourceReader):
             raise ValueError("a flat binary needs the number of channels, or rows and cols")
 
     def partitions(self) -> list[InputPartition]:
-        store, inner = _opened(self.path)
-        size, frame = store.get_file_info(inner).size, self.channels * self.dtype.itemsize
-        if size % frame:
-            raise ValueError(f"{self.path} has {size} bytes, which are no whole frames of {frame}")
-        n, step = size // frame, max(1, self.task_samples // self.channels)
-        return [Frames(a, min(n, a + step)) for a in range(0, n, step)] or [Frames(0, 0)]
+        from pyarrow import fs
+
+        store, inner = opened(self.path)
+        info, frame = store.get_file_info(inner), self.channels * self.dtype.itemsize
+        files = [info]
+        if info.type == fs.FileType.Directory:
+            files = sorted((f for f in store.get_file_info(fs.FileSelector(inner)) if f.is_file and f.base_name.startswith("part-")), key=lambda f: f.base_name)
+        out, before, step = [], 0, max(1, self.task_samples // self.channels)
+        for f in files:
+            if f.type == fs.FileType.NotFound or f.size % frame:
+                raise ValueError(f"{f.path} has {f.size} bytes, which are no whole frames of {frame}")
+            n = f.size // frame
+            out += [Frames(f.path, a, min(n, a + step), before) for a in range(0, n, step)]
+            before += n
+        return out or [Frames(inner, 0, 0, 0)]
 
     def read(self, partition: Frames) -> Iterator[pa.RecordBatch]:
-        store, inner = _opened(self.path)
+        store, _ = opened(self.path)
         step = max(1, BATCH_SAMPLES // self.channels)
-        with store.open_input_file(inner) as f:
+        with store.open_input_file(partition.path) as f:
             for a in range(partition.start, partition.stop, step):
                 n = min(step, partition.stop - a)
                 f.seek(a * self.channels * self.dtype.itemsize)
                 x = np.frombuffer(f.read(n * self.channels * self.dtype.itemsize), dtype=self.dtype).astype(float)
-                i, ch = np.repeat(np.arange(a, a + n), self.channels), np.tile(np.arange(self.channels, dtype=np.int32), n)
+                i, ch = np.repeat(np.arange(a, a + n) + partition.before, self.channels), np.tile(np.arange(self.channels, dtype=np.int32), n)
                 grid = self.rows * self.cols > 0
                 ap, ml = ((ch % self.rows).astype(np.int32), (ch // self.rows).astype(np.int32)) if grid else (None, None)
                 none = pa.nulls(len(i), pa.int32())
@@ -96,7 +109,7 @@ def write(samples: DataFrame, folder: str, channels: int, dtype: str = "int16",
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        store, inner = _opened(folder)
+        store, inner = opened(folder)
         store.create_dir(inner, recursive=True)
         name, n = f"part-{TaskContext.get().partitionId():05d}.dat", 0
         with store.open_output_stream(f"{inner}/{name}") as out:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import xml.etree.ElementTree as ET
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siglake.sources.binary import opened
+
 # Fixed values of the sidecar format: the keys that count channels by type.
 COUNT_KEYS = ("ECOGChannelCount", "SEEGChannelCount", "EEGChannelCount", "EOGChannelCount", "ECGChannelCount", "EMGChannelCount", "MiscChannelCount", "TriggerChannelCount")
 
@@ -22,7 +23,9 @@ def read_json_metadata(spark: SparkSession, path: str, required: tuple[str, ...]
 
 
 def write_json_metadata(path: str, meta: dict) -> None:
-    Path(path).write_text(json.dumps(meta, indent=2) + "\n")
+    store, inner = opened(path)
+    with store.open_output_stream(inner) as out:
+        out.write((json.dumps(meta, indent=2) + "\n").encode())
 
 
 def with_sampling_frequency(meta: dict, fs: float, extra: dict | None = None) -> dict:
@@ -46,6 +49,14 @@ def sidecar_paths(recording: str, datatypes: tuple[str, ...] = ("ieeg", "lfp", "
     return {"json": f"{stem}.json", "channels": f"{base}_channels.tsv", "electrodes": f"{base}_electrodes.tsv", "xml": f"{stem}.xml"}
 
 
+def sidecar_columns(recording: Column, datatypes: tuple[str, ...] = ("ieeg", "lfp", "ecephys")) -> list[Column]:
+    """The same paths, for a column of recordings."""
+    stem = F.regexp_replace(recording, r"\.[^.]*$", "")
+    base = F.regexp_replace(stem, f"_({'|'.join(datatypes)})$", "")
+    named = {"json": (stem, ".json"), "channels": (base, "_channels.tsv"), "electrodes": (base, "_electrodes.tsv"), "xml": (stem, ".xml")}
+    return [F.concat(c, F.lit(end)).alias(kind) for kind, (c, end) in named.items()]
+
+
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, nullValue="n/a")
 
