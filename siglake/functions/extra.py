@@ -18,9 +18,14 @@ def butter_order(pass_: tuple[float, float], stop: tuple[float, float], fs: floa
     return max(1, math.ceil(math.log10((10 ** (rs / 10) - 1) / (10 ** (rp / 10) - 1)) / (2 * math.log10(max(own, 1.0001)))))
 
 
-def shoulder_bandpass(x: np.ndarray, fs: float, low: float, high: float, shoulder: float = 25.0, rp: float = 1.0, rs: float = 40.0) -> np.ndarray:
+def shoulder_sos(fs: float, low: float, high: float, shoulder: float = 25.0, rp: float = 1.0, rs: float = 40.0) -> np.ndarray:
+    """Sections of the band-pass whose order its shoulders ask for, 12 at most."""
     order = min(butter_order((low, high), (max(low - shoulder, 0.01), min(high + shoulder, fs / 2 - 0.01)), fs, rp, rs), 12)
-    return dsp.sosfiltfilt(dsp.butter(order, (low, high), "band", fs), x)
+    return dsp.butter(order, (low, high), "band", fs)
+
+
+def shoulder_bandpass(x: np.ndarray, fs: float, low: float, high: float, shoulder: float = 25.0, rp: float = 1.0, rs: float = 40.0) -> np.ndarray:
+    return dsp.sosfiltfilt(shoulder_sos(fs, low, high, shoulder, rp, rs), x)
 
 
 def triangles(points: np.ndarray) -> list[tuple[int, int, int]]:

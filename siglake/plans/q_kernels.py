@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siglake.functions import complexity, dsp, granger
 from siglake.operators import kernels, pipeline, spectral
+from siglake.plans import sqltext as st
 from siglake.plans.registry import query
 from siglake.sources import views
 
@@ -42,11 +43,19 @@ _transform(
     lambda x: dsp.detrend(x, "linear"),
     "r AS (SELECT vec_id, regr_slope(x, i) AS s, regr_intercept(x, i) AS c FROM sig_64 GROUP BY vec_id) SELECT vec_id, i, round(x - s * i - c, 6) AS y FROM sig_64 JOIN r USING (vec_id)",
 )
-_transform("bandpass", lambda x: dsp.bandpass(x, FS, 8, 30))
-_transform("lowpass", lambda x: dsp.lowpass(x, FS, 20))
-_transform("highpass", lambda x: dsp.highpass(x, FS, 5))
-_transform("notch", lambda x: dsp.notches(x, FS, [25.0]))
-_transform("notches", lambda x: dsp.notches(x, FS, [10.0, 20.0]))
+
+
+def _filter(name: str, kernel, *sos: np.ndarray) -> None:
+    steps = ["ls"] + [f"f{k}" for k in range(len(sos))]
+    ctes = ", ".join([st.listed()] + [st.filtered(out, source, own, 64) for own, source, out in zip(sos, steps, steps[1:], strict=False)])
+    _transform(name, kernel, f"RECURSIVE {ctes}, y AS (SELECT vec_id, unnest(range(64)) AS i, unnest(x) AS y FROM {steps[-1]}) SELECT vec_id, i, round(y, 6) AS y FROM y")
+
+
+_filter("bandpass", lambda x: dsp.bandpass(x, FS, 8, 30), dsp.butter(4, (8, 30), "band", FS))
+_filter("lowpass", lambda x: dsp.lowpass(x, FS, 20), dsp.butter(4, 20, "low", FS))
+_filter("highpass", lambda x: dsp.highpass(x, FS, 5), dsp.butter(4, 5, "high", FS))
+_filter("notch", lambda x: dsp.notches(x, FS, [25.0]), dsp.notch_sos(FS, 25.0))
+_filter("notches", lambda x: dsp.notches(x, FS, [10.0, 20.0]), dsp.notch_sos(FS, 10.0), dsp.notch_sos(FS, 20.0))
 UNWRAPPED = """w AS (SELECT vec_id, i, p, p - lag(p) OVER (PARTITION BY vec_id ORDER BY i) AS d FROM ph)
   SELECT vec_id, i, round(first_value(p) OVER s + coalesce(sum(d - 2 * pi() * floor((d + pi()) / (2 * pi()))) OVER s, 0), 5) AS y FROM w WINDOW s AS (PARTITION BY vec_id ORDER BY i)"""
 _transform("generalized_phase", dsp.generalized_phase, f"{ANALYTIC.replace('FROM ft,', 'FROM (FROM ft WHERE k > 0),')}, ph AS (SELECT vec_id, i, atan2(b, a) AS p FROM an), {UNWRAPPED}", 5)
@@ -54,7 +63,7 @@ _transform("unwrapped_phase", dsp.unwrapped_phase, f"{ANALYTIC}, ph AS (SELECT v
 _transform("scx_lowerenv", lambda x: x - dsp.lower_envelope(x), f"{ANALYTIC} SELECT vec_id, i, round(x + sqrt(a * a + b * b), 6) AS y FROM an JOIN sig_64 USING (vec_id, i)")
 
 
-def _resampled(name: str, kernel) -> None:
+def _resampled(name: str, kernel, sql: str) -> None:
     def run(spark, sf_dir):
         def frame(x: np.ndarray) -> pd.DataFrame:
             y = kernel(x)
@@ -62,11 +71,24 @@ def _resampled(name: str, kernel) -> None:
 
         return kernels.expanded(_series(spark, sf_dir), K, frame, "i int, y double")
 
-    query(None, name)(run)
+    query(sql, name)(run)
+
 
+_resampled(
+    "decimate",
+    lambda x: dsp.decimate(x, 2),
+    f"RECURSIVE {st.listed()}, {st.filtered('f', 'ls', dsp.decimation_sos(2), 64)}, {st.samples('f', 'y')} SELECT vec_id, (i // 2)::INT AS i, round(x, 6) AS y FROM y WHERE i % 2 = 0",
+)
+_resampled(
+    "resample_poly",
+    lambda x: dsp.resample_poly(x, 3, 4),
+    f"""h AS (SELECT unnest(range(81)) AS j, unnest({st.numbers(3 * dsp.firwin(81, 0.25))}) AS h), o AS (SELECT unnest(range(48)) AS n)
+  SELECT vec_id, n::INT AS i, round(sum(x * h), 6) AS y FROM sig_64, o JOIN h ON j = 40 + 4 * n - 3 * i GROUP BY vec_id, n""",
+)
 
-_resampled("decimate", lambda x: dsp.decimate(x, 2))
-_resampled("resample_poly", lambda x: dsp.resample_poly(x, 3, 4))
+
+def _sizes(low: int, high: int) -> list[int]:
+    return [int(v) for v in np.unique(np.floor(np.geomspace(low, high, 12)))]
 
 
 def _scalar(name: str, f, sql: str | None = None) -> None:
@@ -76,8 +98,20 @@ def _scalar(name: str, f, sql: str | None = None) -> None:
     query(sql, name)(run)
 
 
-_scalar("hurst_exponent", complexity.hurst)
-_scalar("dfa_exponent", complexity.dfa)
+_scalar(
+    "hurst_exponent",
+    complexity.hurst,
+    f"""ms AS (SELECT unnest({_sizes(8, 32)}) AS m), p AS (SELECT vec_id, m, i // m AS part, i, x - avg(x) OVER (PARTITION BY vec_id, m, i // m) AS d FROM sig_64 JOIN ms ON i < 64 // m * m),
+  w AS (SELECT *, sum(d) OVER (PARTITION BY vec_id, m, part ORDER BY i) AS walk FROM p), r AS (SELECT vec_id, m, (max(walk) - min(walk)) / stddev_pop(d) AS rs FROM w GROUP BY vec_id, m, part HAVING stddev_pop(d) > 0),
+  a AS (SELECT vec_id, m, avg(rs) AS rs FROM r GROUP BY ALL) SELECT vec_id, round(regr_slope(ln(rs), ln(m)), 6) AS v FROM a GROUP BY vec_id""",
+)
+_scalar(
+    "dfa_exponent",
+    complexity.dfa,
+    f"""ms AS (SELECT unnest({_sizes(4, 16)}) AS m), c AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY vec_id) AS c FROM sig_64), w AS (SELECT vec_id, i, sum(c) OVER (PARTITION BY vec_id ORDER BY i) AS y FROM c),
+  f AS (SELECT vec_id, m, sqrt(greatest(var_pop(y) - power(covar_pop(y, i), 2) / var_pop(i), 0)) AS f FROM w JOIN ms ON i < 64 // m * m GROUP BY vec_id, m, i // m), a AS (SELECT vec_id, m, avg(f) AS f FROM f GROUP BY ALL)
+  SELECT vec_id, round(regr_slope(ln(f), ln(m)), 6) AS v FROM a GROUP BY vec_id""",
+)
 _scalar(
     "sample_entropy",
     complexity.sample_entropy,
@@ -85,25 +119,45 @@ _scalar(
   p AS (SELECT v.vec_id, abs(v.c - u.c) <= r AS more FROM v JOIN u ON u.vec_id = v.vec_id AND u.i > v.i JOIN t ON t.vec_id = v.vec_id WHERE v.c IS NOT NULL AND u.c IS NOT NULL AND abs(v.a - u.a) <= r AND abs(v.b - u.b) <= r)
   SELECT vec_id, round(-ln(count(*) FILTER (more) / count(*)), 6) AS v FROM p GROUP BY vec_id""".replace("JOIN u ON", "JOIN v u ON"),
 )
-_scalar("lempel_ziv", complexity.lempel_ziv)
+_scalar(
+    "lempel_ziv",
+    complexity.lempel_ziv,
+    """RECURSIVE md AS (SELECT vec_id, i, x, median(x) OVER (PARTITION BY vec_id) AS m FROM sig_64), s AS (SELECT vec_id, string_agg(CASE WHEN x > m THEN '1' ELSE '0' END, '' ORDER BY i) AS s FROM md GROUP BY vec_id),
+  lz AS (SELECT vec_id, s, 0 AS i, 1 AS k, 0 AS c FROM s UNION ALL SELECT vec_id, s, CASE WHEN more THEN i ELSE i + k END, CASE WHEN more THEN k + 1 ELSE 1 END, CASE WHEN more THEN c ELSE c + 1 END
+    FROM (SELECT *, i + k <= 64 AND contains(substr(s, 1, i + k - 1), substr(s, i + 1, k)) AS more FROM lz WHERE i < 64))
+  SELECT vec_id, round(least(max(c) * log2(64) / 64, 1), 6) AS v FROM lz GROUP BY vec_id""",
+)
 
 
-@query()
+MT = st.multitaper("mt", "sig_64", 64, 2)
+
+
+@query(f"{MT} SELECT vec_id, k::INT AS k, k * (1 / (64 * 0.01::DOUBLE)) AS freq, round(avg(re * re + im * im) / 6400, 9) AS p FROM mt GROUP BY vec_id, k")
 def psd_multitaper(spark, sf_dir):
     return spectral.psd_multitaper(_series(spark, sf_dir), K, FS, 2).select("vec_id", "k", "freq", F.round("p", 9).alias("p"))
 
 
-@query()
+@query(f"{MT} SELECT vec_id, taper, k::INT AS k, round(re, 6) AS re, round(im, 6) AS im FROM mt")
 def multitaper_fft(spark, sf_dir):
     return spectral.multitaper_fft(_series(spark, sf_dir), K, FS, 2).select("vec_id", "taper", "k", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
 
 
-@query()
+SPECTROGRAM = f"""fr AS (SELECT vec_id * 8 + win AS id, i - win * 8 AS i, x FROM sig_64 JOIN (SELECT unnest(range(7)) AS win) ON i >= win * 8 AND i < win * 8 + 16), {st.multitaper("mt", "fr", 16, 2, "id")},
+  sg AS (SELECT id // 8 AS vec_id, (id % 8)::INT AS win, k::INT AS k, avg(re * re + im * im) / 1600 AS p FROM mt GROUP BY id, k)"""
+
+
+@query(f"{SPECTROGRAM} SELECT vec_id, win, k, (win * 8 + 7.5::DOUBLE) / 100 AS t, k * (1 / (16 * 0.01::DOUBLE)) AS freq, round(p, 9) AS p FROM sg")
 def spectrogram(spark, sf_dir):
     return spectral.spectrogram(_series(spark, sf_dir), K, FS, 16, 8, 2).select("vec_id", "win", "k", "t", "freq", F.round("p", 9).alias("p"))
 
 
-@query()
+@query(
+    f"""z AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY vec_id) AS x FROM sig_64), {st.tapers("tp", 64, 2)}, h AS (SELECT taper, sum(w) AS h FROM tp GROUP BY taper), hh AS (SELECT sum(h * h) AS hh FROM h),
+  y AS (SELECT vec_id, taper, k, sum(x * w * cos(2 * pi() * k * i / 64)) AS re, -sum(x * w * sin(2 * pi() * k * i / 64)) AS im FROM z JOIN tp USING (i), (SELECT unnest(range(33)) AS k) GROUP BY vec_id, taper, k),
+  mu AS (SELECT vec_id, k, sum(h * re) / any_value(hh) AS a, sum(h * im) / any_value(hh) AS b FROM y JOIN h USING (taper), hh GROUP BY vec_id, k),
+  f AS (SELECT vec_id, k, 2 * any_value(a * a + b * b) * any_value(hh) / sum(power(re - h * a, 2) + power(im - h * b, 2)) AS f FROM y JOIN h USING (taper) JOIN mu USING (vec_id, k), hh GROUP BY vec_id, k)
+  SELECT vec_id, k::INT AS k, k * (1 / (64 * 0.01::DOUBLE)) AS freq, round(f, 5) AS f, f > 2 * (power(0.05::DOUBLE, -0.5::DOUBLE) - 1) AS line FROM f"""
+)
 def ftest_line_scan(spark, sf_dir):
     def run(x):
         freq, f, threshold = dsp.ftest(x, FS, 2)
@@ -112,7 +166,19 @@ def ftest_line_scan(spark, sf_dir):
     return kernels.expanded(_series(spark, sf_dir), K, run, "k int, freq double, f double, line boolean")
 
 
-@query()
+def _peaks(source: str, last: int, least: str, floor: str = "TRUE", reach: int | None = None) -> str:
+    """Maxima (vec_id, i, x) of rows (vec_id, i, x), i up to `last`, that stand `least` above the higher of the lowest points to either side, before anything higher and within reach."""
+    lo, hi = ("0", str(last)) if reach is None else (f"greatest(0, p.i - {reach})", f"least({last}, p.i + {reach})")
+    return f"""nb AS (SELECT vec_id, i, x, lag(x) OVER w AS before, lead(x) OVER w AS after FROM {source} WINDOW w AS (PARTITION BY vec_id ORDER BY i)), pk AS (SELECT * FROM nb WHERE x > before AND x > after AND {floor}),
+  ends AS (SELECT p.vec_id, p.i, any_value(p.x) AS x, coalesce(max(o.i) FILTER (o.i < p.i AND o.x > p.x) + 1, any_value({lo})) AS a, coalesce(min(o.i) FILTER (o.i > p.i AND o.x > p.x) - 1, any_value({hi})) AS b FROM pk p JOIN nb o ON o.vec_id = p.vec_id AND o.i BETWEEN {lo} AND {hi} GROUP BY p.vec_id, p.i),
+  pr AS (SELECT e.vec_id, e.i, any_value(e.x) AS x, any_value(e.x) - greatest(min(o.x) FILTER (o.i <= e.i), min(o.x) FILTER (o.i >= e.i)) AS prominence FROM ends e JOIN nb o ON o.vec_id = e.vec_id AND o.i BETWEEN e.a AND e.b GROUP BY e.vec_id, e.i),
+  peaks AS (SELECT pr.* FROM pr WHERE prominence >= {least})"""
+
+
+@query(
+    f"""z AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY vec_id) AS x FROM sig_64), ps AS (SELECT vec_id, k AS i, power(sum(x * cos(2 * pi() * k * i / 64)), 2) + power(sum(x * sin(2 * pi() * k * i / 64)), 2) AS x FROM z, (SELECT unnest(range(33)) AS k) GROUP BY vec_id, k),
+  {_peaks("ps", 32, "2")} SELECT vec_id, i * (1 / (64 * 0.01::DOUBLE)) AS freq, round(x, 6) AS p FROM peaks"""
+)
 def spectral_peak_freqs(spark, sf_dir):
     def run(x):
         p = np.abs(np.fft.rfft(x - x.mean())) ** 2
@@ -122,7 +188,7 @@ def spectral_peak_freqs(spark, sf_dir):
     return kernels.expanded(_series(spark, sf_dir), K, run, "freq double, p double")
 
 
-@query()
+@query(f"""q AS (SELECT vec_id, greatest(1e-9, 0.25::DOUBLE * quantile_cont(x, 0.95)) AS q FROM sig_64 GROUP BY vec_id), {_peaks("sig_64", 63, "(SELECT q FROM q WHERE q.vec_id = pr.vec_id)", "x >= 0", 16)} SELECT vec_id, i::INT AS i, round(x, 6) AS value FROM peaks""")
 def extract_wave_table(spark, sf_dir):
     """Peaks whose prominence is a quarter of the series' 95th percentile or more."""
     def run(x):
@@ -141,7 +207,20 @@ def detect_hmaxima(spark, sf_dir):
     return kernels.expanded(_series(spark, sf_dir), K, run, "ap int, ml int, amp double")
 
 
-@query()
+def outliers(source: str, group: str, key: str, values: list[str]) -> str:
+    """`ok`: rows (g, a) that are core points or near one, by standardised values; eps by the knee of the fifth distances."""
+    standard = ", ".join(f"({v} - avg({v}) OVER w) / stddev_pop({v}) OVER w AS z{k}" for k, v in enumerate(values))
+    far = " + ".join(f"power(u.z{k} - v.z{k}, 2)" for k in range(len(values)))
+    return f"""z AS (SELECT *, {standard} FROM {source} WINDOW w AS (PARTITION BY {group})), d AS (SELECT u.{group} AS g, u.{key} AS a, v.{key} AS b, sqrt({far}) AS d FROM z u JOIN z v ON v.{group} = u.{group}), kd AS (SELECT g, a, d, row_number() OVER (PARTITION BY g, a ORDER BY d) AS r FROM d),
+  kth AS (SELECT g, d, row_number() OVER (PARTITION BY g ORDER BY d) - 1 AS r, count(*) OVER (PARTITION BY g) AS n FROM kd WHERE r = 5), sm AS (SELECT g, r, n, (coalesce(lag(d) OVER w, d) + d + coalesce(lead(d) OVER w, d)) / 3 AS y FROM kth WINDOW w AS (PARTITION BY g ORDER BY r)),
+  kn AS (SELECT *, min(y) OVER (PARTITION BY g) AS lo, max(y) OVER (PARTITION BY g) AS hi FROM sm), ep AS (SELECT g, arg_max(y, (r / (n - 1)::DOUBLE - (y - lo) / (hi - lo), -r)) AS eps FROM kn GROUP BY g),
+  nr AS (SELECT d.* FROM d JOIN ep USING (g) WHERE d <= eps), co AS (SELECT g, a FROM nr GROUP BY g, a HAVING count(*) >= 5), ok AS (SELECT DISTINCT nr.g, nr.a FROM nr JOIN co ON co.g = nr.g AND co.a = nr.b)"""
+
+
+@query(
+    f"""v AS (SELECT vec_id, any_value(label)::INT AS label, avg(x) AS p, stddev_pop(x) AS q, max(x) - min(x) AS r FROM sig_64 JOIN embeddings USING (vec_id) GROUP BY vec_id), {outliers("v", "label", "vec_id", ["p", "q", "r"])}
+  SELECT label, vec_id, NOT EXISTS (SELECT 1 FROM ok WHERE ok.a = v.vec_id) AS outlier FROM v"""
+)
 def dbscan_outliers(spark, sf_dir):
     """Vectors in no cluster by mean, deviation and amplitude, for each label."""
     x = _series(spark, sf_dir).groupBy("vec_id").agg(F.avg("x").alias("a"), F.stddev_pop("x").alias("b"), (F.max("x") - F.min("x")).alias("c"))
@@ -186,7 +265,11 @@ def ripple_pipeline(spark, sf_dir):
     return pipe.run(own, K).table.select("vec_id", "event_id", "i0", "i1", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(
+    f"""RECURSIVE {st.listed()}, {st.filtered("f", "ls", dsp.butter(4, (20, 45), "band", FS), 64)}, {st.samples("f", "fs")}, {st.analytic("fs", "an")}, ev64 AS (SELECT vec_id, i, sqrt(a * a + b * b) AS e FROM an), {st.gaussian("g", 50 / 1000 * FS / 2.35)},
+  sm AS (SELECT c.vec_id, c.i, sum(w * o.e) AS x FROM ev64 c, g JOIN ev64 o ON o.vec_id = c.vec_id AND o.i = {st.reflected("c.i + j", 64)} GROUP BY c.vec_id, c.i), z AS (SELECT vec_id, i, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS z FROM sm WINDOW w AS (PARTITION BY vec_id))
+  SELECT vec_id, i / 100::DOUBLE AS t, round(z, 5) AS gamma_z, z < 0 AS valid FROM z WHERE i % 16 = 5"""
+)
 def gamma_envelope_validator(spark, sf_dir):
     own = _series(spark, sf_dir).withColumn("t", F.col("i") / FS)
     found = own.where("i % 16 = 5").select("vec_id", "t")
@@ -214,7 +297,13 @@ def _aperiodic(x: np.ndarray) -> dict[str, float]:
 _lines("aperiodic_exponent", _aperiodic)
 
 
-@query()
+BANDS = {"p4": (2, 6, 3), "p8": (6, 10, 3), "a20": (15, 25, 3), "a30": (25, 35, 3), "a40": (35, 45, 3)}
+COMODULOGRAM = ", ".join([st.listed()] + [f"{st.filtered(f'f{n}', 'ls', dsp.butter(order, (low, high), 'band', FS), 64)}, {st.samples(f'f{n}', f's{n}')}, {st.analytic(f's{n}', n)}" for n, (low, high, order) in BANDS.items()])
+PHASES = " UNION ALL ".join(f"SELECT {f}::DOUBLE AS f_phase, vec_id, i, a / sqrt(a * a + b * b) AS c, b / sqrt(a * a + b * b) AS s FROM p{f}" for f in (4, 8))
+AMPLITUDES = " UNION ALL ".join(f"SELECT {f}::DOUBLE AS f_amp, vec_id, i, sqrt(a * a + b * b) AS e FROM a{f}" for f in (20, 30, 40))
+
+
+@query(f"RECURSIVE {COMODULOGRAM}, ph AS ({PHASES}), am AS ({AMPLITUDES}) SELECT vec_id, f_phase, f_amp, round(sqrt(power(avg(e * c), 2) + power(avg(e * s), 2)), 6) AS mi FROM ph JOIN am USING (vec_id, i) GROUP BY ALL")
 def comodulogram(spark, sf_dir):
     """Mean-vector index of each phase band against each amplitude band."""
     def run(x):
@@ -229,7 +318,11 @@ def comodulogram(spark, sf_dir):
     return kernels.expanded(_series(spark, sf_dir), K, run, "f_phase double, f_amp double, mi double")
 
 
-@query()
+@query(
+    """z AS (SELECT vec_id, ap, ml, x - avg(x) OVER (PARTITION BY vec_id, ap) AS x FROM sig_grid), y AS (SELECT vec_id, vec_id // 20 AS g, ap, k, sum(x * cos(2 * pi() * k * ml / 8)) AS re, -sum(x * sin(2 * pi() * k * ml / 8)) AS im FROM z, (SELECT unnest(range(1, 5)) AS k) GROUP BY ALL),
+  s AS (SELECT a.g, a.ap, b.ap - a.ap AS distance, a.k, (power(avg(a.re * b.re + a.im * b.im), 2) + power(avg(a.im * b.re - a.re * b.im), 2)) / (avg(a.re * a.re + a.im * a.im) * avg(b.re * b.re + b.im * b.im) + 1e-12) AS c FROM y a JOIN y b ON b.vec_id = a.vec_id AND b.k = a.k AND b.ap > a.ap GROUP BY ALL),
+  m AS (SELECT g, ap, distance, avg(c) AS c FROM s GROUP BY ALL) SELECT g, distance, round(avg(c), 6) AS coherence FROM m GROUP BY g, distance"""
+)
 def spatial_coherence_profile(spark, sf_dir):
     """Rows of a grid as channels of 8 samples: mean coherence by distance, vectors taken as segments."""
     own = views.sig_grid(spark, sf_dir).withColumn("g", F.floor(F.col("vec_id") / 20))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siglake.functions import complexity, dsp, extra, temporal
 from siglake.operators import kernels, spatial, windows
 from siglake.operators import series as ser
+from siglake.plans import q_kernels, sqltext as st
 from siglake.plans.registry import query
 from siglake.sources import views
 
@@ -82,7 +83,10 @@ def deviation_zscore(spark, sf_dir):
     return e.join(s).select("c", F.round((F.col("d") - F.col("m")) / F.col("s"), 5).alias("z"))
 
 
-@query()
+@query(
+    f"""{CH}, q AS (SELECT ap * 8 + ml AS c, 1 AS one, {', '.join(f"quantile_cont(x, {v}) AS v{k}" for k, v in enumerate((0.8, 0.84, 0.88, 0.92, 0.95)))} FROM ch GROUP BY ap, ml),
+  {q_kernels.outliers("q", "one", "c", [f"v{k}" for k in range(5)])} SELECT (c // 8)::INT AS ap, (c % 8)::INT AS ml, NOT EXISTS (SELECT 1 FROM ok WHERE ok.a = q.c) AS outlier FROM q"""
+)
 def find_outlier_channels(spark, sf_dir):
     """Channels apart from the rest by five upper quantiles."""
     q = _channels(spark, sf_dir).groupBy("ap", "ml").agg(F.percentile("x", F.array(*[F.lit(v) for v in (0.8, 0.84, 0.88, 0.92, 0.95)])).alias("q"))
@@ -106,12 +110,18 @@ def noise_to_signal(spark, sf_dir):
     return kernels.reduced(_series(spark, sf_dir), K, f, ["v"]).select("vec_id", F.round("v", 7).alias("v"))
 
 
-@query()
+@query(
+    f"RECURSIVE {st.listed()}, {st.filtered('f', 'ls', extra.shoulder_sos(FS, 12, 25, 6), 64)}, {st.samples('f', 'y')} SELECT vec_id, i, round(x, 6) AS y FROM y"
+)
 def butterworth_bandpass_shoulder(spark, sf_dir):
     return kernels.transformed(_series(spark, sf_dir), K, lambda x: extra.shoulder_bandpass(x, FS, 12, 25, 6)).withColumn("y", F.round("y", 6))
 
 
-@query()
+@query(
+    f"""o AS (SELECT dt, da, dm FROM range(-2, 3) a(dt), range(-1, 2) b(da), range(-1, 2) c(dm)), s AS (SELECT *, vec_id // 10 AS g, vec_id % 10 AS n FROM sig_grid),
+  m AS (SELECT a.vec_id, a.ap, a.ml, any_value(a.x) AS x, median(b.x) AS m FROM s a, o JOIN s b ON b.g = a.g AND b.n = {st.reflected("a.n + dt", 10)} AND b.ap = {st.reflected("a.ap + da", 8)} AND b.ml = {st.reflected("a.ml + dm", 8)} GROUP BY a.vec_id, a.ap, a.ml)
+  SELECT vec_id, ap, ml, round(x - m, 6) AS y FROM m"""
+)
 def median_highpass(spark, sf_dir):
     """x less a 3 x 3 x 5 median over places and samples; ten vectors in a row are the samples."""
     own = _grid(spark, sf_dir).withColumn("g", F.floor(F.col("vec_id") / 10))
@@ -164,7 +174,10 @@ def interpolate_local_line(spark, sf_dir):
     return kernels.transformed(_series(spark, sf_dir), K, kernel).withColumn("y", F.round("y", 6))
 
 
-@query()
+@query(
+    """z AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY vec_id) AS x FROM sig_64), ps AS (SELECT vec_id, k, log10(k * 100 / 64::DOUBLE) AS lf, log10((power(sum(x * cos(2 * pi() * k * i / 64)), 2) + power(sum(x * sin(2 * pi() * k * i / 64)), 2)) / 6400 + 1e-30) AS lp FROM z, (SELECT unnest(range(1, 33)) AS k) GROUP BY vec_id, k),
+  l AS (SELECT vec_id, regr_slope(lp, lf) AS s, regr_intercept(lp, lf) AS c FROM ps GROUP BY vec_id) SELECT vec_id, k::INT AS k, round(greatest(lp - s * lf - c, 0), 5) AS y FROM ps JOIN l USING (vec_id)"""
+)
 def fooof_periodic(spark, sf_dir):
     """What a spectrum has above its log-log line."""
     def run(x):
@@ -189,7 +202,10 @@ def ar_whiten_fit_transform(spark, sf_dir):
     return spectral.whitened(s, K, [a]).select("vec_id", "i", F.round("y", 6).alias("y"))
 
 
-@query()
+@query(
+    f"""{q_kernels.SPECTROGRAM}, o AS (SELECT dw, dk FROM range(-1, 2) a(dw), range(-1, 2) b(dk))
+  SELECT a.vec_id, a.win, a.k, round(median(b.p), 9) AS p FROM sg a, o JOIN sg b ON b.vec_id = a.vec_id AND b.win = {st.reflected("a.win + dw", 7)} AND b.k = {st.reflected("a.k + dk", 9)} GROUP BY a.vec_id, a.win, a.k"""
+)
 def median_spectrogram(spark, sf_dir):
     """Spectrograms smoothed by a 3 x 3 median."""
     def run(x):
@@ -201,7 +217,10 @@ def median_spectrogram(spark, sf_dir):
     return kernels.expanded(_series(spark, sf_dir), K, run, "win int, k int, p double")
 
 
-@query()
+@query(
+    f"""{q_kernels.SPECTROGRAM}, {st.gaussian("g", 1.0)}, u AS (SELECT a.vec_id, a.win, a.k, sum(w * b.p) AS p FROM sg a, g JOIN sg b ON b.vec_id = a.vec_id AND b.win = a.win AND b.k = {st.reflected("a.k + j", 9)} GROUP BY a.vec_id, a.win, a.k)
+  SELECT a.vec_id, a.win, a.k, round(sum(w * b.p), 9) AS p FROM u a, g JOIN u b ON b.vec_id = a.vec_id AND b.k = a.k AND b.win = {st.reflected("a.win + j", 7)} GROUP BY a.vec_id, a.win, a.k"""
+)
 def gaussian_spectrogram(spark, sf_dir):
     """Spectrograms smoothed by Gaussians over windows and frequencies."""
     def run(x):
@@ -238,7 +257,9 @@ def spaced_sample_around(spark, sf_dir):
     return _series(spark, sf_dir).where((F.abs(F.col("i") - 20) <= 6) & ((F.col("i") - 20) % 3 == 0)).select("vec_id", "i", F.round("x", 6).alias("x"))
 
 
-@query()
+@query(
+    "s AS (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY x) - 1 AS r, x, min(x) OVER w AS lo, max(x) OVER w AS hi FROM sig_64 WINDOW w AS (PARTITION BY vec_id)) SELECT vec_id, (arg_max(r, (r / 63::DOUBLE - (x - lo) / (hi - lo), -r)))::INT AS knee FROM s GROUP BY vec_id"
+)
 def find_elbow(spark, sf_dir):
     """Knee of each sorted series."""
     got = kernels.reduced(_series(spark, sf_dir), K, lambda x: {"knee": complexity.knee(np.sort(x))}, ["knee"])
@@ -258,7 +279,14 @@ def simplify_point_cloud(spark, sf_dir):
     return own.groupBy("label").applyInPandas(run, "label int, vec_id long")
 
 
-@query()
+@query(
+    f"""{", ".join(st.gaussian(f"k{n}", sigma) for n, sigma in enumerate((0.8, 1.2, 1.8)))}, ks AS ({" UNION ALL ".join(f"SELECT {n} AS s, {st.number(sigma)} AS sigma, j, w FROM k{n}" for n, sigma in enumerate((0.8, 1.2, 1.8)))}),
+  u AS (SELECT a.vec_id, s, sigma, a.ap, a.ml, sum(w * b.x) AS x FROM sig_grid a, ks JOIN sig_grid b ON b.vec_id = a.vec_id AND b.ap = a.ap AND b.ml = {st.reflected("a.ml + j", 8)} GROUP BY ALL),
+  g AS (SELECT a.vec_id, a.s, a.sigma, a.ap, a.ml, sum(w * b.x) AS x FROM u a JOIN ks ON ks.s = a.s JOIN u b ON b.vec_id = a.vec_id AND b.s = a.s AND b.ml = a.ml AND b.ap = {st.reflected("a.ap + j", 8)} GROUP BY ALL),
+  v AS (SELECT vec_id, s, sigma, ap, ml, -sigma * sigma * (coalesce(lag(x) OVER d, x) + coalesce(lead(x) OVER d, x) + coalesce(lag(x) OVER r, x) + coalesce(lead(x) OVER r, x) - 4 * x) AS v FROM g WINDOW d AS (PARTITION BY vec_id, s, ml ORDER BY ap), r AS (PARTITION BY vec_id, s, ap ORDER BY ml)),
+  t AS (SELECT vec_id, max(v) AS top FROM v GROUP BY vec_id)
+  SELECT a.vec_id, a.ap, a.ml, a.sigma, round(a.v, 6) AS score FROM v a JOIN v b ON b.vec_id = a.vec_id AND abs(b.s - a.s) <= 1 AND abs(b.ap - a.ap) <= 1 AND abs(b.ml - a.ml) <= 1 JOIN t ON t.vec_id = a.vec_id WHERE a.v > 0.2::DOUBLE * top GROUP BY a.vec_id, a.ap, a.ml, a.sigma, a.v HAVING a.v >= max(b.v)"""
+)
 def detect_blobs(spark, sf_dir):
     """Maxima of the scale-normalised Laplacian of Gaussians."""
     def run(x):
@@ -288,7 +316,20 @@ def _cube(p: pd.DataFrame) -> np.ndarray:
     return p.sort_values(["vec_id", "ap", "ml"])["x"].to_numpy().reshape(-1, 8, 8)
 
 
-@query()
+def _kw(weights: str, scale: str) -> str:
+    """Power over frequency and wavenumbers by sums over time, then ap, then ml; weights w of (n, taper, i) for time, 8 places by sums of their own."""
+    return f"""fr AS (SELECT vec_id // 32 AS g, vec_id % 32 AS i, ap, ml, x - avg(x) OVER (PARTITION BY vec_id // 32, ap, ml) AS x, count(*) OVER (PARTITION BY vec_id // 32, ap, ml) AS n FROM sig_grid), {weights},
+  ft AS (SELECT g, fr.n, u.taper AS t0, k, ap, ml, sum(x * w * cos(2 * pi() * k * fr.i / fr.n)) AS re, -sum(x * w * sin(2 * pi() * k * fr.i / fr.n)) AS im FROM fr JOIN wt u ON u.n = fr.n AND u.i = fr.i JOIN (SELECT unnest(range(1, 16)) AS k) ON k < fr.n / 2 GROUP BY ALL),
+  fa AS (SELECT g, n, t0, u.taper AS t1, k, q, ml, sum(w * (re * cos(2 * pi() * q * ap / 8) + im * sin(2 * pi() * q * ap / 8))) AS re, sum(w * (im * cos(2 * pi() * q * ap / 8) - re * sin(2 * pi() * q * ap / 8))) AS im FROM ft JOIN wp u ON u.i = ap, (SELECT unnest(range(-4, 4)) AS q) GROUP BY ALL),
+  fm AS (SELECT g, n, t0, t1, u.taper AS t2, k, q, r, sum(w * (re * cos(2 * pi() * r * ml / 8) + im * sin(2 * pi() * r * ml / 8))) AS re, sum(w * (im * cos(2 * pi() * r * ml / 8) - re * sin(2 * pi() * r * ml / 8))) AS im FROM fa JOIN wp u ON u.i = ml, (SELECT unnest(range(-4, 4)) AS r) GROUP BY ALL)
+  SELECT g, k * (1 / (n * 0.01::DOUBLE)) AS f, q / 8::DOUBLE AS ky, r / 8::DOUBLE AS kx, round(avg(re * re + im * im), {scale}) AS p FROM fm GROUP BY g, n, k, q, r"""
+
+
+HANN = "wt AS (SELECT n, 0 AS taper, i, 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / (n - 1)) AS w FROM (SELECT DISTINCT n FROM fr), (SELECT unnest(range(32)) AS i) WHERE i < n), wp AS (SELECT 0 AS taper, unnest(range(8)) AS i, 1 AS w)"
+TAPERS = f"{st.tapers('w32', 32, 2.0)}, {st.tapers('w20', 20, 2.0)}, {st.tapers('wp', 8, 1.5)}, wt AS (SELECT 32 AS n, * FROM w32 UNION ALL SELECT 20, * FROM w20)"
+
+
+@query(_kw(HANN, "8"))
 def kw_spectrum(spark, sf_dir):
     """Power over frequency and both wavenumbers, of 32 frames."""
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -299,7 +340,7 @@ def kw_spectrum(spark, sf_dir):
     return _frames(spark, sf_dir).groupBy("g").applyInPandas(run, "g long, f double, ky double, kx double, p double")
 
 
-@query()
+@query(_kw(TAPERS, "10"))
 def multitaper_kw_spectrum(spark, sf_dir):
     """The same, averaged over products of tapers."""
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -319,7 +360,12 @@ def capon_beamformer(spark, sf_dir):
     return _frames(spark, sf_dir).groupBy("g").applyInPandas(run, "g long, sx double, sy double, p double")
 
 
-@query()
+@query(
+    """s AS (SELECT vec_id // 32 AS g, vec_id % 32 AS f, ap, ml, x, lead(x) OVER (PARTITION BY vec_id // 32, ap, ml ORDER BY vec_id) AS y FROM sig_grid), m AS (SELECT g, f, ap, ml, (x + y) / 2 AS m, y - x AS gt FROM s WHERE y IS NOT NULL),
+  d AS (SELECT g, f, ap, ml, gt, CASE WHEN ap = 0 THEN lead(m) OVER a - m WHEN ap = 7 THEN m - lag(m) OVER a ELSE (lead(m) OVER a - lag(m) OVER a) / 2 END AS gy, CASE WHEN ml = 0 THEN lead(m) OVER b - m WHEN ml = 7 THEN m - lag(m) OVER b ELSE (lead(m) OVER b - lag(m) OVER b) / 2 END AS gx FROM m WINDOW a AS (PARTITION BY g, f, ml ORDER BY ap), b AS (PARTITION BY g, f, ap ORDER BY ml)),
+  o AS (SELECT da, dm FROM range(-1, 2) a(da), range(-1, 2) b(dm)), n AS (SELECT p.g, p.f, p.ap, p.ml, sum(q.gx * q.gx) + 1e-6 AS xx, sum(q.gy * q.gy) + 1e-6 AS yy, sum(q.gx * q.gy) AS xy, sum(q.gx * q.gt) AS xt, sum(q.gy * q.gt) AS yt FROM d p, o JOIN d q ON q.g = p.g AND q.f = p.f AND q.ap = least(greatest(p.ap + da, 0), 7) AND q.ml = least(greatest(p.ml + dm, 0), 7) GROUP BY ALL)
+  SELECT g, f::INT AS frame, ap, ml, round((xy * yt - yy * xt) / (xx * yy - xy * xy), 5) AS u, round((xy * xt - xx * yt) / (xx * yy - xy * xy), 5) AS v FROM n"""
+)
 def optical_flow(spark, sf_dir):
     """Flow between consecutive frames by local least squares of brightness gradients."""
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -382,7 +428,10 @@ def spatial_summary(spark, sf_dir):
     return out.select("vec_id", *[F.round(c, 6).alias(c) for c in ("moran", "anisotropy", "kurtosis")])
 
 
-@query()
+@query(
+    f"""RECURSIVE {st.listed()}, {st.filtered("f", "ls", dsp.butter(2, (8, 20), "band", FS), 64)}, {st.samples("f", "fs")}, {st.analytic("fs", "an")}, t AS (SELECT vec_id, arg_max(i, (x, -i)) AS hi, arg_min(i, (x, i)) AS lo FROM sig_64 GROUP BY vec_id)
+  SELECT vec_id, round(max(atan2(b, a)) FILTER (i = hi), 5) AS peak, round(max(atan2(b, a)) FILTER (i = lo), 5) AS trough FROM an JOIN t USING (vec_id) GROUP BY vec_id"""
+)
 def burst_wave_phase(spark, sf_dir):
     """Phase of a vector's band at its own peak and at its trough."""
     def f(x):

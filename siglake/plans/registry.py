@@ -15,7 +15,8 @@ ORACLES: dict[str, str] = {}
 
 
 def with_views(sql: str) -> str:
-    """SQL with the views that it names before it. Its own common table expressions follow as `name AS (...), ... SELECT`."""
+    """SQL with the views that it names before it. Its own common table expressions follow as `name AS (...), ... SELECT`, and
+    `RECURSIVE` stands before them if one of them is recursive."""
     names: list[str] = []
 
     def need(name: str) -> None:
@@ -28,11 +29,13 @@ def with_views(sql: str) -> str:
         if re.search(rf"\b{name}\b", sql):
             need(name)
     parts = [f"{n} AS ({views.SQL[n]})" for n in names]
-    body = sql.strip()
+    body, head = sql.strip(), "WITH "
+    if body.startswith("RECURSIVE "):
+        body, head = body.removeprefix("RECURSIVE "), "WITH RECURSIVE "
     own = not re.match(r"SELECT\b", body)
     if not parts:
-        return f"WITH {body}" if own else body
-    return "WITH " + ",\n".join(parts) + (",\n" if own else "\n") + body
+        return head + body if own else body
+    return head + ",\n".join(parts) + (",\n" if own else "\n") + body
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
