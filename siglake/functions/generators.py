@@ -75,8 +75,9 @@ def noise(seed: int, scale: float = 1.0) -> Column:
 
 
 def uniform(seed: int, *of: str) -> Column:
-    """Uniform in [0, 1) by a hash of columns: reproducible however rows are partitioned."""
-    return F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """Uniform in [0, 1) by the first 52 bits of a digest of columns: the same however rows are partitioned, and in any engine with MD5."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in of]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def normal(seed: int, *of: str) -> Column:

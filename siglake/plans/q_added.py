@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siglake.functions import dsp
 from siglake.functions import generators as gen
 from siglake.operators import catalog, chain, decomposition, matching, ranges, spectral
+from siglake.plans import sqltext as st
 from siglake.plans.registry import query
 from siglake.sources import views
 
@@ -95,7 +97,12 @@ def example_spectrogram4d(spark, sf_dir):
     return gen.blobs(g, CENTRES, WIDTHS, 0.1).withColumn("x", F.round("x", 9))
 
 
-@query()
+@query(
+    f"""RECURSIVE sc AS (SELECT ap * 8 + ml AS c, vec_id AS i, x - median(x) OVER (PARTITION BY vec_id) AS x FROM sig_grid WHERE vec_id >= 4), {st.listed("sc", "ls", "c")}, {st.filtered("f0", "ls", dsp.butter(4, (5, 30), "band", FS), None, "c")}, {st.filtered("f1", "f0", dsp.notch_sos(FS, 25.0), None, "c")},
+  y AS (SELECT c // 8 AS ap, c % 8 AS ml, unnest(range(len(x))) + 4 AS i, unnest(x) AS x FROM f1), o AS (SELECT da, dm FROM range(-1, 2) a(da), range(-1, 2) b(dm)),
+  m AS (SELECT a.ap, a.ml, a.i, median(b.x) AS x FROM y a, o JOIN y b ON b.i = a.i AND b.ap = {st.reflected("a.ap + da", 8)} AND b.ml = {st.reflected("a.ml + dm", 8)} GROUP BY a.ap, a.ml, a.i),
+  z AS (SELECT ap, ml, i, (x - avg(x) OVER w) / (stddev_pop(x) OVER w + 1e-12) AS z FROM m WINDOW w AS (PARTITION BY ap, ml)) SELECT ap::INT AS ap, ml::INT AS ml, i, round(z, 6) AS x FROM z WHERE (ap, ml) IN ((0, 0), (3, 4), (7, 7))"""
+)
 def processing_chain(spark, sf_dir):
     """Vectors as the samples of 64 channels: reference, band, notch, spatial median, z-score, and three channels of it."""
     own = views.sig_grid(spark, sf_dir).select("ap", "ml", F.col("vec_id").cast("long").alias("i"), "x")

@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from siglake.functions import complexity, dsp, granger
+from siglake.functions import generators as gen
 from siglake.operators import kernels, pipeline, spectral
 from siglake.plans import sqltext as st
+from siglake.plans.q_detect import runs_sql
 from siglake.plans.registry import query
 from siglake.sources import views
 
@@ -198,7 +200,7 @@ def extract_wave_table(spark, sf_dir):
     return kernels.expanded(_series(spark, sf_dir), K, run, "i int, value double")
 
 
-@query()
+@query(f"RECURSIVE {st.listed()}, {st.hmaxima('hm', 'ls', 8, 8, 0.8)} SELECT vec_id, (k // 8)::INT AS ap, (k % 8)::INT AS ml, round(x, 6) AS amp FROM hm")
 def detect_hmaxima(spark, sf_dir):
     def run(x):
         at = dsp.detect_hmaxima(x.reshape(8, 8), 0.8)
@@ -232,33 +234,61 @@ def dbscan_outliers(spark, sf_dir):
     return own.groupBy("label").applyInPandas(run, "label int, vec_id long, outlier boolean")
 
 
-@query()
+def _scored(low: float, high: float) -> str:
+    """Standard score z of a band's envelope (vec_id, i, t, x), and the band itself, bd."""
+    return f"""{st.listed()}, {st.filtered("f", "ls", dsp.butter(4, (low, high), "band", FS), 64)}, {st.samples("f", "fs")}, bd AS (SELECT vec_id, i, i / 100::DOUBLE AS t, x FROM fs), {st.analytic("fs", "an")}, en AS (SELECT vec_id, i, sqrt(a * a + b * b) AS e FROM an),
+  z AS (SELECT vec_id, i, i / 100::DOUBLE AS t, (e - avg(e) OVER w) / stddev_pop(e) OVER w AS x FROM en WINDOW w AS (PARTITION BY vec_id))"""
+
+
+def _dual(low: float, high: float, shortest: float, longest: float) -> str:
+    runs = runs_sql(f"x >= {low}", 0, "z").replace("user_id", "vec_id")
+    return f"{runs}, du AS (SELECT r.vec_id, i0, i1, arg_max(t, (x, -i)) AS t, max(x) AS value FROM r JOIN z s ON s.vec_id = r.vec_id AND i BETWEEN i0 AND i1 GROUP BY r.vec_id, i0, i1 HAVING max(x) >= {high} AND max(t) - min(t) BETWEEN {shortest}::DOUBLE AND {longest}::DOUBLE)"
+
+
+@query(f"RECURSIVE {_scored(15, 35)}, {_dual(0.8, 1.2, 0.02, 2.0)} SELECT vec_id, i0, i1, round(value, 6) AS value FROM du")
 def detect_ripples(spark, sf_dir):
     own = _series(spark, sf_dir).withColumn("t", F.col("i") / FS)
     got = pipeline.Ripple(fs=FS, low=15.0, high=35.0, threshold_low=0.8, threshold_high=1.2, max_duration=2.0).detect(own, K)
     return got.select("vec_id", "i0", "i1", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(
+    f"""RECURSIVE {_scored(11, 16)}, {_dual(0.8, 1.2, 0.02, 3.0)},
+  sg AS (SELECT d.vec_id, d.i0, x, s.t, i, sign(x) <> lag(sign(x)) OVER (PARTITION BY d.vec_id, d.i0 ORDER BY i) AS s FROM du d JOIN bd s ON s.vec_id = d.vec_id AND i BETWEEN i0 AND i1),
+  en2 AS (SELECT vec_id, i0, sum(s::INT) / (2 * (max(t) - min(t))) AS frequency, (arg_max(i, (x, -i)) - i0) / (count(*) - 1) AS symmetry FROM sg GROUP BY vec_id, i0),
+  o AS (SELECT vec_id, i0, t, value, row_number() OVER (PARTITION BY vec_id ORDER BY t, value) AS k FROM du),
+  w AS (SELECT vec_id, k, t AS lt, value AS lv, i0 AS l0, 1 AS n FROM o WHERE k = 1 UNION ALL SELECT o.vec_id, o.k, CASE WHEN far OR o.value > w.lv THEN o.t ELSE w.lt END, CASE WHEN far OR o.value > w.lv THEN o.value ELSE w.lv END, CASE WHEN far OR o.value > w.lv THEN o.i0 ELSE w.l0 END, CASE WHEN far THEN w.n + 1 ELSE w.n END
+    FROM w JOIN o ON o.vec_id = w.vec_id AND o.k = w.k + 1, LATERAL (SELECT o.t - w.lt >= 0.1::DOUBLE AS far)),
+  kp AS (SELECT vec_id, n, arg_max(l0, k) AS i0 FROM w GROUP BY vec_id, n) SELECT vec_id, i0, i1, round(frequency, 4) AS frequency, round(symmetry, 6) AS symmetry FROM kp JOIN du USING (vec_id, i0) JOIN en2 USING (vec_id, i0)"""
+)
 def detect_spindles(spark, sf_dir):
     own = _series(spark, sf_dir).withColumn("t", F.col("i") / FS)
     got = pipeline.Spindle(fs=FS, threshold_low=0.8, threshold_high=1.2, min_duration=0.02, min_isolation=0.1).detect(own, K)
     return got.select("vec_id", "i0", "i1", F.round("frequency", 4).alias("frequency"), F.round("symmetry", 6).alias("symmetry"))
 
 
-@query()
+@query(
+    f"""RECURSIVE {st.listed()}, {st.filtered("f", "ls", dsp.butter(2, (2, 12), "band", FS), 64)}, {st.samples("f", "fs")}, z AS (SELECT vec_id, i, i / 100::DOUBLE AS t, x, x >= 0 AS pos FROM fs), n AS (SELECT *, lead(pos) OVER (PARTITION BY vec_id ORDER BY i) AS nxt FROM z), cr AS (SELECT vec_id, i, pos AS falling FROM n WHERE nxt <> pos),
+  w AS (SELECT vec_id, i AS i0, (SELECT min(i) FROM cr b WHERE b.vec_id = a.vec_id AND b.i > a.i AND NOT b.falling) AS up, coalesce((SELECT min(i) FROM cr b WHERE b.vec_id = a.vec_id AND b.i > a.i AND b.falling), 63) AS e FROM cr a WHERE falling),
+  q AS (SELECT w.vec_id, i0, up, e, min(x) AS trough, max(x) FILTER (i >= up) AS peak FROM w JOIN z ON z.vec_id = w.vec_id AND i >= i0 AND i < e WHERE up IS NOT NULL GROUP BY ALL),
+  g AS (SELECT *, peak - trough AS ptp FROM q WHERE up / 100::DOUBLE - i0 / 100::DOUBLE BETWEEN 0.02::DOUBLE AND 1 AND e / 100::DOUBLE - i0 / 100::DOUBLE BETWEEN 0.04::DOUBLE AND 2)
+  SELECT vec_id, i0, round(ptp, 6) AS ptp FROM (SELECT *, quantile_cont(ptp, 0.25) OVER (PARTITION BY vec_id) AS p FROM g) WHERE ptp >= p"""
+)
 def detect_slow_waves_filtered(spark, sf_dir):
     own = _series(spark, sf_dir).withColumn("t", F.col("i") / FS)
     return pipeline.SlowWave(fs=FS, low=2.0, high=12.0, neg=(0.02, 1.0), cycle=(0.04, 2.0)).detect(own, K).select("vec_id", "i0", F.round("ptp", 6).alias("ptp"))
 
 
-@query()
+@query(f"RECURSIVE {SPECTROGRAM}, sl AS (SELECT vec_id, list(p ORDER BY win, k) AS x FROM sg GROUP BY vec_id), {st.hmaxima('hm', 'sl', 7, 9, 0.9)} SELECT vec_id, ((k // 9) * 8 + 7.5::DOUBLE) / 100 AS t, (k % 9) * (1 / (16 * 0.01::DOUBLE)) AS freq, round(x, 8) AS value FROM hm")
 def detect_bursts(spark, sf_dir):
     own = _series(spark, sf_dir).withColumn("t", F.col("i") / FS)
     return pipeline.Burst(fs=FS, nperseg=16, noverlap=8, bandwidth=12.5).detect(own, K).withColumn("value", F.round("value", 8))
 
 
-@query()
+@query(
+    f"""RECURSIVE {_scored(15, 35)}, {runs_sql("x >= 1", 0, "z").replace("user_id", "vec_id")}, th AS (SELECT r.vec_id, i0, i1, arg_max(t, (x, -i)) AS t, max(x) AS value FROM r JOIN z s ON s.vec_id = r.vec_id AND i BETWEEN i0 AND i1 WHERE i1 > i0 GROUP BY r.vec_id, i0, i1)
+  SELECT vec_id, printf('thresh_%06d', row_number() OVER (PARTITION BY vec_id ORDER BY t) - 1) AS event_id, i0, i1, round(value, 6) AS value FROM th"""
+)
 def ripple_pipeline(spark, sf_dir):
     own = _series(spark, sf_dir).withColumn("t", F.col("i") / FS)
     pipe = pipeline.DetectionPipeline("ripple", [pipeline.Bandpass(fs=FS, low=15.0, high=35.0), pipeline.Envelope(), pipeline.ZScore()], pipeline.Threshold(threshold=1.0))
@@ -338,20 +368,20 @@ def spatial_coherence_profile(spark, sf_dir):
     return own.groupBy("g").applyInPandas(run, "g long, distance int, coherence double")
 
 
-@query()
+@query(
+    f"""{ANALYTIC}, tn AS (SELECT vec_id, k, re, im, CASE WHEN k IN (0, 32) THEN 0 ELSE 2 * pi() * {st.uniform(5, "vec_id", "k")} END AS turn FROM ft)
+  SELECT vec_id, n.i::INT AS i, round(sum((re * cos(turn) - im * sin(turn)) * cos(2 * pi() * k * n.i / 64) - (re * sin(turn) + im * cos(turn)) * sin(2 * pi() * k * n.i / 64)), 6) AS y FROM tn, (SELECT unnest(range(64)) AS i) n GROUP BY vec_id, n.i"""
+)
 def phase_randomize(spark, sf_dir):
-    """Surrogates of equal power: random phases but for the constant and Nyquist terms, seeded by the series' own sum."""
-    def kernel(x):
-        y = np.fft.rfft(x, axis=-1)
-        out = np.empty_like(x)
-        for j, row in enumerate(y):
-            random = np.random.default_rng(abs(hash(float(np.round(x[j].sum(), 6)))) % 2**32)
-            turn = np.exp(2j * np.pi * random.random(len(row)))
-            turn[0] = turn[-1] = 1
-            out[j] = np.fft.irfft(row * turn, x.shape[-1])
-        return out
-
-    return kernels.transformed(_series(spark, sf_dir), K, kernel).select("vec_id", "i", F.round("y", 6).alias("y"))
+    """Surrogates of equal power: random phases, by a hash of series and frequency, but for the constant and Nyquist terms."""
+    own = _series(spark, sf_dir).withColumn("u", gen.uniform(5, "vec_id", "i"))
+
+    def f(x, u):
+        turn = np.exp(2j * np.pi * u[: len(x) // 2 + 1])
+        turn[0] = turn[-1] = 1
+        return {"i": np.arange(len(x)), "y": np.round(np.fft.irfft(np.fft.rfft(x) * turn, len(x)), 6)}
+
+    return kernels.expanded(own, K, f, "i int, y double", values=("x", "u"))
 
 
 @query()

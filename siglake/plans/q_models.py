@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siglake.functions import generators as gen
 from siglake.operators.series import over
+from siglake.plans import sqltext as st
 from siglake.plans.registry import query
 from siglake.sources import views
 
@@ -63,17 +64,31 @@ def multi_wave(spark, sf_dir):
     return gen.mixed(parts, ["i", "ap", "ml"]).withColumn("x", F.round("x", 7))
 
 
-@query()
+def _train(channels: int, rate: float, duration: float, seed: int) -> str:
+    """Event times (ch, k, t); more gaps than a channel needs are drawn."""
+    most = int(rate * duration + 10 * math.sqrt(rate * duration) + 20)
+    return f"""gp AS (SELECT ch, k, -ln(1 - {st.uniform(seed, 'ch', 'k')}) / {rate}::DOUBLE AS gap FROM range({channels}) a(ch), range({most}) b(k)),
+  tr AS (SELECT * FROM (SELECT ch, k, sum(gap) OVER (PARTITION BY ch ORDER BY k) AS t FROM gp) WHERE t < {duration})"""
+
+
+@query(f"{_train(4, 20.0, 30.0, 7)} SELECT ch, k, round(t, 6) AS t FROM tr")
 def poisson_process(spark, sf_dir):
     return gen.poisson_process(spark, 4, 20.0, 30.0, 7).withColumn("t", F.round("t", 6))
 
 
-@query()
+@query(
+    f"""RECURSIVE {_train(4, 5.0, 30.0, 7)}, kp AS (SELECT ch, k, t, TRUE AS own FROM tr WHERE k = 0 UNION ALL SELECT kp.ch, tr.k, CASE WHEN tr.t >= kp.t + 0.2::DOUBLE + 0.1::DOUBLE THEN tr.t ELSE kp.t END, tr.t >= kp.t + 0.2::DOUBLE + 0.1::DOUBLE FROM kp JOIN tr ON tr.ch = kp.ch AND tr.k = kp.k + 1)
+  SELECT ch, round(t, 6) AS t0, round(t + 0.2::DOUBLE, 6) AS t1 FROM kp WHERE own"""
+)
 def poisson_bursts(spark, sf_dir):
     return gen.poisson_bursts(spark, 4, 5.0, 30.0, 0.2, 0.1, 7).withColumn("t0", F.round("t0", 6)).withColumn("t1", F.round("t1", 6))
 
 
-@query()
+@query(
+    f"""gs AS (SELECT i, ap::INT AS ap, ml::INT AS ml, {st.normal(3, 'i', 'ap', 'ml')} AS x FROM range(20) a(i), range(8) b(ap), range(8) c(ml)), {st.gaussian("g", 1.0)},
+  u AS (SELECT a.i, a.ap, a.ml, sum(w * b.x) AS x FROM gs a, g JOIN gs b ON b.i = a.i AND b.ap = a.ap AND b.ml = {st.reflected("a.ml + j", 8)} GROUP BY ALL)
+  SELECT a.i, a.ap, a.ml, round(sum(w * b.x), 6) AS y FROM u a, g JOIN u b ON b.i = a.i AND b.ml = a.ml AND b.ap = {st.reflected("a.ap + j", 8)} GROUP BY ALL"""
+)
 def example_grid_signal(spark, sf_dir):
     """Seeded noise on a grid, smoothed over space."""
     from siglake.operators import spatial

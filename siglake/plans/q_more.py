@@ -153,7 +153,13 @@ def interpolate_bads_coords(spark, sf_dir):
     return got.select("vec_id", F.col("bad").alias("i"), "y")
 
 
-@query()
+@query(
+    f"""z AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY vec_id) AS x FROM sig_64), {st.tapers("tp", 64, 2.0)}, h AS (SELECT taper, sum(w) AS h FROM tp GROUP BY taper), hh AS (SELECT sum(h * h) AS hh FROM h),
+  y AS (SELECT vec_id, taper, sum(x * w * cos(pi() * i / 2)) AS re, -sum(x * w * sin(pi() * i / 2)) AS im FROM z JOIN tp USING (i) GROUP BY vec_id, taper),
+  mu AS (SELECT vec_id, sum(h * re) / any_value(hh) AS a, sum(h * im) / any_value(hh) AS b FROM y JOIN h USING (taper), hh GROUP BY vec_id),
+  f AS (SELECT vec_id, any_value(a) AS a, any_value(b) AS b, 2 * any_value(a * a + b * b) * any_value(hh) / sum(power(re - h * a, 2) + power(im - h * b, 2)) > 2 * (power(0.05::DOUBLE, -0.5::DOUBLE) - 1) AS line FROM y JOIN h USING (taper) JOIN mu USING (vec_id), hh GROUP BY vec_id)
+  SELECT vec_id, i::INT AS i, round(CASE WHEN line THEN x - 2 * (a * cos(pi() * i / 2) - b * sin(pi() * i / 2)) ELSE x END, 6) AS y, line FROM sig_64 JOIN f USING (vec_id)"""
+)
 def line_noise_multitaper(spark, sf_dir):
     """Amplitude and phase of a 25 Hz line by Thomson's estimate, where the F test finds one, and what is left without it."""
     def run(x):
@@ -163,7 +169,19 @@ def line_noise_multitaper(spark, sf_dir):
     return kernels.expanded(_series(spark, sf_dir), K, run, "i int, y double, line boolean")
 
 
-@query()
+def _cubic(name: str, source: str, value: str) -> str:
+    """Monotone cubics through every seventh of 64 samples (vec_id, i, value), at all samples (vec_id, i, v)."""
+    return f"""{name}_k AS (SELECT vec_id, i // 7 AS k, {value} AS v FROM {source} WHERE i % 7 = 0), {name}_d AS (SELECT vec_id, k, v, lead(v) OVER w AS v1, lead(v) OVER w - v AS d, v - lag(v) OVER w AS d0, lead(v, 2) OVER w - lead(v) OVER w AS d1, lag(v) OVER w - lag(v, 2) OVER w AS dm FROM {name}_k WINDOW w AS (PARTITION BY vec_id ORDER BY k)),
+  {name}_e AS (SELECT *, CASE WHEN d0 IS NULL THEN d WHEN d IS NULL THEN d0 END AS e0, CASE WHEN d0 IS NULL THEN d1 WHEN d IS NULL THEN dm END AS e1 FROM {name}_d), {name}_m AS (SELECT vec_id, k, v, v1, CASE WHEN e0 IS NULL THEN CASE WHEN d * d0 > 0 THEN 2 / (1 / d + 1 / d0) ELSE 0 END
+    WHEN sign((3 * e0 - e1) / 2) <> sign(e0) THEN 0 WHEN sign(e0) <> sign(e1) AND abs((3 * e0 - e1) / 2) > 3 * abs(e0) THEN 3 * e0 ELSE (3 * e0 - e1) / 2 END AS m FROM {name}_e), {name}_n AS (SELECT *, lead(m) OVER (PARTITION BY vec_id ORDER BY k) AS m1 FROM {name}_m),
+  {name} AS (SELECT vec_id, i, (1 + 2 * t) * power(1 - t, 2) * v + t * power(1 - t, 2) * m + t * t * (3 - 2 * t) * v1 + t * t * (t - 1) * m1 AS v FROM (SELECT n.*, i, i / 7::DOUBLE - k AS t FROM {name}_n n JOIN (SELECT unnest(range(64)) AS i) ON k = least(i // 7, 8)))"""
+
+
+@query(
+    f"""{q_kernels.ANALYTIC}, ph AS (SELECT vec_id, i, atan2(b, a) AS p, sqrt(a * a + b * b) AS e FROM an), st AS (SELECT vec_id, i, p, e, p - lag(p) OVER (PARTITION BY vec_id ORDER BY i) AS d FROM ph),
+  un AS (SELECT vec_id, i, e, first_value(p) OVER s + coalesce(sum(d - 2 * pi() * floor((d + pi()) / (2 * pi()))) OVER s, 0) AS p FROM st WINDOW s AS (PARTITION BY vec_id ORDER BY i)), {_cubic("ce", "un", "e")}, {_cubic("cp", "un", "p")}
+  SELECT vec_id, i, round(ce.v * cos(cp.v), 6) AS y FROM ce JOIN cp USING (vec_id, i)"""
+)
 def interpolate_local_line(spark, sf_dir):
     """A line rebuilt from amplitude and phase at every eighth sample, by monotone cubics."""
     def kernel(x):
@@ -452,7 +470,11 @@ def burst_correlation_matrix(spark, sf_dir):
     return a.join(b, ["g", "i"]).where("v1 < v2").groupBy("v1", "v2").agg(F.round(F.corr("x", "y"), 6).alias("r"))
 
 
-@query()
+@query(
+    f"""RECURSIVE e AS (SELECT i, ap::INT AS ap, ml::INT AS ml, {st.normal(11, 'i', 'ap', 'ml')} AS e FROM range(200) a(i), range(4) b(ap), range(4) c(ml)),
+  y AS (SELECT ap, ml, 0::BIGINT AS i, e AS y, 0::DOUBLE AS z FROM e WHERE i = 0 UNION ALL SELECT y.ap, y.ml, e.i, e.e + {st.number(2 * 0.97 * math.cos(2 * math.pi * 12 / 200))} * y.y - {st.number(0.97**2)} * y.z, y.y FROM y JOIN e ON e.ap = y.ap AND e.ml = y.ml AND e.i = y.i + 1)
+  SELECT ap, ml, i, round(y, 5) AS y FROM y"""
+)
 def ar_oscillator_grid(spark, sf_dir):
     """Seeded second-order oscillators on a grid, each electrode a fold over its samples."""
     from siglake.functions import generators as gen

@@ -43,11 +43,12 @@ def _pass(name: str, source: str, sos: np.ndarray, key: str) -> str:
   {name} AS (SELECT {key}, list_reverse(o) AS x FROM {name}_r WHERE n = len(x))"""
 
 
-def filtered(name: str, source: str, sos: np.ndarray, n: int, key: str = "vec_id") -> str:
-    """Lists of n samples filtered forward and back, over odd extensions at both ends."""
-    pad = min(3 * (2 * len(sos) + 1 - int(min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum()))), n - 1)
-    ext = f"{name}_e AS (SELECT {key}, [2 * x[1] - x[{pad} + 1 - j] for j in range({pad})] || x || [2 * x[{n}] - x[{n} - 1 - j] for j in range({pad})] AS x FROM {source})"
-    return f"{ext}, {_pass(f'{name}_f', f'{name}_e', sos, key)}, {_pass(f'{name}_b', f'{name}_f', sos, key)}, {name} AS (SELECT {key}, x[{pad} + 1:{pad} + {n}] AS x FROM {name}_b)"
+def filtered(name: str, source: str, sos: np.ndarray, n: int | None = None, key: str = "vec_id") -> str:
+    """Lists of n samples, or of any longer length, filtered forward and back, over odd extensions at both ends."""
+    pad = 3 * (2 * len(sos) + 1 - int(min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum())))
+    pad = pad if n is None else min(pad, n - 1)
+    ext = f"{name}_e AS (SELECT {key}, [2 * x[1] - x[{pad} + 1 - j] for j in range({pad})] || x || [2 * x[len(x)] - x[len(x) - 1 - j] for j in range({pad})] AS x FROM {source})"
+    return f"{ext}, {_pass(f'{name}_f', f'{name}_e', sos, key)}, {_pass(f'{name}_b', f'{name}_f', sos, key)}, {name} AS (SELECT {key}, x[{pad} + 1:len(x) - {pad}] AS x FROM {name}_b)"
 
 
 def analytic(source: str, name: str, n: int = 64, key: str = "vec_id") -> str:
@@ -78,3 +79,28 @@ def multitaper(name: str, source: str, n: int, nw: float, key: str = "vec_id") -
     return f"""{name}_l AS (SELECT {key}, regr_slope(x, i) AS s, regr_intercept(x, i) AS c FROM {source} GROUP BY ALL), {tapers(f'{name}_w', n, nw)},
   {name} AS (SELECT {key}, taper, k, sum((x - s * i - c) * w * cos(2 * pi() * k * i / {n})) AS re, -sum((x - s * i - c) * w * sin(2 * pi() * k * i / {n})) AS im
     FROM {source} JOIN {name}_l USING ({key}) JOIN {name}_w USING (i), (SELECT unnest(range({n // 2 + 1})) AS k) GROUP BY {key}, taper, k)"""
+
+
+def uniform(seed: int | str, *of: str) -> str:
+    """What functions.generators.uniform draws."""
+    return f"(('0x' || substr(md5(concat_ws(':', {seed}, {', '.join(of)})), 1, 13))::BIGINT / 4503599627370496::DOUBLE)"
+
+
+def normal(seed: int, *of: str) -> str:
+    return f"sqrt(-2 * ln(1 - {uniform(seed, *of)})) * cos(2 * pi() * {uniform(seed + 1, *of)})"
+
+
+def _grown(name: str, source: str, rows: int, cols: int) -> str:
+    """Grey reconstruction of lists s under lists m, both rows by cols: as many rounds as the longest path may take."""
+    near = [[a * cols + b + 1 for a in range(max(r - 1, 0), min(r + 2, rows)) for b in range(max(c - 1, 0), min(c + 2, cols))] for r in range(rows) for c in range(cols)]
+    return f"""{name}_r AS (SELECT vec_id, s, m, 0 AS n FROM {source} UNION ALL SELECT vec_id, list_transform({near}, lambda q, k: least(m[k], list_max(list_transform(q, lambda v: s[v])))), m, n + 1 FROM {name}_r WHERE n < {rows * cols}),
+  {name} AS (SELECT vec_id, s FROM {name}_r WHERE n = {rows * cols})"""
+
+
+def hmaxima(name: str, source: str, rows: int, cols: int, quantile: float) -> str:
+    """Places (vec_id, k) from 0 of lists x that stand h above their surroundings, h by a quantile."""
+    return f"""{name}_h AS (SELECT vec_id, x, CASE WHEN h = 0 THEN 0.1::DOUBLE ELSE h END AS h, list_max(x) - list_min(x) AS span FROM (SELECT vec_id, x, list_aggregate(x, 'quantile_cont', {quantile}) AS h FROM {source})),
+  {name}_s AS (SELECT vec_id, [v - h for v in x] AS s, x AS m FROM {name}_h), {_grown(f'{name}_l', f'{name}_s', rows, cols)},
+  {name}_u AS (SELECT vec_id, [v - 1e-9 * greatest(1, span) for v in s] AS s, s AS m FROM {name}_l JOIN {name}_h USING (vec_id)), {_grown(f'{name}_t', f'{name}_u', rows, cols)},
+  {name} AS (SELECT vec_id, k, x[k + 1] AS x FROM {name}_h JOIN (SELECT vec_id, s AS low FROM {name}_l) USING (vec_id) JOIN (SELECT vec_id, s AS top FROM {name}_t) USING (vec_id), (SELECT unnest(range({rows * cols})) AS k)
+    WHERE h <= span AND low[k + 1] - top[k + 1] > 0 AND x[k + 1] - low[k + 1] >= h - 1e-9)"""
