@@ -68,8 +68,11 @@ def knee(y: np.ndarray) -> int:
     return int(np.argmax(x - (y - y.min()) / span))
 
 
-def dbscan_outliers(x: np.ndarray, min_samples: int = 5, eps: float | None = None) -> np.ndarray:
-    """Rows (n, features) in no cluster, after standardising; eps by the knee of the k-nearest distances. NaN rows are not judged."""
+def dbscan_outliers(x: np.ndarray, min_samples: int = 5, eps: float | None = None, block: int = 512) -> np.ndarray:
+    """Rows (n, features) in no cluster, after standardising; eps by the knee of the k-nearest distances. NaN rows are not judged.
+
+    Distances are made for a block of rows at a time, so memory is n times the block.
+    """
     fine = np.isfinite(x).all(axis=1)
     own = x[fine]
     out = np.zeros(len(x), dtype=bool)
@@ -77,14 +80,20 @@ def dbscan_outliers(x: np.ndarray, min_samples: int = 5, eps: float | None = Non
         return out
     sd = own.std(axis=0)
     z = (own - own.mean(axis=0)) / np.where(sd > 0, sd, 1)
-    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
+    starts = range(0, len(z), block)
+
+    def distances(k: int) -> np.ndarray:
+        total = np.zeros((len(z[k : k + block]), len(z)))
+        for j in range(z.shape[1]):
+            total += (z[k : k + block, j, None] - z[None, :, j]) ** 2
+        return np.sqrt(total)
+
     if eps is None:
-        kth = np.sort(np.sort(d, axis=1)[:, min_samples - 1])
+        kth = np.sort(np.concatenate([np.partition(distances(k), min_samples - 1, axis=1)[:, min_samples - 1] for k in starts]))
         smooth = np.convolve(np.pad(kth, 1, mode="edge"), np.ones(3) / 3, "valid")
         eps = max(float(smooth[knee(smooth)]), 1e-12)
-    near = d <= eps
-    core = near.sum(1) >= min_samples
-    out[fine] = ~(core | (near & core[None]).any(1))
+    core = np.concatenate([(distances(k) <= eps).sum(1) >= min_samples for k in starts])
+    out[fine] = ~np.concatenate([core[k : k + block] | ((distances(k) <= eps) & core).any(1) for k in starts])
     return out
 
 

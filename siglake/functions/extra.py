@@ -150,3 +150,71 @@ def tracked(rows: pd.DataFrame, radius: int) -> pd.DataFrame:
         out += [w for _, _, w in now]
         last = now
     return rows.assign(wave=out)
+
+
+def _at(x: np.ndarray, ap: np.ndarray, ml: np.ndarray) -> np.ndarray:
+    """Frames (n, ap, ml) read at real places (n, ap, ml) by bilinear interpolation; places outside take the edge."""
+    n, a, m = x.shape
+    ap, ml = np.clip(ap, 0, a - 1), np.clip(ml, 0, m - 1)
+    i, j = np.minimum(ap.astype(int), max(a - 2, 0)), np.minimum(ml.astype(int), max(m - 2, 0))
+    p, q, k = ap - i, ml - j, np.arange(n)[:, None, None]
+    below, right = np.minimum(i + 1, a - 1), np.minimum(j + 1, m - 1)
+    return (1 - p) * ((1 - q) * x[k, i, j] + q * x[k, i, right]) + p * ((1 - q) * x[k, below, j] + q * x[k, below, right])
+
+
+def _linearised(first: np.ndarray, second: np.ndarray, flow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gradients (2, n, ap, ml) of the second frames at their displaced places, what they are there less the first frames)."""
+    places = np.indices(first.shape[1:], dtype=float)[:, None] + flow
+    slope = [_at(g, *places) for g in np.gradient(second, axis=(1, 2))]
+    return np.array(slope), _at(second, *places) - first
+
+
+def flow_tvl1(x: np.ndarray, attachment: float = 15.0, tightness: float = 0.3, warps: int = 5, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) along ap and ml between consecutive frames: absolute brightness error and total variation, by the dual method.
+
+    At each warp the error is linear about the flow so far; a pointwise threshold lowers it, a dual field (one for each component and
+    direction) smooths the result. Brightness is scaled to a range of 1.
+    """
+    x = (x - x.min()) / (np.ptp(x) or 1.0)
+    first, second = x[:-1], x[1:]
+    flow, dual, step = np.zeros((2, *first.shape)), np.zeros((2, 2, *first.shape)), 0.25
+    for _ in range(warps):
+        slope, rest = _linearised(first, second, flow)
+        size, about = (slope**2).sum(0), flow.copy()
+        for _ in range(rounds):
+            error = rest + (slope * (flow - about)).sum(0)
+            far = attachment * tightness * size
+            move = np.where(error < -far, attachment * tightness, np.where(error > far, -attachment * tightness, -error / np.maximum(size, 1e-12)))
+            eased = flow + np.where(size > 1e-12, move, 0) * slope
+            for c in range(2):
+                spread = np.zeros_like(first)
+                for axis in (1, 2):
+                    inner = np.moveaxis(dual[c, axis - 1], axis, 0)
+                    out = np.moveaxis(spread, axis, 0)
+                    out[:-1] += inner[:-1]
+                    out[1:] -= inner[:-1]
+                flow[c] = eased[c] + tightness * spread
+                rise = np.array([np.diff(flow[c], axis=axis, append=np.take(flow[c], [-1], axis=axis)) for axis in (1, 2)])
+                dual[c] = (dual[c] + step / tightness * rise) / (1 + step / tightness * np.sqrt((rise**2).sum(0)))
+    return flow[0], flow[1]
+
+
+def flow_ilk(x: np.ndarray, radius: int = 2, warps: int = 10, load: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) along ap and ml between consecutive frames: least squares over places within the radius, the second frame warped again each time.
+
+    A warp moves no place by more than one sample, as far as its gradients hold."""
+    first, second = x[:-1], x[1:]
+    flow, side = np.zeros((2, *first.shape)), 2 * radius + 1
+
+    def around(v: np.ndarray) -> np.ndarray:
+        p = np.pad(v, ((0, 0), (radius, radius), (radius, radius)), mode="edge")
+        return np.lib.stride_tricks.sliding_window_view(p, (side, side), axis=(1, 2)).sum(axis=(-2, -1))
+
+    for _ in range(warps):
+        (gy, gx), rest = _linearised(first, second, flow)
+        error = rest - gy * flow[0] - gx * flow[1]
+        yy, xx, xy, ye, xe = around(gy * gy) + load, around(gx * gx) + load, around(gx * gy), around(gy * error), around(gx * error)
+        det = yy * xx - xy * xy
+        moved = np.array([(xy * xe - xx * ye) / det, (xy * ye - yy * xe) / det]) - flow
+        flow = flow + moved / np.maximum(np.sqrt((moved**2).sum(0)), 1)
+    return flow[0], flow[1]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,30 +13,88 @@ from pyspark.sql import functions as F
 from siglake.functions import complexity
 from siglake.operators.spatial import with_neighbors
 
-#: Variables up to which a dense covariance goes to the driver (72 MB).
+#: Variables up to which a dense covariance goes to the driver (72 MB); beyond, factors come from a randomised basis.
 MOST_VARIABLES = 3000
+#: Directions of that basis beyond the factors wanted, and its passes over the rows.
+SPARE, PASSES = 10, 4
 
 
-def covariance(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """(means, sample covariance, rows) of an array column, by partial sums of each Arrow batch."""
+def _summed(df: DataFrame, vector: str, kernel: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over all rows of a kernel of (rows, variables) that gives numbers of one size: by partition, by groups of partitions, then all.
+
+    There are as many parts as the cluster has cores, 64 at least, and the driver gets one.
+    """
     import pandas as pd
 
-    size = len(df.select(vector).first()[0])
-    if size > MOST_VARIABLES:
-        raise ValueError(f"{size} variables are too many for a dense covariance; use fewer or a randomised basis")
+    context = df.sparkSession.sparkContext
+    own = df.select(vector).coalesce(max(64, context.defaultParallelism))
 
     def partial(parts):
-        n, s, g = 0, np.zeros(size), np.zeros((size, size))
+        total = None
+        for p in parts:
+            if len(p):
+                got = kernel(np.stack(p[vector].to_list()).astype(float))
+                total = got if total is None else total + got
+        if total is not None:
+            yield pd.DataFrame({"s": [total.tobytes()]})
+
+    def merged(parts):
+        total = None
         for p in parts:
-            x = np.stack(p[vector].to_list()).astype(float)
-            n, s, g = n + len(x), s + x.sum(0), g + x.T @ x
-        yield pd.DataFrame({"n": [n], "s": [s.tolist()], "g": [g.ravel().tobytes()]})
+            for one in p["s"]:
+                got = np.frombuffer(one)
+                total = got.copy() if total is None else total + got
+        if total is not None:
+            yield pd.DataFrame({"s": [total.tobytes()]})
+
+    sums = own.mapInPandas(partial, "s binary").repartition(8).mapInPandas(merged, "s binary").repartition(1).mapInPandas(merged, "s binary").first()
+    if sums is None:
+        raise ValueError("no rows to sum over")
+    return np.frombuffer(sums["s"])
+
+
+def _size(df: DataFrame, vector: str) -> int:
+    row = df.select(vector).first()
+    if row is None:
+        raise ValueError("no rows to sum over")
+    return len(row[0])
+
 
-    n, s, g = 0, np.zeros(size), np.zeros((size, size))
-    for r in df.select(vector).coalesce(64).mapInPandas(partial, "n long, s array<double>, g binary").toLocalIterator():
-        n, s, g = n + r["n"], s + np.array(r["s"]), g + np.frombuffer(r["g"]).reshape(size, size)
+def covariance(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """(means, sample covariance, rows) of an array column, by partial sums of each Arrow batch."""
+    size = _size(df, vector)
+    if size > MOST_VARIABLES:
+        raise ValueError(f"{size} variables are too many for a dense covariance; erp_pca takes them by a randomised basis")
+    got = _summed(df, vector, lambda x: np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()]))
+    n, s, g = got[0], got[1 : size + 1], got[size + 1 :].reshape(size, size)
     mean = s / n
-    return mean, (g - n * np.outer(mean, mean)) / (n - 1), n
+    return mean, (g - n * np.outer(mean, mean)) / (n - 1), int(n)
+
+
+def randomised(df: DataFrame, vector: str, k: int, passes: int = PASSES, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(means, deviations, k largest eigenvalues of the covariance, their vectors) by subspace iteration.
+
+    A pass multiplies the covariance by k + SPARE directions without forming it, as sums of (variables, directions).
+    """
+    size = _size(df, vector)
+    got = _summed(df, vector, lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
+    n, mean = got[0], got[1 : size + 1] / got[0]
+    sd = np.sqrt(np.maximum(got[size + 1 :] - n * mean**2, 0) / (n - 1))
+    width = min(k + SPARE, size)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
+    for last in [False] * passes + [True]:
+        sent = df.sparkSession.sparkContext.broadcast((mean, q))  # variables x directions
+
+        def product(x: np.ndarray, sent=sent) -> np.ndarray:
+            mean, q = sent.value
+            return ((x - mean).T @ ((x - mean) @ q)).ravel()
+
+        y = _summed(df, vector, product).reshape(size, width) / (n - 1)
+        sent.unpersist()
+        if not last:
+            q = np.linalg.qr(y)[0]
+    values, vectors = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
+    return mean, sd, values[::-1][:k], (q @ vectors)[:, ::-1][:, :k]
 
 
 @dataclass
@@ -56,17 +115,25 @@ class Factors:
 
 
 def erp_pca(df: DataFrame, vector: str, n_factors: int | None = None, tol: float = 1e-4) -> Factors:
-    """Covariance, eigenvectors, varimax, order by rotated variance, sign by the larger extreme."""
-    mean, cov, _ = covariance(df, vector)
-    values, vectors = np.linalg.eigh(cov)
-    values, vectors = values[::-1], vectors[:, ::-1]
+    """Covariance, eigenvectors, varimax, order by rotated variance, sign by the larger extreme.
+
+    Over MOST_VARIABLES the eigenvectors come from a randomised basis, for which n_factors has to be given.
+    """
+    if _size(df, vector) > MOST_VARIABLES:
+        if n_factors is None:
+            raise ValueError("a randomised basis needs the number of factors")
+        mean, sd, values, vectors = randomised(df, vector, n_factors)
+    else:
+        mean, cov, _ = covariance(df, vector)
+        sd = np.sqrt(np.diag(cov))
+        values, vectors = np.linalg.eigh(cov)
+        values, vectors = values[::-1], vectors[:, ::-1]
     rank = int((values > tol * max(values[0], 1e-300)).sum())
     k = min(rank, n_factors or rank)
     rotated, _ = complexity.varimax(vectors[:, :k] * np.sqrt(values[:k]))
     variance = (rotated**2).sum(0)
     order = np.argsort(-variance)
     rotated, variance = redirected(rotated[:, order]), variance[order]
-    sd = np.sqrt(np.diag(cov))
     sd = np.where(sd > 0, sd, 1)
     return Factors(mean, sd, rotated, variance, np.linalg.pinv((rotated / sd[:, None]).T))
 

@@ -1,6 +1,7 @@
 """Runs numpy kernels over series: samples become one array a series, arrays go through Arrow in batches.
 
-A series must fit in memory; long ones are cut by windows.chunked first, whose chunks overlap by what a kernel needs.
+A series must fit in memory. Long ones go by chunks where a kernel reaches only so far (`transformed` with chunk and margin), or are cut
+by windows.chunked first, whose chunks overlap by what a window needs.
 """
 
 from __future__ import annotations
@@ -20,8 +21,23 @@ def as_arrays(df: DataFrame, keys: list[str], order: str = "i", values: tuple[st
     return own.select(*keys, *[F.col(f"__r.{v}").alias(v) for v in values], F.col(f"__r.{order}").alias("__order"))
 
 
-def transformed(df: DataFrame, keys: list[str], kernel: Callable[[np.ndarray], np.ndarray], order: str = "i", value: str = "x", out: str = "y") -> DataFrame:
-    """keys, order, out: a kernel (series, samples) that gives a value for each sample; series of equal length go together."""
+def in_chunks(df: DataFrame, chunk: int, margin: int, order: str = "i") -> DataFrame:
+    """Samples with __chunk, of `chunk` samples each; those within margin of another chunk are held by it too."""
+    if not 0 <= margin <= chunk:
+        raise ValueError(f"the margin, {margin}, must be at most a chunk, {chunk}")
+    first, last = F.floor(F.greatest(F.col(order) - margin, F.lit(0)) / chunk), F.floor((F.col(order) + margin) / chunk)
+    return df.withColumn("__chunk", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+
+
+def transformed(df: DataFrame, keys: list[str], kernel: Callable[[np.ndarray], np.ndarray], order: str = "i", value: str = "x", out: str = "y", chunk: int | None = None, margin: int = 0) -> DataFrame:
+    """keys, order, out: a kernel (series, samples) that gives a value for each sample; series of equal length go together.
+
+    With a chunk, no task takes more than chunk + 2 margin samples of a series, whose order counts from 0. Results are those of whole
+    series for a kernel whose values rest on samples within the margin.
+    """
+    if chunk is not None:
+        got = transformed(in_chunks(df, chunk, margin, order), [*keys, "__chunk"], kernel, order, value, out)
+        return got.where(F.floor(F.col(order) / chunk) == F.col("__chunk")).drop("__chunk")
     kind = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join(f"{k} {kind[k]}" for k in keys) + f", __order array<{kind[order]}>, {out} array<double>"
 

@@ -57,17 +57,27 @@ class Detector(Configured):
     def detect(self, samples: DataFrame, keys: list[str]) -> DataFrame: ...
 
 
-def _kernel(samples: DataFrame, keys: list[str], f) -> DataFrame:
-    y = kernels.transformed(samples, keys, f)
+#: Samples of a series that a filter takes at once.
+CHUNK = 1_000_000
+
+
+def _kernel(samples: DataFrame, keys: list[str], f, margin: int | None = None) -> DataFrame:
+    """x by a kernel; one that reaches only `margin` samples takes long series by chunks."""
+    y = kernels.transformed(samples, keys, f) if margin is None or margin > CHUNK else kernels.transformed(samples, keys, f, chunk=CHUNK, margin=margin)
     return samples.join(y, [*keys, "i"]).drop("x").withColumnRenamed("y", "x")
 
 
+def _reach(sos: np.ndarray) -> int:
+    """Samples to either side on which a filter's values rest: forward and back, and the extension at a chunk's end."""
+    return 3 * dsp.settling(sos)
+
+
 class Bandpass(Transform):
     defaults = {"fs": 1000.0, "low": 1.0, "high": 40.0, "order": 4}
 
     def compute(self, samples, keys):
         fs, low, high, order = self.fs, self.low, self.high, self.order
-        return _kernel(samples, keys, lambda x: dsp.bandpass(x, fs, low, high, order))
+        return _kernel(samples, keys, lambda x: dsp.bandpass(x, fs, low, high, order), _reach(dsp.butter(order, (low, min(high, fs / 2 - 0.1)), "band", fs)))
 
 
 class Highpass(Transform):
@@ -75,7 +85,7 @@ class Highpass(Transform):
 
     def compute(self, samples, keys):
         fs, cut, order = self.fs, self.cut, self.order
-        return _kernel(samples, keys, lambda x: dsp.highpass(x, fs, cut, order))
+        return _kernel(samples, keys, lambda x: dsp.highpass(x, fs, cut, order), _reach(dsp.butter(order, cut, "high", fs)))
 
 
 class Lowpass(Transform):
@@ -83,7 +93,7 @@ class Lowpass(Transform):
 
     def compute(self, samples, keys):
         fs, cut, order = self.fs, self.cut, self.order
-        return _kernel(samples, keys, lambda x: dsp.lowpass(x, fs, cut, order))
+        return _kernel(samples, keys, lambda x: dsp.lowpass(x, fs, cut, order), _reach(dsp.butter(order, cut, "low", fs)))
 
 
 class Envelope(Transform):

@@ -192,3 +192,35 @@ def gradients(grid: DataFrame, keys: list[str], value: str, dx: float = 1.0, dy:
     from siglake.operators.series import gradient
 
     return grid.withColumn("g_ap", gradient(value, over([*keys, "ml"], "ap")) / dy).withColumn("g_ml", gradient(value, over([*keys, "ap"], "ml")) / dx)
+
+
+#: Points whose features are sent to every task (16 MB of 20 features).
+MOST_POINTS = 100_000
+
+
+def median_distances(points: DataFrame, keys: list[str], features: list[str], block: int = 256) -> DataFrame:
+    """keys, d: each point's median distance to all others, by blocks of rows; null for a single point.
+
+    The features of all points, the channels of a recording, go to every task; more than MOST_POINTS are refused.
+    """
+    import numpy as np
+    import pandas as pd
+
+    points = points.select(*keys, *features).dropna(subset=features)
+    rows = points.select(*features).limit(MOST_POINTS + 1).toPandas().to_numpy(dtype=float)
+    if len(rows) > MOST_POINTS:
+        raise ValueError(f"more than {MOST_POINTS} points; take them by recording")
+    sent = points.sparkSession.sparkContext.broadcast(rows)
+
+    def run(parts):
+        for p in parts:
+            own, out = p[features].to_numpy(dtype=float), np.full(len(p), np.nan)
+            every = sent.value
+            for k in range(0, len(own) if len(every) > 1 else 0, block):
+                far = np.sqrt(sum((own[k : k + block, j, None] - every[None, :, j]) ** 2 for j in range(len(features))))
+                far.partition(0, axis=1)  # the point itself is at distance 0
+                out[k : k + block] = np.median(far[:, 1:], axis=1)
+            yield p[keys].assign(d=pd.array(out, dtype="Float64") if len(every) > 1 else pd.array([None] * len(p), dtype="Float64"))
+
+    kind = {f.name: f.dataType.simpleString() for f in points.schema}
+    return points.mapInPandas(run, ", ".join(f"{k} {kind[k]}" for k in keys) + ", d double")

@@ -73,10 +73,9 @@ def normalize_features_from_raw(spark, sf_dir):
   m AS (SELECT *, median(d) OVER () AS m FROM d) SELECT c::INT AS c, round((d - m) / (1.4826 * (SELECT median(abs(d - m)) FROM m)), 5) AS z FROM m"""
 )
 def deviation_zscore(spark, sf_dir):
-    """Robust z of each channel's median distance to the others, by quantiles; the 64 channels are one small table."""
+    """Robust z of each channel's median distance to the others, by quantiles."""
     q = _channels(spark, sf_dir).groupBy((F.col("ap") * 8 + F.col("ml")).alias("c")).agg(F.percentile("x", 0.8).alias("a"), F.percentile("x", 0.95).alias("b"))
-    v = F.broadcast(q.select(F.col("c").alias("c2"), F.col("a").alias("a2"), F.col("b").alias("b2")))
-    d = q.join(v, F.col("c") != F.col("c2")).groupBy("c").agg(F.median(F.hypot(F.col("a") - F.col("a2"), F.col("b") - F.col("b2"))).alias("d"))
+    d = spatial.median_distances(q, ["c"], ["a", "b"])
     m = F.broadcast(d.agg(F.median("d").alias("m")))
     e = d.join(m)
     s = F.broadcast(e.agg((1.4826 * F.median(F.abs(F.col("d") - F.col("m")))).alias("s")))
@@ -394,6 +393,22 @@ def optical_flow(spark, sf_dir):
     return _frames(spark, sf_dir).groupBy("g").applyInPandas(run, "g long, frame int, ap int, ml int, u double, v double")
 
 
+def _flow(name: str, kernel) -> None:
+    def run(spark, sf_dir):
+        def flow(p: pd.DataFrame) -> pd.DataFrame:
+            u, v = kernel(_cube(p))
+            n, a, m = np.indices(u.shape)
+            return pd.DataFrame({"g": int(p["g"].iloc[0]), "frame": n.ravel(), "ap": a.ravel(), "ml": m.ravel(), "u": np.round(u.ravel(), 5), "v": np.round(v.ravel(), 5)})
+
+        return _frames(spark, sf_dir).groupBy("g").applyInPandas(flow, "g long, frame int, ap int, ml int, u double, v double")
+
+    query(None, name)(run)
+
+
+_flow("flow_tvl1", extra.flow_tvl1)
+_flow("flow_ilk", extra.flow_ilk)
+
+
 SHUFFLED = "(row_number() OVER (PARTITION BY vec_id{r} ORDER BY md5({seed} || ':' || vec_id || ':' || ap || ':' || ml)) - 1)"
 
 

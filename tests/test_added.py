@@ -3,10 +3,11 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from siglake.functions import dsp, granger, parameters
-from siglake.operators import catalog, chain, decomposition, pipeline
+from siglake.functions import complexity, dsp, extra, granger, parameters
+from siglake.operators import catalog, chain, decomposition, kernels, pipeline, spatial
 
 
 def test_parameters():
@@ -84,3 +85,61 @@ def test_catalog_records_and_stacks(spark):
         catalog.from_start_peak_end(rows.drop("peak"))
     both = decomposition.stacked({"a": rows, "b": rows.limit(1)})
     assert sorted((r["rec"], r["count"]) for r in both.groupBy("rec").count().collect()) == [("a", 2), ("b", 1)]
+
+
+def test_randomised_basis_finds_the_factors(spark, monkeypatch):
+    """Beyond MOST_VARIABLES the same factors come without a covariance."""
+    r = np.random.default_rng(5)
+    x = r.standard_normal((300, 4)) * [6, 4, 3, 2] @ np.linalg.qr(r.standard_normal((40, 4)))[0].T + 0.05 * r.standard_normal((300, 40))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>").repartition(5)
+    want = decomposition.erp_pca(df, "v", 4)
+    monkeypatch.setattr(decomposition, "MOST_VARIABLES", 39)
+    with pytest.raises(ValueError, match="factors"):
+        decomposition.erp_pca(df, "v")
+    got = decomposition.erp_pca(df, "v", 4)
+    assert np.allclose(got.variance, want.variance, rtol=1e-6) and np.allclose(got.loadings, want.loadings, atol=1e-4) and np.allclose(got.sd, want.sd)
+
+
+def test_chunks_give_what_whole_series_give(spark):
+    r = np.random.default_rng(6)
+    x = {c: r.standard_normal(n) for c, n in ((1, 5000), (2, 2999), (3, 1))}
+    df = spark.createDataFrame([(c, i, float(v)) for c in x for i, v in enumerate(x[c])], "ch int, i long, x double")
+    for kernel, margin in ((lambda v: dsp.gaussian_filter(v, 3.0), 12), (lambda v: dsp.bandpass(v, 100.0, 10, 30), 3 * dsp.settling(dsp.butter(4, (10, 30), "band", 100.0)))):
+        cut = kernels.transformed(df, ["ch"], kernel, chunk=1000, margin=margin).orderBy("ch", "i").toPandas()
+        assert len(cut) == 8000 and not cut.duplicated(["ch", "i"]).any()
+        for c in (1, 2):
+            assert np.abs(cut[cut["ch"] == c]["y"].to_numpy() - kernel(x[c][None])[0]).max() < 1e-9
+    with pytest.raises(ValueError, match="margin"):
+        kernels.in_chunks(df, 10, 11)
+
+
+def test_distances_and_outliers_by_blocks(spark):
+    r = np.random.default_rng(7)
+    x = np.vstack([r.standard_normal((60, 2)), [[9.0, 9.0]], [[np.nan, 0.0]]])
+    far = np.sqrt(((x[:61, None] - x[None, :61]) ** 2).sum(-1))
+    got = spatial.median_distances(spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "c int, a double, b double").replace(float("nan"), None), ["c"], ["a", "b"], 16).orderBy("c").toPandas()
+    assert np.allclose(got["d"], [np.median(np.delete(far[i], i)) for i in range(61)])
+    assert spatial.median_distances(spark.createDataFrame([(1, 2.0)], "c int, a double"), ["c"], ["a"]).first()["d"] is None
+    assert (complexity.dbscan_outliers(x, block=7) == complexity.dbscan_outliers(x, block=1000)).all() and complexity.dbscan_outliers(x)[60]
+
+
+def test_extrema_keep_their_label_from_frame_to_frame():
+    rows = pd.DataFrame([(0, 1, 1), (0, 6, 6), (1, 2, 1), (1, 4, 6), (2, 2, 2), (2, 4, 5), (4, 2, 3)], columns=["vec_id", "ap", "ml"])
+    assert extra.tracked(rows, 1)["wave"].tolist() == [0, 1, 0, 2, 0, 2, 0]
+
+
+@pytest.mark.parametrize("flow", [extra.flow_tvl1, extra.flow_ilk])
+@pytest.mark.parametrize("shift", [(0.6, -0.4), (1.5, 1.0), (0.0, 0.0)])
+def test_flow_follows_a_moving_pattern(flow, shift):
+    a, m = np.indices((32, 32), dtype=float)
+    frame = lambda k: np.sin((a - k * shift[0]) / 3.0) + np.cos((m - k * shift[1]) / 3.5)
+    u, v = flow(np.array([frame(k) for k in range(4)]))
+    assert u.shape == (3, 32, 32)
+    inner = np.s_[:, 6:-6, 6:-6]
+    assert np.abs(np.median(u[inner]) - shift[0]) < 0.1 and np.abs(np.median(v[inner]) - shift[1]) < 0.1
+    assert np.quantile(np.hypot(u[inner] - shift[0], v[inner] - shift[1]), 0.9) < 0.3
+
+
+def test_flow_of_a_constant_is_none():
+    for flow in (extra.flow_tvl1, extra.flow_ilk):
+        assert not np.array(flow(np.ones((3, 8, 8)))).any()
