@@ -8,8 +8,8 @@
 2. Contexts are dealt and sorted by (anchor, content), in ranges, so that an anchor of many contexts is shared by tasks. An
    anchor found once has no repeated window. Contexts with equal content are repeated as a whole. What is left are the
    rims of repeated passages: contexts that share an anchor but not their content.
-3. Rims are dealt by anchor into shards of some `SHARD_BYTES`, and each shard's suffixes are sorted by external induced
-   sorting (see suffix_sort). Windows that are neighbours in suffix order with a common prefix of LENGTH are repeated.
+3. Rims are dealt and sorted by anchor. A task takes them in shards of some `SHARD_BYTES`, one after the other, and sorts each
+   shard's suffixes by external induced sorting (see suffix_sort). Windows that are neighbours in suffix order with a common prefix of LENGTH are repeated.
    An anchor with more than `GROUP` contexts would not fit a shard. Its windows are parted by where they hold the anchor,
    each context into two at most, and each half is keyed by its core, the bytes that all windows of that half have in
    common: equal windows have equal cores. Halves go through step 2 again, and this recurs until no core has more than
@@ -39,7 +39,9 @@ from siglake.llm.suffix_sort import suffix_array
 LENGTH, GRAM = 200, 96
 #: Windows of a text that are dealt with at once, and the low bits of a hash that hold a place among them.
 CHUNK, PLACE = 1 << 20, np.uint64(21)
-SHARD_BYTES, GROUP = 3_000_000, 1000
+SHARD_BYTES, GROUP = 1_500_000, 1000
+#: Tasks that shards are dealt to; beyond, a task sorts several, one after the other.
+MOST_TASKS = 20_000
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _BYTE = np.random.default_rng(200).integers(1, 1 << 64, 256, dtype=np.uint64)  # a random number for each byte value
@@ -259,17 +261,28 @@ def _runs(found: np.ndarray) -> list[tuple[int, int]]:
 SPANS = "doc_id long, text_hash long, start int, end int"
 
 
-def _sorted_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own = [b for b in batches if b.num_rows]
-    if not own:
-        return
-    t = pa.Table.from_batches(own)
-    docs, hashes, firsts, many = (t[n].to_pylist() for n in ("doc_id", "text_hash", "first", "many"))
+def _shard_spans(contexts: list[tuple]) -> pa.RecordBatch:
+    """Spans of the repeated windows of contexts (doc_id, text_hash, first, many, raw)."""
+    docs, hashes, firsts, many, raw = zip(*contexts, strict=True)
     rows = []
-    for doc, own_hash, first, found in zip(docs, hashes, firsts, repeated_windows(t["raw"].to_pylist(), many), strict=True):
+    for doc, own_hash, first, found in zip(docs, hashes, firsts, repeated_windows(list(raw), list(many)), strict=True):
         rows += [(doc, own_hash, first + a, first + b - 1 + LENGTH) for a, b in _runs(found)]
     cols = list(zip(*rows, strict=True)) or [()] * 4
-    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "text_hash", "start", "end"])
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "text_hash", "start", "end"])
+
+
+def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of contexts sorted by anchor, a shard at a time: an anchor is never parted, so a task holds SHARD_BYTES and one anchor more."""
+    own, size, last = [], 0, None
+    for b in batches:
+        for anchor, *context in zip(*(b.column(n).to_pylist() for n in ("anchor", "doc_id", "text_hash", "first", "many", "raw")), strict=True):
+            if size >= SHARD_BYTES and anchor != last:
+                yield _shard_spans(own)
+                own, size = [], 0
+            own.append(tuple(context))
+            size, last = size + len(context[-1]) + 1, anchor
+    if own:
+        yield _shard_spans(own)
 
 
 def _digest(raw: bytes, *by: int) -> int:
@@ -369,9 +382,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def _sorted(cut: DataFrame, size: int) -> DataFrame:
-    """Spans of the windows that are repeated among contexts of size bytes, by sorted shards."""
-    shards = cut.select("anchor", "doc_id", "text_hash", "first", "many", "raw").repartition(-(-size // SHARD_BYTES), "anchor")
-    return shards.mapInArrow(_sorted_shard, SPANS)
+    """Spans of the windows that are repeated among contexts of size bytes, by sorted shards; a task has several in a large corpus."""
+    shards = cut.select("anchor", "doc_id", "text_hash", "first", "many", "raw").repartition(min(-(-size // SHARD_BYTES), MOST_TASKS), "anchor")
+    return shards.sortWithinPartitions("anchor").mapInArrow(_sorted_shards, SPANS)
 
 
 def keyed(docs: DataFrame) -> DataFrame:

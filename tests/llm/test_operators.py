@@ -700,3 +700,22 @@ def test_null_ids_and_odd_texts(spark, tmp_path):
 
 def test_contract_columns(spark):
     assert re.fullmatch("[0-9a-f]{16}", queries.op5_simhash(spark, "/root/testdata/sf0.001").first()["fingerprint"])
+
+
+@pytest.mark.parametrize("size", [1, 900, 1 << 30])
+def test_shards_never_part_an_anchor(monkeypatch, size):
+    """Whatever a shard holds, spans are those of each anchor's contexts by themselves."""
+    import pyarrow as pa
+
+    from siglake.llm import suffix_dedup
+
+    r = random.Random(21)
+    core = [bytes(r.choices(b"ab ", k=240)) for _ in range(6)]
+    rows = [(a, d, d, 7 * d, False, core[a][: 210 + 10 * (d % 4)] + bytes(r.choices(b"xyz", k=5))) for a in range(6) for d in range(a)]
+    names = ["anchor", "doc_id", "text_hash", "first", "many", "raw"]
+    batches = [pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows[i : i + 4], strict=True)), strict=True))) for i in range(0, len(rows), 4)]
+    want = sorted(tuple(x.values()) for a in range(1, 6) for x in suffix_dedup._shard_spans([x[1:] for x in rows if x[0] == a]).to_pylist())
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", size)
+    got = list(suffix_dedup._sorted_shards(iter(batches)))
+    assert len(got) == {1: 5, 900: len(got), 1 << 30: 1}[size] and want and sorted(tuple(x.values()) for b in got for x in b.to_pylist()) == want
+    assert list(suffix_dedup._sorted_shards(iter([]))) == []
