@@ -122,15 +122,22 @@ def butterworth_bandpass_shoulder(spark, sf_dir):
   SELECT vec_id, ap, ml, round(x - m, 6) AS y FROM m"""
 )
 def median_highpass(spark, sf_dir):
-    """x less a 3 x 3 x 5 median over places and samples; ten vectors in a row are the samples."""
-    own = _grid(spark, sf_dir).withColumn("g", F.floor(F.col("vec_id") / 10))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["vec_id", "ap", "ml"])
-        x = p["x"].to_numpy().reshape(-1, 8, 8)
-        return p[["vec_id", "ap", "ml"]].assign(y=np.round((x - dsp.median_filter(x, (5, 3, 3))).ravel(), 6))
-
-    return own.groupBy("g").applyInPandas(run, "vec_id long, ap int, ml int, y double")
+    """x less a 3 x 3 x 5 median over places and samples; ten vectors in a row are the samples, of which some may be missing."""
+    own = _grid(spark, sf_dir).select(F.expr("vec_id div 10").alias("g"), (F.col("vec_id") % 10).cast("int").alias("n"), "vec_id", "ap", "ml", "x")
+    cubes = own.groupBy("g").agg(F.collect_list(F.struct("n", "ap", "ml", "x", "vec_id")).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in ("n", "ap", "ml", "x", "vec_id")])
+
+    def run(parts):
+        for p in parts:
+            for k in range(0, len(p), 64):
+                some = p.iloc[k : k + 64]
+                at = (np.repeat(np.arange(len(some)), some["x"].map(len)), *(np.concatenate(some[c].to_list()) for c in ("n", "ap", "ml")))
+                x = np.full((len(some), 10, 8, 8), np.nan)
+                x[at] = np.concatenate(some["x"].to_list()).astype(float)
+                y = (x - dsp.median_of_present(x, (5, 3, 3)))[at]
+                yield pd.DataFrame({"vec_id": np.concatenate(some["vec_id"].to_list()), "ap": at[2], "ml": at[3], "y": y})
+
+    got = cubes.mapInPandas(run, "vec_id long, ap int, ml int, y double")
+    return got.withColumn("y", F.round(F.nanvl("y", F.lit(None)), 6))
 
 
 @query("SELECT user_id, i, round(z, 6) AS z FROM (SELECT user_id, i, t, (x - avg(x) OVER w) / (stddev_pop(x) OVER w + 1e-12) AS z FROM sig_ev WHERE i BETWEEN 5 AND 25 WINDOW w AS (PARTITION BY user_id)) WHERE user_id IN (3, 9)")
