@@ -19,8 +19,8 @@ def both(spark, folder, name, *tables):
     duck = duckdb.connect()
     for t, df in tables:
         duck.register("own", df)
-        kind = "embedding::FLOAT[] AS embedding, * EXCLUDE embedding" if t == "embeddings" else "*"
-        duck.execute(f"COPY (SELECT {kind} FROM own) TO '{folder}/{t}.parquet'")
+        kind = {"embeddings": "REPLACE (embedding::FLOAT[] AS embedding)", "events": "REPLACE (ts::TIMESTAMP AS ts)"}.get(t, "")
+        duck.execute(f"COPY (SELECT * {kind} FROM own) TO '{folder}/{t}.parquet'")
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     got = registry.QUERIES[name](spark, str(folder)).toPandas()
     want = duck.execute(registry.ORACLES[name]).df() if name in registry.ORACLES else None
@@ -37,3 +37,16 @@ def test_median_highpass_of_gaps_and_ties(spark, tmp_path):
     """Samples 2 and 13 are missing, the last ten have six, and a 128th lies between two rounded values."""
     ids = [k for k in range(26) if k not in (2, 13)]
     same(spark, tmp_path, "median_highpass", embeddings(ids, np.random.default_rng(1).integers(-200, 200, (len(ids), 64)) / 128))
+
+
+def series(x, y):
+    """Events of users 1 and 2, a sample a minute."""
+    rows = [(k * 2 + u, pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=k), u + 1, "click", float(v)) for u, of in enumerate((x, y)) for k, v in enumerate(of)]
+    return "events", pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value"])
+
+
+def test_running_corrcoef_of_constant_windows(spark, tmp_path):
+    """As where each event is held sixty times; the last window has spread in both."""
+    x, y = np.random.default_rng(2).standard_normal((2, 64))
+    x[:16], y[16:32], x[32:48], y[32:48] = 0.1, 0.3, 0.7, 0.1
+    same(spark, tmp_path, "running_corrcoef", series(x, y))
