@@ -107,18 +107,25 @@ def kw_spectrum(x: np.ndarray, fs: float, tapers: tuple[float, float] | None = N
 
 
 def capon(x: np.ndarray, fs: float, freq: float, slowness: np.ndarray, segments: int = 4) -> list[tuple[float, float, float]]:
-    """(sx, sy, power) of minimum-variance beams at one frequency, from segments' cross spectra with a diagonal load."""
+    """(sx, sy, power) of minimum-variance beams at one frequency, from segments' cross spectra with a diagonal load.
+
+    Fewer frames than segments make a segment each; without any signal the power is 0.
+    """
     n, a, m = x.shape
+    segments = min(segments, n)
     size = n // segments
     parts = x[: segments * size].reshape(segments, size, a * m)
     y = np.tensordot(np.exp(-2j * np.pi * freq * np.arange(size) / fs), parts, axes=(0, 1))
     r = y.T @ y.conj() / segments
-    inverse = np.linalg.inv(r + 1e-6 * np.trace(r).real * np.eye(a * m))
+    total = np.trace(r).real
+    if total == 0:
+        return [(float(sx), float(sy), 0.0) for sx, sy in itertools.product(slowness, slowness)]
+    inverse = np.linalg.inv(r / total + 1e-6 * np.eye(a * m))
     ap, ml = np.divmod(np.arange(a * m), m)
     out = []
     for sx, sy in itertools.product(slowness, slowness):
         steer = np.exp(-2j * np.pi * freq * (sx * ml + sy * ap))
-        out.append((float(sx), float(sy), float(1 / max((steer.conj() @ inverse @ steer).real, 1e-300))))
+        out.append((float(sx), float(sy), float(total / max((steer.conj() @ inverse @ steer).real, 1e-300))))
     return out
 
 

@@ -50,3 +50,14 @@ def test_running_corrcoef_of_constant_windows(spark, tmp_path):
     x, y = np.random.default_rng(2).standard_normal((2, 64))
     x[:16], y[16:32], x[32:48], y[32:48] = 0.1, 0.3, 0.7, 0.1
     same(spark, tmp_path, "running_corrcoef", series(x, y))
+
+
+def test_capon_beamformer_of_few_frames(spark, tmp_path):
+    """Groups of 32, 1 and 3 frames, and of 32 without any signal."""
+    ids = [*range(32), 64, 97, 98, 99, *range(128, 160)]
+    values = np.random.default_rng(3).standard_normal((len(ids), 64))
+    values[-32:] = 0
+    got, _ = both(spark, tmp_path, "capon_beamformer", embeddings(ids, values))
+    power = got.groupby("g")["p"]
+    assert power.size().to_dict() == {0: 49, 2: 49, 3: 49, 4: 49}
+    assert np.isfinite(got["p"]).all() and (power.min().loc[[0, 2, 3]] > 0).all() and power.max()[4] == 0
