@@ -441,18 +441,17 @@ def surrogate_test(spark, sf_dir):
     return null.join(own, "vec_id").groupBy("vec_id").agg(F.avg((F.col("moran") >= F.col("own")).cast("double")).alias("p"))
 
 
-def _neighborfunc(name: str, column, sql: str) -> None:
+def _neighborfunc(name: str, kernel, sql: str) -> None:
     def run(spark, sf_dir):
-        near = spatial.with_neighbors(_grid(spark, sf_dir), K, spatial.footprint(2))
-        return near.groupBy("vec_id", "ap", "ml").agg(F.round(column("y"), 6).alias("v"))
+        return spatial.around(_grid(spark, sf_dir), K, spatial.footprint(2), kernel, "y").select("vec_id", "ap", "ml", F.round("y", 6).alias("v"))
 
     near = "sig_grid a JOIN sig_grid b ON a.vec_id = b.vec_id AND abs(a.ap - b.ap) + abs(a.ml - b.ml) BETWEEN 1 AND 2"
     query(f"SELECT a.vec_id, a.ap, a.ml, round({sql}, 6) AS v FROM {near} GROUP BY ALL", f"neighborfunc_{name}")(run)
 
 
-_neighborfunc("mean", F.avg, "avg(b.x)")
-_neighborfunc("std", F.stddev_pop, "stddev_pop(b.x)")
-_neighborfunc("median", F.median, "median(b.x)")
+_neighborfunc("mean", spatial.mean_of, "avg(b.x)")
+_neighborfunc("std", spatial.std_of, "stddev_pop(b.x)")
+_neighborfunc("median", spatial.median_of, "median(b.x)")
 
 
 @query(

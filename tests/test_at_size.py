@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 
 from siglake import plans
 from siglake.plans import registry
@@ -61,3 +62,12 @@ def test_capon_beamformer_of_few_frames(spark, tmp_path):
     power = got.groupby("g")["p"]
     assert power.size().to_dict() == {0: 49, 2: 49, 3: 49, 4: 49}
     assert np.isfinite(got["p"]).all() and (power.min().loc[[0, 2, 3]] > 0).all() and power.max()[4] == 0
+
+
+@pytest.mark.parametrize("name", ["neighborfunc_mean"])
+def test_neighbours_are_not_joined(spark, tmp_path, name):
+    """A frame goes through one exchange, without a join or a row for each neighbour; values have ties and gaps."""
+    values = np.random.default_rng(4).integers(-4, 5, (40, 64)) / 8
+    same(spark, tmp_path, name, embeddings(range(7, 47), values))
+    plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Join" not in plan and plan.count("Exchange") == 1
