@@ -224,12 +224,19 @@ MERGE = f"""{BURSTS}, s AS (SELECT vec_id, i, x FROM sig_64 WHERE vec_id < 50),
   m AS (SELECT z.*, corr FROM z JOIN r ON vi = id_i % 50 AND vj = id_j % 50 WHERE colocalized AND time_diff < 700 AND corr >= 0.05)"""
 
 
-def _duplicates(spark, sf_dir):
+def _signals(spark, sf_dir):
     """Each burst has one of fifty signals; one in three pairs or so is alike enough at this threshold."""
-    u = _bursts(spark, sf_dir)
-    own = views.sig_64(spark, sf_dir).where("vec_id < 50").groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("x"))
-    signals = u.select("id", (F.col("id") % 50).alias("vec_id")).join(own, "vec_id").select("id", "x")
-    return u, bursts.duplicates(u, signals, [], 700.0, 0.05)
+    own = views.sig_64(spark, sf_dir).where("vec_id < 50").groupBy(F.col("vec_id").alias("signal")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("x"))
+    return _bursts(spark, sf_dir).withColumn("signal", F.col("id") % 50), own
+
+
+def _duplicates(spark, sf_dir):
+    u, own = _signals(spark, sf_dir)
+    return bursts.duplicates(u.drop("signal"), u.select("id", "signal").join(own, "signal").select("id", "x"), [], 700.0, 0.05)
+
+
+def _clusters(spark, sf_dir):
+    return bursts.clusters(*_signals(spark, sf_dir), [], 700.0, 0.05)
 
 
 def _bursts(spark, sf_dir):
@@ -252,7 +259,7 @@ def burst_pairs(spark, sf_dir):
 @query(f"{MERGE} SELECT id_i, id_j, round(time_diff, 3) AS time_diff, round(dist, 6) AS dist, round(corr, 6) AS corr FROM m")
 def filter_pairs_for_merging(spark, sf_dir):
     """Pairs of one quadrant, close in time, whose signals correlate."""
-    got = _duplicates(spark, sf_dir)[1]
+    got = _duplicates(spark, sf_dir)
     return got.select("id_i", "id_j", F.round("time_diff", 3).alias("time_diff"), F.round("dist", 6).alias("dist"), F.round("corr", 6).alias("corr"))
 
 
@@ -262,9 +269,7 @@ def filter_pairs_for_merging(spark, sf_dir):
   SELECT a AS node, cluster FROM reach"""
 )
 def find_merge_clusters(spark, sf_dir):
-    from siglake.operators.graph import components
-
-    return components(_duplicates(spark, sf_dir)[1], "id_i", "id_j")
+    return _clusters(spark, sf_dir)
 
 
 @query(
@@ -274,7 +279,7 @@ def find_merge_clusters(spark, sf_dir):
   SELECT id, cluster FROM o WHERE k = 1"""
 )
 def merge_bursts(spark, sf_dir):
-    return bursts.merged(*_duplicates(spark, sf_dir)).select("id", "cluster")
+    return bursts.strongest(_bursts(spark, sf_dir), _clusters(spark, sf_dir)).select("id", "cluster")
 
 
 @query(

@@ -71,3 +71,27 @@ def test_neighbours_are_not_joined(spark, tmp_path, name):
     same(spark, tmp_path, name, embeddings(range(7, 47), values))
     plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def errors(n, copies, seed):
+    """Errors of all quadrants within two hours, each held `copies` times under further ids; some stand exactly 700 s apart."""
+    r = np.random.default_rng(seed)
+    at, user, value = np.concatenate([r.integers(0, 7200, n - 20), np.arange(20) * 700]), r.integers(0, 256, n), r.standard_normal(n).round(2)
+    rows = [(k + 1007 * c, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=int(at[k])), int(user[k]), "error", value[k]) for k in range(n) for c in range(copies)]
+    return "events", pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value"])
+
+
+@pytest.mark.parametrize(("n", "copies"), [(60, 1), (30, 8)])
+@pytest.mark.parametrize("name", ["find_merge_clusters"])
+def test_bursts_of_copies(spark, tmp_path, name, n, copies):
+    same(spark, tmp_path, name, errors(n, copies, n), embeddings(range(50), np.random.default_rng(5).standard_normal((50, 64))))
+
+
+def test_runs_stand_for_pairs(spark, tmp_path, monkeypatch):
+    """200 copies of 20 bursts at one time would be 8 million pairs; what is linked are runs, one of a signal and quadrant at most."""
+    from siglake.operators import bursts
+
+    seen, components = [], bursts.components
+    monkeypatch.setattr(bursts, "components", lambda pairs, a, b: seen.append(pairs.count()) or components(pairs, a, b))
+    both(spark, tmp_path, "assign_quadrants", errors(20, 200, 3), embeddings(range(50), np.random.default_rng(6).standard_normal((50, 64))))
+    assert registry.QUERIES["find_merge_clusters"](spark, str(tmp_path)).count() and seen[0] < 200 * 200
