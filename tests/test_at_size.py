@@ -82,7 +82,7 @@ def errors(n, copies, seed):
 
 
 @pytest.mark.parametrize(("n", "copies"), [(60, 1), (30, 8)])
-@pytest.mark.parametrize("name", ["find_merge_clusters"])
+@pytest.mark.parametrize("name", ["find_merge_clusters", "merge_bursts"])
 def test_bursts_of_copies(spark, tmp_path, name, n, copies):
     same(spark, tmp_path, name, errors(n, copies, n), embeddings(range(50), np.random.default_rng(5).standard_normal((50, 64))))
 
