@@ -434,11 +434,7 @@ def spatial_shuffle(spark, sf_dir):
 )
 def surrogate_test(spark, sf_dir):
     """Share of 40 spatial shuffles whose Moran index reaches the frame's own."""
-    g = _grid(spark, sf_dir)
-    many = g.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(39))))
-    null = spatial.moran(spatial.shuffled(many, ["vec_id", "r"], F.col("r"), 8, ["vec_id"]), ["vec_id", "r"])
-    own = spatial.moran(g, K).withColumnRenamed("moran", "own")
-    return null.join(own, "vec_id").groupBy("vec_id").agg(F.avg((F.col("moran") >= F.col("own")).cast("double")).alias("p"))
+    return spatial.surrogate_share(_grid(spark, sf_dir), K, 40, 8)
 
 
 def _neighborfunc(name: str, kernel, sql: str) -> None:

@@ -95,3 +95,21 @@ def test_runs_stand_for_pairs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(bursts, "components", lambda pairs, a, b: seen.append(pairs.count()) or components(pairs, a, b))
     both(spark, tmp_path, "assign_quadrants", errors(20, 200, 3), embeddings(range(50), np.random.default_rng(6).standard_normal((50, 64))))
     assert registry.QUERIES["find_merge_clusters"](spark, str(tmp_path)).count() and seen[0] < 200 * 200
+
+
+def test_digests():
+    import hashlib
+
+    from siglake.functions.digests import md5_order
+
+    heads, tails = [b"", b"7:12", b"39:123456", b"k" * 60], [b":0:0", b":10:3", b":" * 46, b""]
+    got = md5_order(heads, tails)
+    assert got.tolist() == [[int(hashlib.md5(h + t).hexdigest()[:16], 16) for t in tails] for h in heads]
+
+
+def test_surrogate_test_shuffles_within_a_frame(spark, tmp_path):
+    """Smooth, random and constant frames; nothing is joined, and frames alone are exchanged."""
+    r, smooth = np.random.default_rng(7), np.add.outer(np.arange(8), np.arange(8)).ravel() / 10
+    same(spark, tmp_path, "surrogate_test", embeddings([3, 99, 1234567, 5], [smooth, *r.standard_normal((2, 64)), np.full(64, 0.3)]))
+    plan = registry.QUERIES["surrogate_test"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Join" not in plan and plan.count("Exchange") == 1
