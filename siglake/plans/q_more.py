@@ -439,7 +439,7 @@ def surrogate_test(spark, sf_dir):
 
 def _neighborfunc(name: str, kernel, sql: str) -> None:
     def run(spark, sf_dir):
-        return spatial.around(_grid(spark, sf_dir), K, spatial.footprint(2), kernel, "y").select("vec_id", "ap", "ml", F.round("y", 6).alias("v"))
+        return spatial.around_gathered(views.frames(spark, sf_dir), K, spatial.footprint(2), kernel, "y").select("vec_id", "ap", "ml", F.round("y", 6).alias("v"))
 
     near = "sig_grid a JOIN sig_grid b ON a.vec_id = b.vec_id AND abs(a.ap - b.ap) + abs(a.ml - b.ml) BETWEEN 1 AND 2"
     query(f"SELECT a.vec_id, a.ap, a.ml, round({sql}, 6) AS v FROM {near} GROUP BY ALL", f"neighborfunc_{name}")(run)

@@ -73,6 +73,37 @@ def test_neighbours_are_not_joined(spark, tmp_path, name):
     assert "Join" not in plan and plan.count("Exchange") == 1
 
 
+#: Those of the last round that the driver stopped by memory.
+BY_FRAME = ["neighborfunc_std"]
+
+
+@pytest.mark.parametrize("name", BY_FRAME)
+def test_frames_stay_frames(spark, tmp_path, name):
+    """The rows of a frame are made behind the exchange only: none is sorted, gathered or held by an aggregate."""
+    _, df = embeddings(range(7, 47), np.random.default_rng(8).integers(-4, 5, (40, 64)) / 8)
+    same(spark, tmp_path, name, ("embeddings", df))
+    plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert not [x for x in ("Aggregate", "Generate", "Sort", "ArrowEvalPython") if x in plan] and "MapInArrow" in plan
+
+
+def test_around_of_ragged_frames(spark):
+    """Frames of several layouts and keys, in any order, with a missing value and further columns; each as if it stood alone."""
+    from siglake.operators import spatial
+
+    r = np.random.default_rng(9)
+    full = [(a, m) for a in range(3) for m in range(4)]
+    rows = [(k, f"s{k % 2}", int(a), int(m), None if (k, a, m) == (2, 1, 1) else float(r.integers(0, 9)), k * 100 + a * 10 + m) for k in range(6) for a, m in (full if k % 3 else full[:7]) if (k, a, m) != (1, 0, 0)]
+    rows.append((9, "s1", 5, 5, 1.0, 9))
+    grid = spark.createDataFrame([rows[k] for k in r.permutation(len(rows))], "g long, s string, ap int, ml int, x double, tag long")
+    got = spatial.around(grid, ["g", "s"], spatial.footprint(1), spatial.mean_of, "y")
+    assert got.columns == [*grid.columns, "y"]
+    at, found = {(g, a, m): x for g, _, a, m, x, _ in rows}, {tuple(x[:6]): x[6] for x in got.collect()}
+    assert len(found) == len(rows)
+    for g, s, a, m, x, tag in rows:
+        near = [v for da, dm in ((0, 1), (1, 0), (0, -1), (-1, 0)) if (v := at.get((g, a + da, m + dm))) is not None]
+        assert found[g, s, a, m, x, tag] == (pytest.approx(sum(near) / len(near)) if near else None)
+
+
 def errors(n, copies, seed):
     """Errors of all quadrants within two hours, each held `copies` times under further ids; some stand exactly 700 s apart."""
     r = np.random.default_rng(seed)
