@@ -74,7 +74,7 @@ def test_neighbours_are_not_joined(spark, tmp_path, name):
 
 
 #: Those of the last round that the driver stopped by memory.
-BY_FRAME = ["neighborfunc_std", "extrapolate_bads_mean"]
+BY_FRAME = ["neighborfunc_std", "extrapolate_bads_mean", "neighborfunc_median"]
 
 
 @pytest.mark.parametrize("name", BY_FRAME)
