@@ -13,6 +13,45 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Nodes that a task of `forest` holds at once.
+MOST_NODES = 500_000
+
+
+def forest(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b: fewer pairs that reach the same nodes, one for each node of a task and component, without those that close a circle in it.
+
+    Nodes meet again in other tasks, so this is no `components`; it is what needn't be shuffled for them.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        up, schema = {}, None
+
+        def root(x):
+            while (y := up[x]) != x:
+                up[x] = x = up[y]
+            return x
+
+        def kept():
+            rows = [(x, y) for x in up if (y := root(x)) != x]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.field(k).type) for k in (0, 1)], schema=schema)
+
+        for batch in batches:
+            schema = batch.schema
+            for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                i, j = root(up.setdefault(i, i)), root(up.setdefault(j, j))
+                if i != j:
+                    up[max(i, j)] = min(i, j)
+            if len(up) > MOST_NODES:
+                yield kept()
+                up.clear()
+        if up:
+            yield kept()
+
+    own = pairs.select(a, b).where(F.col(a) != F.col(b))
+    return own.mapInArrow(run, own.schema)
+
+
 def components(pairs: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """node, cluster: the smallest node that each node of the pairs reaches, by alternating star contractions.
 

@@ -144,3 +144,29 @@ def test_surrogate_test_shuffles_within_a_frame(spark, tmp_path):
     same(spark, tmp_path, "surrogate_test", embeddings([3, 99, 1234567, 5], [smooth, *r.standard_normal((2, 64)), np.full(64, 0.3)]))
     plan = registry.QUERIES["surrogate_test"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_linked_runs_are_a_forest(spark, tmp_path, monkeypatch):
+    """60 bursts at one place under fifty signals each: hundreds of pairs of runs meet at a time, but a task keeps fewer links than runs."""
+    from siglake.operators import bursts, graph
+
+    seen, components = [], bursts.components
+    monkeypatch.setattr(bursts, "components", lambda pairs, a, b: seen.append((pairs.rdd.glom().map(len).collect(), pairs.select(a).union(pairs.select(b)).distinct().count())) or components(pairs, a, b))
+    rows = [(k * 50 + s, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=1000 * k), 17, "error", float(s)) for k in range(60) for s in range(50)]
+    tables = ("events", pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value"])), embeddings(range(50), np.random.default_rng(10).standard_normal((50, 64)))
+    same(spark, tmp_path, "find_merge_clusters", *tables)
+    (sizes, runs), = seen
+    assert runs > 2900 and all(n < runs for n in sizes) and sum(sizes) < 60 * 50 * 3
+    monkeypatch.setattr(graph, "MOST_NODES", 10)
+    monkeypatch.setattr(bursts, "MOST_ALIKE", 0)
+    same(spark, tmp_path, "merge_bursts", *tables)
+
+
+def test_forest_reaches_the_same_nodes(spark):
+    from siglake.operators.graph import components, forest
+
+    r = np.random.default_rng(11)
+    pairs = spark.createDataFrame([(int(a), int(b)) for a, b in r.integers(0, 400, (300, 2))] + [(7, 7)], "a long, b long").repartition(3)
+    small = forest(pairs, "a", "b")
+    want = {(x.node, x.cluster) for x in components(pairs.where("a <> b"), "a", "b").collect()}
+    assert {(x.node, x.cluster) for x in components(small, "a", "b").collect()} == want and small.count() < 300
