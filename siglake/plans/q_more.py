@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siglake.functions import complexity, dsp, extra, temporal
+from siglake.functions import complexity, dsp, extra, neighbors, temporal
 from siglake.operators import kernels, spatial, windows
 from siglake.operators import series as ser
 from siglake.plans import q_kernels, sqltext as st
@@ -439,15 +439,15 @@ def surrogate_test(spark, sf_dir):
 
 def _neighborfunc(name: str, kernel, sql: str) -> None:
     def run(spark, sf_dir):
-        return spatial.around_gathered(views.frames(spark, sf_dir), K, spatial.footprint(2), kernel, "y").select("vec_id", "ap", "ml", F.round("y", 6).alias("v"))
+        return spatial.around_stored(views.vectors(spark, sf_dir), K, "embedding", 8, spatial.footprint(2), kernel, "y").select("vec_id", "ap", "ml", F.round("y", 6).alias("v"))
 
     near = "sig_grid a JOIN sig_grid b ON a.vec_id = b.vec_id AND abs(a.ap - b.ap) + abs(a.ml - b.ml) BETWEEN 1 AND 2"
     query(f"SELECT a.vec_id, a.ap, a.ml, round({sql}, 6) AS v FROM {near} GROUP BY ALL", f"neighborfunc_{name}")(run)
 
 
-_neighborfunc("mean", spatial.mean_of, "avg(b.x)")
-_neighborfunc("std", spatial.std_of, "stddev_pop(b.x)")
-_neighborfunc("median", spatial.median_of, "median(b.x)")
+_neighborfunc("mean", neighbors.mean_of, "avg(b.x)")
+_neighborfunc("std", neighbors.std_of, "stddev_pop(b.x)")
+_neighborfunc("median", neighbors.median_of, "median(b.x)")
 
 
 @query(

@@ -32,9 +32,14 @@ def sig_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("vec_id", F.floor(F.col("pos") / 8).cast("int").alias("ap"), (F.col("pos") % 8).cast("int").alias("ml"), F.col("v").cast("double").alias("x"))
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, embedding: each frame of sig_grid as it is stored; dealt out, as one file may hold all."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition("vec_id")
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, r: the rows (ap, ml, x) of each frame of sig_grid, as they are stored; dealt out, as one file may hold all."""
-    own = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition("vec_id")
+    """vec_id, r: the rows (ap, ml, x) of each of `vectors`."""
+    own = vectors(spark, sf_dir)
     row = lambda v, i: F.struct(F.floor(i / 8).cast("int").alias("ap"), (i % 8).cast("int").alias("ml"), v.cast("double").alias("x"))
     return own.select("vec_id", F.transform("embedding", row).alias("r"))
 

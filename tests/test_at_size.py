@@ -170,3 +170,58 @@ def test_forest_reaches_the_same_nodes(spark):
     small = forest(pairs, "a", "b")
     want = {(x.node, x.cluster) for x in components(pairs.where("a <> b"), "a", "b").collect()}
     assert {(x.node, x.cluster) for x in components(small, "a", "b").collect()} == want and small.count() < 300
+
+
+#: Runs a function of Arrow batches as a new Python worker does.
+WORKER = """
+import pickle, sys
+import pyarrow as pa
+folder = sys.argv[1]
+run = pickle.load(open(f"{folder}/run", "rb"))
+rows = [b.num_rows for b in run(iter(pa.ipc.open_stream(open(f"{folder}/batches", "rb").read())))]
+print(sum(rows), max(rows), "pandas" in sys.modules)
+"""
+
+
+def test_workers_of_neighbours_stay_small(spark, tmp_path, monkeypatch):
+    """Stored arrays go to a worker as they are; it doesn't import pandas, and hands rows back some ten thousand at once."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    kind, sent = type(spark.range(0)), []
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, *a, f=kind.mapInArrow, **b: sent.append((self, run)) or f(self, run, *a, **b))
+    same(spark, tmp_path, "neighborfunc_median", embeddings(range(3000), np.random.default_rng(10).standard_normal((3000, 64)).round(2)))
+    (frames, run), *more = sent
+    assert not more and [f.dataType.simpleString() for f in frames.schema] == ["bigint", "array<float>"]
+    table = frames.toArrow()
+    with pa.ipc.new_stream(f"{tmp_path}/batches", table.schema) as out:
+        out.write_table(table.combine_chunks())
+    (tmp_path / "run").write_bytes(cloudpickle.dumps(run))
+    said = subprocess.run([sys.executable, "-c", WORKER, str(tmp_path)], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=60)
+    assert said.returncode == 0, said.stderr
+    rows, most, pandas = said.stdout.split()
+    assert int(rows) == 3000 * 64 and int(most) <= 20_000 and pandas == "False"
+
+
+def test_around_of_stored_frames(spark):
+    """As `around_gathered` of the same frames: of several lengths, empty, without an array, with nulls and NaN, under two keys."""
+    from siglake.functions import neighbors
+    from siglake.operators import spatial
+
+    r = np.random.default_rng(11)
+    full = [[float(v) for v in r.integers(0, 9, n)] for n in (12, 12, 7, 1, 12)]
+    full[1][5], full[4][0], full[4][7], full[2][:] = None, float("nan"), None, [None] * 7
+    own = [(k, f"s{k % 2}" if k else None, v) for k, v in enumerate([*full, [], None])]
+    stored = spark.createDataFrame(own, "g long, s string, v array<float>").coalesce(1)
+    near = spatial.footprint(2)
+    rows = spark.createDataFrame([(g, s, [(k // 4, k % 4, x) for k, x in enumerate(v or [])]) for g, s, v in own], "g long, s string, r array<struct<ap: int, ml: int, x: double>>")
+    for kernel in (neighbors.mean_of, neighbors.std_of, neighbors.median_of):
+        got = spatial.around_stored(stored, ["g", "s"], "v", 4, near, kernel, "y")
+        want = spatial.around_gathered(rows, ["g", "s"], near, kernel, "y").drop("x")
+        assert got.columns == want.columns
+        got, want = (sorted(repr((*x[:-1], x[-1] if x[-1] is None else round(x[-1], 9))) for x in of.collect()) for of in (got, want))
+        assert len(got) == 44 and got == want
