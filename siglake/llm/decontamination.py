@@ -8,7 +8,8 @@
    candidates; neither their number nor that of windows is capped. What the space doesn't carry is found by words: a leak
    holds a known number of a passage's words, so however many of the commonest are left out, a known number of the others
    is in its stretch. Every stretch that holds them is a candidate too, hence no leak is lost to the rank or the cosine.
-   Both look at `CHUNK` words at a time, so memory doesn't grow with a text; chunks share more than any stretch needs.
+   Both look at `CHUNK` words at a time, of one long text or several short ones, so memory doesn't grow with a text; chunks of
+   a text share more than any stretch needs. A candidate in a chunk that lacks too many of a passage's words is dropped at once.
 5. A candidate is a leak if the longest common subsequence with a stretch of the document covers `SAME` of the passage's
    words, or `LIKE` of them and the passage's answer, its last sentence, is there as well (a paraphrase).
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,14 @@ PASSAGE, STEP, RANK, OVERSAMPLE, SEED = 64, 32, 160, 16, 42
 #: Documents are summed up in stretches of HOP words; windows of 2 and 4 of them meet passages up to and over SMALL words.
 HOP, SMALL = 16, 24
 COSINE, SAME, LIKE, ANSWER = 0.6, 0.8, 0.6, 0.5
+#: More than products of 32-bit vectors of length 1 may be off.
+ROUNDING = 1e-4
 #: Items whose words, vectors and texts are held by a worker at once.
 BLOCK, BLOCK_CHARS = 2000, 2_000_000
 #: Words of a document that are looked at at once, and those that it shares with the next chunk; both whole stretches.
 CHUNK, OVERLAP = 4096, 512
+#: Chunks of short texts that are looked at together, at most.
+TOGETHER = 64
 #: Characters of a text that are made words at once.
 PIECE = 1 << 20
 #: Passages of fewer words match only word for word.
@@ -77,11 +82,31 @@ def passages_of(text: str | None) -> list[tuple[list[bytes], list[bytes]]]:
     return [(words[i : i + PASSAGE], answer if i == starts[-1] else []) for i in starts if words]
 
 
-def lcs(pattern: list[bytes], words: list[bytes]) -> int:
-    """Length of the longest common subsequence; a bit for each word of the pattern."""
+def groups_of(texts: list[str | None]) -> Iterator[list[tuple[int, int, list[bytes]]]]:
+    """Chunks of texts as (text, place of the first word, words), together as many words as a chunk holds at most."""
+    group, n = [], 0
+    for k, text in enumerate(texts):
+        for first, words in chunks_of(text):
+            if group and (n + len(words) > CHUNK + OVERLAP or len(group) == TOGETHER):
+                yield group
+                group, n = [], 0
+            group.append((k, first, words))
+            n += len(words)
+    if group:
+        yield group
+
+
+def bits_of(pattern: list[bytes]) -> dict[bytes, int]:
+    """A bit for each place of a word in the pattern."""
     at: dict[bytes, int] = {}
     for i, w in enumerate(pattern):
         at[w] = at.get(w, 0) | 1 << i
+    return at
+
+
+def lcs(pattern: list[bytes], words: list[bytes], bits: dict[bytes, int] | None = None) -> int:
+    """Length of the longest common subsequence."""
+    at = bits or bits_of(pattern)
     full = open_ = (1 << len(pattern)) - 1
     for w in words:
         if m := open_ & at.get(w, 0):
@@ -94,13 +119,19 @@ def stretch_words(n: int) -> int:
     return n + n // 4 + 2
 
 
-def best_stretch(pattern: list[bytes], words: list[bytes]) -> tuple[int, int]:
-    """Longest common subsequence with any stretch a little longer than the pattern; and the first stretch that has it."""
+def best_stretch(pattern: list[bytes], words: list[bytes], least: int = 0) -> tuple[int, int]:
+    """Longest common subsequence with any stretch a little longer than the pattern, and the first stretch that has it; 0, 0 if it is below least.
+
+    A stretch that holds fewer of the pattern's words than that, or no more than the best so far has in common, isn't compared.
+    """
     span, step = stretch_words(len(pattern)), max(1, len(pattern) // 8)
-    starts = range(0, max(1, len(words) - span + step), step)
-    found = [lcs(pattern, words[i : i + span]) for i in starts]
-    best = max(found)
-    return best, starts[found.index(best)]
+    bits = bits_of(pattern)
+    upto = [0, *accumulate(w in bits for w in words)]
+    best, at = 0, 0
+    for i in range(0, max(1, len(words) - span + step), step):
+        if upto[min(i + span, len(words))] - upto[i] >= max(least, best + 1) and (n := lcs(pattern, words[i : i + span], bits)) >= max(least, best + 1):
+            best, at = n, i
+    return best, at
 
 
 def least_common(n: int, answered: bool) -> int:
@@ -149,28 +180,49 @@ class Block:
             self.rare.append(tuple(np.array(x, dtype=np.int64) for x in zip(*kept, strict=True)))
             self.least.append(least)
             self.hops.append(-(-(stretch_words(len(words)) + HOP - 1) // HOP))
-        self.least = np.array(self.least)
+        self.least, self.hops = np.array(self.least), np.array(self.hops)
         of = np.concatenate([k for k, _ in self.rare])
         order = np.argsort(of, kind="stable")
         self.column = np.repeat(np.arange(len(self.rare)), [len(k) for k, _ in self.rare])[order]
         self.weight = np.concatenate([n for _, n in self.rare])[order]
         self.first = np.searchsorted(of[order], np.arange(len(self.words) + 2))
 
-    def sharing(self, index: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(first stretch, passage) of every window of a document that holds enough of the passage's rarer words."""
-        there = np.unique(index)
-        n = self.first[there + 1] - self.first[there]
-        at = np.repeat(self.first[there] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        total = np.bincount(self.column[at], self.weight[at], minlength=len(self.least))
-        scratch, starts = np.zeros(len(self.words) + 1, dtype=np.int64), np.arange(0, len(index), HOP)
-        for j in np.flatnonzero(total >= self.least).tolist():
-            words, weights = self.rare[j]
-            scratch[words] = weights
-            upto = np.concatenate([[0], np.cumsum(np.add.reduceat(scratch[index], starts))])
-            scratch[words] = 0
-            held = upto[np.minimum(np.arange(len(starts)) + self.hops[j], len(starts))] - upto[:-1]
-            for i in np.flatnonzero(held >= self.least[j]).tolist():
-                yield i, j
+    def postings(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the words, place in `column` and `weight`) of all passages of which the words are rarer ones."""
+        n = self.first[words + 1] - self.first[words]
+        return np.repeat(np.arange(len(words)), n), np.repeat(self.first[words] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+    def possible(self, index: np.ndarray, chunk: np.ndarray, n_chunks: int) -> np.ndarray:
+        """Whether a chunk holds enough of a passage's rarer words (chunks x passages); index, chunk: of each known word."""
+        size, n = len(self.words) + 1, len(self.least)
+        own, words = np.divmod(np.unique(chunk * size + index), size)
+        of, at = self.postings(words)
+        return np.bincount(own[of] * n + self.column[at], self.weight[at], minlength=n_chunks * n).reshape(n_chunks, n) >= self.least
+
+    def sharing(self, index: np.ndarray, chunk: np.ndarray, hop: np.ndarray, n_hops: np.ndarray, possible: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(chunk, first stretch, passage) of every window that holds enough of the passage's rarer words.
+
+        index, chunk, hop: word, chunk and stretch within the chunk of each known word; n_hops: stretches of each chunk.
+        """
+        own, passage = np.nonzero(possible)
+        if not len(own):
+            return
+        pair = np.zeros(possible.shape, dtype=np.int64)
+        pair[own, passage] = np.arange(len(own))
+        size = n_hops[own]
+        first = np.cumsum(size) - size
+        there = np.flatnonzero(possible.any(axis=1)[chunk])
+        of, at = self.postings(index[there])
+        of, to = there[of], self.column[at]
+        kept = possible[chunk[of], to]
+        of, to, weight = of[kept], to[kept], self.weight[at][kept]
+        held = np.bincount(first[pair[chunk[of], to]] + hop[of], weight, minlength=size.sum())
+        upto = np.concatenate([[0], np.cumsum(held)])
+        of = np.repeat(np.arange(len(own)), size)
+        i = np.arange(len(of)) - first[of]
+        end = first[of] + np.minimum(i + self.hops[passage[of]], size[of])
+        k = np.flatnonzero(upto[end] - upto[:-1] >= self.least[passage[of]])
+        yield from zip(own[of[k]].tolist(), i[k].tolist(), passage[of[k]].tolist(), strict=True)
 
     def project(self, basis: np.ndarray) -> None:
         """basis: a row for each word."""
@@ -187,13 +239,15 @@ def document_frequencies(docs: DataFrame, block: Block) -> tuple[np.ndarray, int
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = shared.value, np.zeros(len(shared.value.words) + 1, dtype=np.int64)
+        own, n = shared.value.words, Counter()
+        known = frozenset(own)
         for b in batches:
             for text in b.column(0).to_pylist():
-                there = [np.unique(own.index(words)) for _, words in chunks_of(text)]
-                n[np.unique(np.concatenate(there)) if there else []] += 1
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["word", "n"])
+                there: set[bytes] = set()
+                for _, words in chunks_of(text):
+                    there |= known.intersection(words)
+                n.update(there)
+        yield pa.RecordBatch.from_arrays([pa.array([own[w] for w in n], pa.int64()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(len(block.words) + 1, dtype=np.int64)
@@ -242,69 +296,114 @@ def fitted(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> B
     return block
 
 
-def candidates(parts: np.ndarray, block: Block) -> Iterator[tuple[int, list[int], list[float]]]:
-    """(passage, first stretches, cosines) of each run of neighbouring windows of a document that are near a passage."""
+def candidates(parts: np.ndarray, real: np.ndarray, block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(passages, first stretches) of the windows that are near a passage or nearly so, by size, passage and stretch.
+
+    Rows that aren't real part the chunks: they are zero, and no window begins there. A product of matrices rounds by
+    their shapes, which depend on the texts at hand, so `window_cosine` decides what is near.
+    """
     for hops, own, vectors in block.sizes:
         windows = parts.copy()
         for k in range(1, min(hops, len(parts))):
             windows[:-k] += parts[k:]
+        windows *= real[:, None]
         windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-6)
-        near = vectors @ windows.T
-        j, i = np.nonzero(near >= COSINE)
-        if len(i):
-            cuts = np.flatnonzero((j[1:] != j[:-1]) | (i[1:] != i[:-1] + 1)) + 1
-            cosine, of, i = near[j, i].tolist(), own[j].tolist(), i.tolist()
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)], strict=True):
-                yield of[lo], i[lo:hi], cosine[lo:hi]
+        j, i = np.divmod(np.flatnonzero(vectors @ windows.T >= COSINE - ROUNDING), len(parts))
+        yield own[j], i
 
 
-def window_cosine(parts: np.ndarray, i: int, j: int, block: Block) -> float:
-    """The best cosine of passage j with the windows that start in the stretches looked at from i on."""
+def window_cosine(parts: np.ndarray, i: int, n: int, j: int, block: Block) -> float:
+    """The best cosine of passage j with the n windows from i on, whatever other texts are looked at together."""
     hops = 2 if len(block.passages[j][1]) <= SMALL else 4
-    near = [parts[k : k + hops].sum(axis=0) for k in range(i, min(i + block.hops[j], len(parts)))]
+    near = [parts[k : k + hops].sum(axis=0) for k in range(i, min(i + n, len(parts)))]
     return max(float(x @ block.vectors[j]) / max(float(np.linalg.norm(x)), 1e-6) for x in near)
 
 
 def leaks_of(text: str | None, block: Block) -> dict[int, tuple[float, float, float, int]]:
     """item -> (lcs, answer, cosine, first word) of a whole text."""
-    best: dict[int, tuple[float, float, float, int]] = {}
-    for first, words in chunks_of(text):
-        for item, (share, told, cosine, at) in found_in(words, block):
+    return leaks_in([text], block)[0]
+
+
+def leaks_in(texts: list[str | None], block: Block) -> list[dict[int, tuple[float, float, float, int]]]:
+    """For each whole text item -> (lcs, answer, cosine, first word)."""
+    found: list[dict[int, tuple[float, float, float, int]]] = [{} for _ in texts]
+    for group in groups_of(texts):
+        for g, item, (share, told, cosine, at) in found_in([words for _, _, words in group], block):
+            k, first, _ = group[g]
+            best = found[k]
             if item not in best or (share, cosine, -at - first) > (best[item][0], best[item][2], -best[item][3]):
                 best[item] = (share, told, cosine, at + first)
-    return best
+    return found
 
 
-def found_in(words: list[bytes], block: Block) -> Iterator[tuple[int, tuple[float, float, float, int]]]:
-    """(item, (lcs, answer, cosine, first word)) of every candidate that is a leak."""
-    starts, index = np.arange(0, len(words), HOP), block.index(words)
-    parts = np.add.reduceat(block.by_word[index], starts, axis=0)
+def summed(index: np.ndarray, row: np.ndarray, n_rows: int, block: Block) -> np.ndarray:
+    """Sums of the words' vectors by row; rows are in order and hold HOP words at most."""
+    cuts = np.flatnonzero(np.diff(row, prepend=-1))
+    at = np.zeros((HOP, n_rows), dtype=np.int64)
+    at[np.arange(len(row)) - np.repeat(cuts, np.diff(cuts, append=len(row))), row] = index
+    parts, own = block.by_word[at[0]], np.empty((n_rows, block.by_word.shape[1]), dtype=np.float32)
+    for k in range(1, HOP):
+        parts += np.take(block.by_word, at[k], axis=0, out=own, mode="clip")
+    return parts
 
-    def enough(j: int, lo: int, hi: int) -> bool:
-        """A common subsequence can't be longer than the words in common."""
-        own = block.counts[j]
-        return sum(map(own.__getitem__, own.keys() & words[max(0, lo) : hi])) >= block.needed[j]
 
-    def near() -> Iterator[tuple[int, int, float, int, int]]:
-        for j, at, cosine in candidates(parts, block):
-            n = len(block.passages[j][1])
-            if enough(j, HOP * at[0] - n, HOP * at[-1] + PASSAGE + n):
-                yield from ((i, j, x, HOP * i - n, HOP * i + PASSAGE + n) for i, x in zip(at, cosine, strict=True))
+def found_in(chunks: list[list[bytes]], block: Block) -> Iterator[tuple[int, int, tuple[float, float, float, int]]]:
+    """(chunk, item, (lcs, answer, cosine, first word)) of every candidate that is a leak.
 
-    sharing = ((i, j, None, HOP * i, HOP * (i + block.hops[j])) for i, j in block.sharing(index))
-    for i, j, cosine, lo, hi in chain(near(), sharing):
+    The stretches of all chunks are rows of one matrix, in which three rows of zeros, the most a window may reach beyond
+    its first stretch, follow each chunk.
+    """
+    sizes = np.array([len(words) for words in chunks])
+    n_hops = -(-sizes // HOP)
+    starts, row0 = np.cumsum(sizes) - sizes, np.cumsum(n_hops + 3) - n_hops - 3
+    n_rows = int((n_hops + 3).sum())
+    index = block.index(list(chain.from_iterable(chunks)))
+    known = np.flatnonzero(index)
+    index, chunk = index[known].astype(np.int64), np.repeat(np.arange(len(chunks)), sizes)[known]
+    hop = (known - starts[chunk]) // HOP
+    parts = summed(index, row0[chunk] + hop, n_rows, block)
+    chunk_of_row = np.repeat(np.arange(len(chunks)), n_hops + 3)
+    real = np.arange(n_rows) - row0[chunk_of_row] < n_hops[chunk_of_row]
+    possible = block.possible(index, chunk, len(chunks))
+
+    def enough(g: int, j: int, lo: int, hi: int) -> bool:
+        """A common subsequence can't be longer than the words in common."""
+        own = block.counts[j]
+        return sum(map(own.__getitem__, own.keys() & chunks[g][max(0, lo) : hi])) >= block.needed[j]
+
+    def near() -> Iterator[tuple[int, int, int, int, int, int]]:
+        for j, row in candidates(parts, real, block):
+            kept = possible[chunk_of_row[row], j]
+            j, row = j[kept], row[kept]
+            if not len(j):
+                continue
+            cuts = np.flatnonzero((j[1:] != j[:-1]) | (row[1:] != row[:-1] + 1)) + 1
+            of = chunk_of_row[row]
+            i = row - row0[of]
+            of, j, i = of.tolist(), j.tolist(), i.tolist()
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)], strict=True):
+                n = len(block.passages[j[lo]][1])
+                if enough(of[lo], j[lo], HOP * i[lo] - n, HOP * i[hi - 1] + PASSAGE + n):
+                    for k in range(lo, hi):
+                        yield of[k], i[k], 1, j[k], HOP * i[k] - n, HOP * i[k] + PASSAGE + n
+
+    shared = ((g, i, int(block.hops[j]), j) for g, i, j in block.sharing(index, chunk, hop, n_hops, possible))
+    sharing = ((g, i, n, j, HOP * i, HOP * (i + n)) for g, i, n, j in shared)
+    for by_cosine, (g, i, n, j, lo, hi) in chain(zip(repeat(True), near(), strict=False), zip(repeat(False), sharing, strict=False)):
         item, pattern, answer = block.passages[j]
-        if not enough(j, lo, hi):
+        if not enough(g, j, lo, hi):
             continue
         lo = max(0, lo)
-        region = words[lo:hi]
-        common, at = best_stretch(pattern, region)
+        region = chunks[g][lo:hi]
+        common, at = best_stretch(pattern, region, block.needed[j])
         share = common / len(pattern)
         stretch = set(region[at : at + 2 * len(pattern)])
         told = sum(w in stretch for w in answer) / len(answer) if answer else 0.0
         if share < (1.0 if len(pattern) < SHORT else SAME) and (share < LIKE or len(pattern) < SHORT or told < ANSWER):
             continue
-        yield item, (share, told, window_cosine(parts, i, j, block) if cosine is None else cosine, lo + at)
+        cosine = window_cosine(parts[row0[g] : row0[g] + n_hops[g]], i, n, j, block)
+        if cosine >= COSINE or not by_cosine:
+            yield g, item, (share, told, cosine, lo + at)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_items: int = BLOCK) -> DataFrame:
@@ -324,7 +423,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_items:
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(doc, item, x[2], x[0], x[1], x[3]) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for item, x in leaks_of(text, shared.value).items()]
+                found = leaks_in(b.column(1).to_pylist(), shared.value)
+                rows = [(doc, item, x[2], x[0], x[1], x[3]) for doc, own in zip(b.column(0).to_pylist(), found, strict=True) for item, x in own.items()]
                 cols = list(zip(*rows, strict=True)) or [()] * 6
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in MATCHES.split(", ")])

@@ -613,6 +613,73 @@ def test_decontamination_in_chunks(monkeypatch):
         assert {k: (x[0], x[3]) for k, x in decontamination.leaks_of(text, block).items()} == {k: (x[0], x[3]) for k, x in whole.items()}
 
 
+def some_block(items, rank=200):
+    block = decontamination.Block(items)
+    block.idf = np.full(len(block.words) + 1, 1, dtype=np.float32)
+    block.idf[0] = 0
+    block.index_words()
+    block.project(np.random.default_rng(3).standard_normal((len(block.words) + 1, rank)))
+    return block
+
+
+def test_decontamination_looks_at_short_texts_together(monkeypatch):
+    r, pool = random.Random(31), words(300, 31)
+    items = [(k, " ".join(r.choices(pool, k=r.randint(3, 64)))) for k in range(30)]
+    texts = [*plain.ODD_TEXTS, None, "", "...", " ".join(r.choices(pool, k=6000))]
+    for k in range(200):
+        told = [w if r.random() > k % 4 / 10 else "other" for w in items[k % 30][1].split()]
+        texts.append(" ".join([*r.choices(pool, k=r.randint(0, 40)), *told, *r.choices(pool, k=r.choice((0, 3, 200)))]))
+    r.shuffle(texts)
+    block = some_block(items)
+    alone = [decontamination.leaks_of(text, block) for text in texts]
+    calls, compared = [], []
+    looked, common = decontamination.candidates, decontamination.lcs
+    monkeypatch.setattr(decontamination, "candidates", lambda *x: calls.append(1) or looked(*x))
+    monkeypatch.setattr(decontamination, "lcs", lambda *x: compared.append(1) or common(*x))
+    assert decontamination.leaks_in(texts, block) == alone and sum(map(len, alone)) >= 100
+    n = sum(len(decontamination.words_of(text)) for text in texts)
+    assert len(calls) <= 2 + 2 * n // decontamination.CHUNK + len(texts) // decontamination.TOGETHER and len(compared) < 20 * len(texts)
+    for most in (1, 7):
+        monkeypatch.setattr(decontamination, "TOGETHER", most)
+        assert decontamination.leaks_in(texts, block) == alone
+    assert decontamination.leaks_in([], block) == []
+
+
+def test_decontamination_windows_that_share_words():
+    r, pool = random.Random(32), words(60, 32)
+    block = some_block([(k, " ".join(r.choices(pool, k=r.randint(3, 64)))) for k in range(20)], 10)
+    chunks = [r.choices([*pool, "unknown"], k=n) for n in (1, 15, 16, 17, 90, 300)] + [["unknown"] * 40]
+    want, index, chunk, hop = set(), [], [], []
+    for g, text in enumerate(chunks):
+        own = block.index([w.encode() for w in text])
+        for j, (at, weights) in enumerate(block.rare):
+            weight = dict(zip(at.tolist(), weights.tolist(), strict=True))
+            for i in range(0, len(text), 16):
+                held = sum(weight.get(w, 0) for w in own[i : i + 16 * block.hops[j]].tolist())
+                if held >= block.least[j] <= sum(weight.get(w, 0) for w in set(own.tolist())):
+                    want.add((g, i // 16, j))
+        there = np.flatnonzero(own)
+        index += own[there].tolist()
+        chunk += [g] * len(there)
+        hop += (there // 16).tolist()
+    index, chunk, hop = (np.array(x, dtype=np.int64) for x in (index, chunk, hop))
+    possible = block.possible(index, chunk, len(chunks))
+    got = list(block.sharing(index, chunk, hop, np.array([-(-len(x) // 16) for x in chunks]), possible))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_best_stretch_is_that_of_all_stretches():
+    r = random.Random(33)
+    for _ in range(300):
+        a, b = ([bytes([r.randint(97, 104)]) for _ in range(r.randint(1, n))] for n in (30, 90))
+        span, step = decontamination.stretch_words(len(a)), max(1, len(a) // 8)
+        found = [(plain.lcs(a, b[i : i + span]), -i) for i in range(0, max(1, len(b) - span + step), step)]
+        best, at = max(found)
+        assert decontamination.best_stretch(a, b) == (best, -at)
+        for least in range(len(a) + 1):
+            assert decontamination.best_stretch(a, b, least) == ((best, -at) if best >= least else (0, 0))
+
+
 def test_lcs():
     r = random.Random(10)
     for _ in range(200):
