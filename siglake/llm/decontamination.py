@@ -302,13 +302,15 @@ def candidates(parts: np.ndarray, real: np.ndarray, block: Block) -> Iterator[tu
     Rows that aren't real part the chunks: they are zero, and no window begins there. A product of matrices rounds by
     their shapes, which depend on the texts at hand, so `window_cosine` decides what is near.
     """
-    for hops, own, vectors in block.sizes:
-        windows = parts.copy()
-        for k in range(1, min(hops, len(parts))):
-            windows[:-k] += parts[k:]
-        windows *= real[:, None]
-        windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-6)
-        j, i = np.divmod(np.flatnonzero(vectors @ windows.T >= COSINE - ROUNDING), len(parts))
+    windows, hops = parts, 1
+    for most, own, vectors in block.sizes:
+        while hops < most:
+            windows, last = windows.copy(), windows
+            windows[:-hops] += last[hops:]
+            hops *= 2
+        least = np.sqrt(np.einsum("ij,ij->i", windows, windows))
+        least = np.where(real, (COSINE - ROUNDING) * np.maximum(least, 1e-6), np.float32(np.inf))
+        j, i = np.divmod(np.flatnonzero(vectors @ windows.T >= least), len(parts))
         yield own[j], i
 
 
@@ -337,14 +339,17 @@ def leaks_in(texts: list[str | None], block: Block) -> list[dict[int, tuple[floa
 
 
 def summed(index: np.ndarray, row: np.ndarray, n_rows: int, block: Block) -> np.ndarray:
-    """Sums of the words' vectors by row; rows are in order and hold HOP words at most."""
-    cuts = np.flatnonzero(np.diff(row, prepend=-1))
-    at = np.zeros((HOP, n_rows), dtype=np.int64)
-    at[np.arange(len(row)) - np.repeat(cuts, np.diff(cuts, append=len(row))), row] = index
-    parts, own = block.by_word[at[0]], np.empty((n_rows, block.by_word.shape[1]), dtype=np.float32)
-    for k in range(1, HOP):
-        parts += np.take(block.by_word, at[k], axis=0, out=own, mode="clip")
-    return parts
+    """Sums of the words' vectors by row, one word after the other; rows are in order."""
+    n = np.bincount(row, minlength=n_rows)
+    first = np.cumsum(n) - n
+    order = np.argsort(-n, kind="stable")
+    n, first = n[order], first[order]
+    sums, own = np.zeros((n_rows, block.by_word.shape[1]), dtype=np.float32), np.empty((n_rows, block.by_word.shape[1]), dtype=np.float32)
+    for k in range(n[0]):
+        m = np.count_nonzero(n > k)
+        sums[:m] += np.take(block.by_word, index[first[:m] + k], axis=0, out=own[:m], mode="clip")
+    own[order] = sums
+    return own
 
 
 def found_in(chunks: list[list[bytes]], block: Block) -> Iterator[tuple[int, int, tuple[float, float, float, int]]]:
