@@ -53,6 +53,32 @@ def test_running_corrcoef_of_constant_windows(spark, tmp_path):
     same(spark, tmp_path, "running_corrcoef", series(x, y))
 
 
+def test_running_corrcoef_of_all_pairs(spark, tmp_path):
+    """Users far apart too, of one to three complete windows; the last two share no sample of the first window, and one is constant where another has samples."""
+    r, lengths = np.random.default_rng(11), {1: 48, 2: 40, 7: 31, 30: 15, 41: 48, 500: 33}
+    rows = [(k * 1000 + u, pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=k), u, "click", r.standard_normal()) for u, n in lengths.items() for k in range(n)]
+    df = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value"])
+    k = (df["event_id"] - df["user_id"]) // 1000
+    df.loc[(df["user_id"] == 41) & (k < 16) & (k % 2 == 0) | (df["user_id"] == 500) & (k < 16) & (k % 2 == 1) | (df["user_id"] == 2) & k.between(16, 20), "value"] = None
+    df.loc[(df["user_id"] == 7) & (k < 16) & (k % 2 == 0), "value"] = 0.1
+    same(spark, tmp_path, "running_corrcoef", ("events", df))
+    got = registry.QUERIES["running_corrcoef"](spark, str(tmp_path)).toPandas()
+    assert {w: set(zip(p["user_id"], p["other"], strict=True)) for w, p in got.groupby("win")} == {
+        w: {(a, b) for a in lengths for b in lengths if a < b and min(lengths[a], lengths[b]) >= 16 * (w + 1)} for w in range(3)
+    }
+
+
+def test_blocks_of_pair_correlations(spark):
+    """Blocks of two series give what one block of all gives, each pair once."""
+    from siglake.operators import windows
+
+    r = np.random.default_rng(12)
+    samples = spark.createDataFrame([(u, i, float(r.integers(0, 4))) for u in range(0, 90, 10) for i in range(12)], "user_id long, i long, x double")
+    one, many = (windows.pair_correlations(samples, "user_id", 4, block=n).toPandas().sort_values(["win", "user_id", "other"], ignore_index=True) for n in (windows.BLOCK, 2))
+    assert len(one) == 3 * 9 * 8 // 2 and (one["user_id"] < one["other"]).all() and not one.duplicated(["win", "user_id", "other"]).any()
+    pd.testing.assert_frame_equal(one, many)
+
+
 def test_capon_beamformer_of_few_frames(spark, tmp_path):
     """Groups of 32, 1 and 3 frames, and of 32 without any signal."""
     ids = [*range(32), 64, 97, 98, 99, *range(128, 160)]
